@@ -1,8 +1,12 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
+from subgrade.llm.packing import op8_best_fit_packing
+from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
