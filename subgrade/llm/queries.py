@@ -3,8 +3,10 @@
 from subgrade.llm.packing import op8_best_fit_packing
 from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
+from subgrade.llm.wordpieces import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
