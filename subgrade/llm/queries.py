@@ -4,11 +4,13 @@ from subgrade.llm.packing import op8_best_fit_packing
 from subgrade.llm.pieces import op1_sentencepiece
 from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
+from subgrade.llm.simhash import op6_simhash_near_dedup
 from subgrade.llm.wordpieces import op2_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
