@@ -5,11 +5,13 @@ from subgrade.llm.pieces import op1_sentencepiece
 from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
 from subgrade.llm.simhash import op6_simhash_near_dedup
+from subgrade.llm.substrings import op3_substring_dedup
 from subgrade.llm.wordpieces import op2_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
