@@ -1,5 +1,6 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
+from subgrade.llm.backoff import OP7_SQL, op7_lm_scoring
 from subgrade.llm.packing import op8_best_fit_packing
 from subgrade.llm.pieces import op1_sentencepiece
 from subgrade.llm.rules import op9_quality_rules
@@ -13,9 +14,12 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_lm_scoring": OP7_SQL,
+}
