@@ -7,12 +7,14 @@ from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
 from subgrade.llm.simhash import op6_simhash_near_dedup
 from subgrade.llm.substrings import op3_substring_dedup
+from subgrade.llm.weaklabels import op4_quality_classifier
 from subgrade.llm.wordpieces import op2_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_best_fit_packing": op8_best_fit_packing,
