@@ -7,6 +7,7 @@ from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
 from subgrade.llm.simhash import op6_simhash_near_dedup
 from subgrade.llm.substrings import op3_substring_dedup
+from subgrade.llm.topk import OP5_SQL, op5_top_k_search
 from subgrade.llm.weaklabels import op4_quality_classifier
 from subgrade.llm.wordpieces import op2_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_top_k_search": op5_top_k_search,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_top_k_search": OP5_SQL,
     "op7_lm_scoring": OP7_SQL,
 }
