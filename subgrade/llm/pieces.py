@@ -27,7 +27,7 @@ MARK = 0x2581
 NONE = np.int64(1) << 30
 #: Longer words follow their own agenda, so that a block takes few rounds.
 LONG_WORD = 48
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 250_000
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -240,8 +240,10 @@ def decode_documents(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> D
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(name)
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, m) for x in batch.column(2).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [decode_ids(x.values.to_numpy().tolist(), m) if x.is_valid else None for x in part.column(2)]
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     cols = encoded.select("doc_id", "text", "ids")
     kind = encoded.select("doc_id").schema[0].dataType.simpleString()
