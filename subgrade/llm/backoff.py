@@ -15,6 +15,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,23 +23,26 @@ from subgrade.llm.common import documents, groups_of, own_columns, written
 
 ALPHA = 0.4
 #: Words of a chunk; a longer document is a chunk of its own.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 700_000
 #: N-grams that a hash partition gets, about.
 PARTITION_GRAMS = 3_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """chunk, doc_ids, texts, words: the documents in runs of about chunk_words words, each one row."""
+    """chunk, doc_ids, sizes, packed, words: the documents in runs of about chunk_words words, each one row; packed is
+    their texts' bytes together, compressed, as they move between tasks once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         nth, ids, texts, words = 0, [], [], 0
 
         def row() -> pa.RecordBatch:
+            raw = [t.encode() for t in texts]
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
             return pa.record_batch(
-                [pa.array([first + nth], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), pa.array([words], pa.int64())],
-                ["chunk", "doc_ids", "texts", "words"],
+                [pa.array([first + nth], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([words], pa.int64())],
+                ["chunk", "doc_ids", "sizes", "packed", "words"],
             )
 
         for batch in batches:
@@ -53,14 +57,20 @@ def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         if ids:
             yield row()
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(pack, "chunk long, doc_ids array<long>, texts array<string>, words long")
+    return own_columns(docs, "doc_id", "text").mapInArrow(pack, "chunk long, doc_ids array<long>, sizes array<int>, packed binary, words long")
+
+
+def unpacked(packed: bytes, sizes: list[int]) -> list[bytes]:
+    """The bytes of a chunk's texts."""
+    raw, ends = zstandard.ZstdDecompressor().decompress(packed) if sum(sizes) else b"", np.cumsum(sizes)
+    return [raw[e - n : e] for n, e in zip(sizes, ends.tolist())]
 
 
 class Grams:
     """The n-grams of a chunk's texts: distinct keys in order, how often each occurs, and which each position has."""
 
-    def __init__(self, texts: list[str], order: int):
-        words = [t.encode().split() for t in texts]
+    def __init__(self, texts: list[bytes], order: int):
+        words = [t.split() for t in texts]
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(self.lengths.sum()))
         self.doc = np.repeat(np.arange(len(words)), self.lengths)
@@ -119,8 +129,8 @@ def _blocks(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                g = Grams(texts.as_py(), order)
+            for chunk, sizes, packed in zip(*[batch.column(i) for i in range(3)]):
+                g, chunk = Grams(unpacked(packed.as_py(), sizes.as_py()), order), chunk.as_py()
                 ends = g.partition_ends(partitions)
                 spans = [(p, a, b) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if b > a]
                 if spans:
@@ -132,7 +142,7 @@ def _blocks(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
                         ["part", "chunk", "grams", "counts"],
                     )
 
-    return chunks.select("chunk", "texts").mapInArrow(send, "part int, chunk long, grams binary, counts binary")
+    return chunks.select("chunk", "sizes", "packed").mapInArrow(send, "part int, chunk long, grams binary, counts binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -145,7 +155,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "totals": pa.array([pack_counts(x) for x in answers])})
 
 
-def score_chunk(texts: list[str], totals: np.ndarray, corpus_words: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_chunk(texts: list[bytes], totals: np.ndarray, corpus_words: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, backoffs and log score of each text. totals: of the chunk's distinct n-grams, over all documents."""
     g = Grams(texts, order)
     others = []
@@ -185,16 +195,16 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA) -> Dat
     chunks = written(chunked(docs), "backoff-chunks")
     seen = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     partitions = groups_of(seen * order, PARTITION_GRAMS)
-    blocks = _blocks(chunks, order, partitions).repartition("part")
+    blocks = _blocks(chunks, order, partitions).repartition(partitions, "part")
     answers = blocks.groupBy("part").applyInArrow(_answer, "part int, chunk long, totals binary")
     gathered = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("answers"))
-    joined = chunks.join(gathered, "chunk", "left").select("doc_ids", "texts", F.col("answers.totals").alias("totals"))
+    joined = chunks.join(gathered, "chunk", "left").select("doc_ids", "sizes", "packed", F.col("answers.totals").alias("totals"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, packed in zip(batch.column(0), batch.column(1), batch.column(2)):
-                totals = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, packed.as_py() or [])])
-                n, backoffs, log = score_chunk(texts.as_py(), totals, seen, order, alpha)
+            for ids, sizes, packed, answers in zip(*[batch.column(i) for i in range(4)]):
+                totals = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, answers.as_py() or [])])
+                n, backoffs, log = score_chunk(unpacked(packed.as_py(), sizes.as_py()), totals, seen, order, alpha)
                 yield pa.record_batch([ids.values, *map(pa.array, (n, backoffs, log))], ["doc_id", "n_words", "n_backoffs", "log_score"])
 
     return joined.mapInArrow(score, "doc_id long, n_words long, n_backoffs long, log_score double")

@@ -33,16 +33,13 @@ def buffer_hits(points: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def drape(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """queries with draped_z: the height of the nearest point, in the plane, of a few segments; 0 where there are none."""
-    packed = segments.agg(F.collect_list(F.struct("seg_id", "x1", "y1", "z1", "x2", "y2", "z2")).alias("segs"))
-
-    def one(s):
-        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        length2 = dx * dx + dy * dy
-        t = ((F.col("x") - s["x1"]) * dx + (F.col("y") - s["y1"]) * dy) / F.when(length2 > 1e-12, length2).otherwise(F.lit(1.0))
-        t = F.when(length2 > 1e-12, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-        ex, ey = F.col("x") - (s["x1"] + t * dx), F.col("y") - (s["y1"] + t * dy)
-        return F.struct((ex * ex + ey * ey).alias("d2"), s["seg_id"].alias("seg_id"), (s["z1"] + t * (s["z2"] - s["z1"])).alias("z"))
-
-    best = F.array_min(F.transform("segs", one))
-    return queries.crossJoin(F.broadcast(packed)).withColumn("draped_z", F.coalesce(best["z"], F.lit(0.0))).drop("segs")
+    """queries (pid, x, y) with draped_z, the height of the point of a few segments that is nearest in the plane; 0 where
+    there are none."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length2 = dx * dx + dy * dy
+    t = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.when(length2 > 1e-12, length2).otherwise(F.lit(1.0))
+    t = F.when(length2 > 1e-12, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    d2 = (F.col("x") - (F.col("x1") + t * dx)) ** 2 + (F.col("y") - (F.col("y1") + t * dy)) ** 2
+    sent = F.broadcast(segments.select("x1", "y1", "z1", "x2", "y2", "z2"))
+    pairs = queries.join(sent, F.lit(True), "left").withColumn("t", t).withColumns({"d2": d2, "h": F.col("z1") + F.col("t") * (F.col("z2") - F.col("z1"))})
+    return pairs.groupBy(*queries.columns).agg(F.coalesce(F.min_by("h", "d2"), F.lit(0.0)).alias("draped_z"))

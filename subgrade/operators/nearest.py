@@ -1,9 +1,9 @@
 """Nearest segments and nearest points.
 
-Candidates of a bounded number are sent to every task as arrays and searched there, without a shuffle. More are dealt
-to grid cells as wide as the search radius, which grows until every point is settled: a match within the radius shares
-a cell with the point, so it is exact. Ribbons have no such bound, since what lies beyond their ends doesn't count, and
-are searched in bounded arrays, one after the other.
+Segments of a bounded number are broadcast, and each point is compared with all of them in generated code. More are
+dealt to grid cells as wide as the search radius, which grows until every point is settled: a match within the radius
+shares a cell with the point, so it is exact. Ribbons have no such bound, since what lies beyond their ends doesn't
+count, and are broadcast in bounded parts, one after the other.
 """
 
 from __future__ import annotations
@@ -15,37 +15,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions.geometry import Seg, offsets
 
-#: Segments that one broadcast array holds: 100,000 of about 80 bytes.
+#: Segments that one broadcast holds: 100,000 of about 80 bytes.
 ARRAY_ROWS = 100_000
 FIELDS = ("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "hw")
 
 
-def _nearest_of(array: Column) -> Column:
-    """struct(d2, seg_id, xy, z) of the nearest of an array of segments to the row's x, y, z; the first id on ties."""
+def _searched(pairs: DataFrame, columns: list[str], d2: Column) -> DataFrame:
+    """The nearest segment of each point (columns) among its pairs: best_d2 and best_id.
 
-    def one(s: Column) -> Column:
-        xy2, z = offsets(Seg.of(s.getField), F.col("x"), F.col("y"), F.col("z"))
-        return F.struct((xy2 + z * z).alias("d2"), s.getField("seg_id").alias("seg_id"), F.sqrt(xy2).alias("xy"), z.alias("z"))
-
-    return F.array_min(F.transform(array, one))
-
-
-def _packed(segments: DataFrame, *by: str) -> DataFrame:
-    """Segments as one array for each `by`; the caller has checked that they are few."""
-    rows = F.collect_list(F.struct(*FIELDS)).alias("segs")
-    return segments.groupBy(*by).agg(rows) if by else segments.agg(rows)
+    Both are plain numbers, so the aggregation stays in generated code and combines before the shuffle. On ties the last
+    pair of a task counts, and segments are broadcast from the largest id down.
+    """
+    ranked = pairs.withColumn("d2", d2)
+    return ranked.groupBy(*columns).agg(F.min("d2").alias("best_d2"), F.min_by("seg_id", "d2").alias("best_id"))
 
 
-def _best(*found: Column) -> Column:
-    return F.array_min(F.filter(F.array(*found), lambda s: s.isNotNull()))
+def _d2() -> Column:
+    xy2, z = offsets(Seg.of(F.col), F.col("x"), F.col("y"), F.col("z"))
+    return xy2 + z * z
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    b = F.col("best")
-    far = F.lit(float("inf"))
-    return rows.withColumns({
-        "seg_id": b["seg_id"], "dist": F.coalesce(F.sqrt(b["d2"]), far), "dist_xy": F.coalesce(b["xy"], far), "dist_z": F.coalesce(b["z"], far),
-    }).drop("best")
+def _all_pairs(points: DataFrame, segs: DataFrame, match: list[str]) -> DataFrame:
+    """Each point with each of its segments, which are few and go to every task."""
+    sent = F.broadcast(segs.orderBy(F.desc("seg_id")))
+    return points.join(sent, match, "left") if match else points.join(sent, F.lit(True), "left")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | None = None, cell: float = 0.1, array_rows: int = ARRAY_ROWS) -> DataFrame:
@@ -57,23 +50,35 @@ def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | N
     segs = segments.select(*match, *FIELDS)
     n = segs.count()
     if n <= array_rows:
-        packed = F.broadcast(_packed(segs, *match))
-        joined = points.join(packed, match, "left") if match else points.crossJoin(packed)
-        return _unpacked(joined.withColumn("best", _nearest_of(F.col("segs"))).drop("segs"))
-    ribbons = segs.filter("hw > 1e-9")
-    found = _grid(points, segs.filter("hw <= 1e-9 or hw is null"), match, cell, array_rows)
-    return _unpacked(_in_arrays(found, ribbons, match, array_rows))
+        found = _searched(_all_pairs(points, segs, match), points.columns, _d2())
+    else:
+        solid = segs.filter("hw <= 1e-9 or hw is null")
+        found = _in_turn(_grid(points, solid, match, cell, array_rows), segs.filter("hw > 1e-9"), match, array_rows)
+    # the two parts of the distance, from the segment that was found
+    chosen = segs.select(*[F.col(c).alias(c if c == "seg_id" else f"s_{c}") for c in FIELDS])
+    if match:
+        chosen = chosen.dropDuplicates(["seg_id"])
+    joined = found.join(chosen, found["best_id"] == chosen["seg_id"], "left")
+    xy2, z = offsets(Seg.of(lambda c: F.col(f"s_{c}")), F.col("x"), F.col("y"), F.col("z"))
+    far = F.lit(float("inf"))
+    parts = {"dist": F.coalesce(F.sqrt("best_d2"), far), "dist_xy": F.coalesce(F.sqrt(xy2), far), "dist_z": F.coalesce(z, far)}
+    return joined.withColumns(parts).select(*points.columns, "seg_id", *parts)
+
+
+def _nearer(found: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Of two searches, the nearer result of each point."""
+    both = found.unionByName(other)
+    return both.groupBy(*columns).agg(F.min("best_d2").alias("best_d2"), F.min_by("best_id", "best_d2").alias("best_id"))
 
 
-def _in_arrays(points: DataFrame, segs: DataFrame, match: list[str], array_rows: int) -> DataFrame:
-    """points' best so far, against all of segs, in as many broadcast arrays as their number takes."""
-    blocks = -(-segs.count() // array_rows)
-    for b in range(blocks):
-        part = segs.filter(F.pmod(F.xxhash64("seg_id"), F.lit(blocks)) == b)
-        packed = F.broadcast(_packed(part, *match))
-        joined = points.join(packed, match, "left") if match else points.crossJoin(packed)
-        points = joined.withColumn("best", _best(F.col("best"), _nearest_of(F.col("segs")))).drop("segs")
-    return points
+def _in_turn(found: DataFrame, segs: DataFrame, match: list[str], array_rows: int) -> DataFrame:
+    """found, against all of segs too, in as many broadcast parts as their number takes."""
+    columns = [c for c in found.columns if c not in ("best_d2", "best_id")]
+    parts = -(-segs.count() // array_rows)
+    for b in range(parts):
+        part = segs.filter(F.pmod(F.xxhash64("seg_id"), F.lit(parts)) == b)
+        found = _nearer(found, _searched(_all_pairs(found.select(*columns), part, match), columns, _d2()), columns)
+    return found
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -81,23 +86,20 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 
 
 def _grid(points: DataFrame, segs: DataFrame, match: list[str], cell: float, array_rows: int, growth: float = 4.0, rounds: int = 5) -> DataFrame:
-    """best of each point among segs, by cells; what is left after the last round goes to arrays."""
-    kind = "struct<d2:double,seg_id:bigint,xy:double,z:double>"
+    """best_d2 and best_id of each point among segs, by cells; what is left after the last round meets all of them."""
     settled, left, size = [], points, cell
+    columns = points.columns
     for _ in range(rounds):
         reach = F.lit(size)
         spread = segs.withColumn("cx", F.explode(_cells(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, size)))
         spread = spread.withColumn("cy", F.explode(_cells(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, size)))
-        # bounded arrays: a crowded cell has several
-        nth = F.row_number().over(Window.partitionBy(*match, "cx", "cy").orderBy("seg_id"))
-        arrays = spread.withColumn("chunk", F.floor(nth / 512)).groupBy(*match, "cx", "cy", "chunk").agg(F.collect_list(F.struct(*FIELDS)).alias("segs"))
         here = left.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-        near = here.join(arrays, [*match, "cx", "cy"]).select("pid", _nearest_of(F.col("segs")).alias("b"))
-        best = near.groupBy("pid").agg(F.min("b").alias("best")).filter(F.col("best.d2") <= size * size)
-        settled.append(left.join(best, "pid"))
-        left = left.join(best.select("pid"), "pid", "left_anti")
+        best = _searched(here.join(spread, [*match, "cx", "cy"]), columns, _d2()).filter(F.col("best_d2") <= size * size)
+        settled.append(best)
+        left = left.join(best.select("pid"), "pid", "left_anti").select(*columns)
         size *= growth
-    rest = _in_arrays(left.withColumn("best", F.lit(None).cast(kind)), segs, match, array_rows)
+    kind = {"best_d2": F.lit(None).cast("double"), "best_id": F.lit(None).cast("long")}
+    rest = _in_turn(left.withColumns(kind), segs, match, array_rows)
     return reduce(DataFrame.unionByName, settled, rest)
 
 

@@ -65,12 +65,8 @@ def nearest_segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT instance, round(avg(a), 6) AS active_mean, round(max(a), 6) AS active_max, round(avg(i), 6) AS inactive_mean, round(max(i), 6) AS inactive_max
 FROM found GROUP BY instance""")
 def deviation_active_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts, segs = sites.points(spark, sf_dir), sites.segments(spark, sf_dir)
-    found = {}
-    for name, keep in (("active", F.col("is_active")), ("inactive", ~F.col("is_active"))):
-        found[name] = nearest.nearest_segment(pts, segs.filter(keep)).select("pid", "instance", F.col("dist").alias(name))
-    both = found["active"].join(found["inactive"].drop("instance"), "pid")
-    out = both.groupBy("instance").agg(*[f(n).alias(f"{n}_{k}") for n in found for k, f in (("mean", F.avg), ("max", F.max))])
+    found = deviation.by_status(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
+    out = found.groupBy("instance").agg(*[f(f"dist_{n}").alias(f"{n}_{k}") for n in ("active", "inactive") for k, f in (("mean", F.avg), ("max", F.max))])
     return _rounded(out, "active_mean", "active_max", "inactive_mean", "inactive_max")
 
 
