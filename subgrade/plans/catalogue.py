@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from subgrade.functions import dims, scalars as S
 from subgrade.functions.geometry import in_polygon
@@ -36,7 +36,10 @@ def _r(*names: str, to: int = 6) -> str:
     return ", ".join(f"round({n}, {to}) AS {n}" for n in names)
 
 
-INSIDE = in_polygon(F.col("x"), F.col("y"), TRENCH)
+def _inside() -> Column:
+    return in_polygon(F.col("x"), F.col("y"), TRENCH)
+
+
 _EDGES = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip(TRENCH, [*TRENCH[1:], TRENCH[0]]))
 IN_TRENCH = f"""(SELECT count(*) FROM (VALUES {_EDGES}) AS e(ax, ay, bx, by)
   WHERE (ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax) % 2 = 1"""
@@ -75,7 +78,7 @@ def deviation_active_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT utility_type, CASE WHEN {IN_TRENCH} THEN dist END AS d FROM found) GROUP BY utility_type""")
 def class_summary_in_trench(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
-    return _rounded(deviation.class_summary(found, INSIDE), "mean", "p95", "max")
+    return _rounded(deviation.class_summary(found, _inside()), "mean", "p95", "max")
 
 
 _TYPE_LAYERS = ", ".join(f"({k}, '{v}')" for k, v in dims.TYPE_TO_LAYER.items())
@@ -114,13 +117,13 @@ def deviation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM found WHERE {IN_TRENCH}""")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
-    rows = deviation.export_rows(found, INSIDE, "dist", TX, TY, TZ)
+    rows = deviation.export_rows(found, _inside(), "dist", TX, TY, TZ)
     return _rounded(rows.select("pid", "x", "y", "z", "classification", "intensity"), "z")
 
 
 @query(f"WITH {PTS} SELECT pid FROM pts WHERE {IN_TRENCH}")
 def point_in_trench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.points(spark, sf_dir).filter(INSIDE).select("pid")
+    return sites.points(spark, sf_dir).filter(_inside()).select("pid")
 
 
 @query(f"WITH {PTS}, c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM pts) SELECT pid, x, y FROM pts, c WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 4.0")
@@ -344,7 +347,7 @@ def renumbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PTS} SELECT site_id, count(*) AS n_read, count(*) FILTER (WHERE {IN_TRENCH}) AS n_kept FROM pts GROUP BY ROLLUP (site_id)")
 def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.points(spark, sf_dir).rollup("site_id").agg(F.count("*").alias("n_read"), F.count_if(INSIDE).alias("n_kept"))
+    return sites.points(spark, sf_dir).rollup("site_id").agg(F.count("*").alias("n_read"), F.count_if(_inside()).alias("n_kept"))
 
 
 @query(f"WITH {PTS} SELECT pid, x, y, z FROM pts WHERE pid % 60 = 0")
