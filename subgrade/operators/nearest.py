@@ -1,9 +1,9 @@
 """Nearest segments and nearest points.
 
-Segments of a bounded number are broadcast, and each point is compared with all of them in generated code. More are
-dealt to grid cells as wide as the search radius, which grows until every point is settled: a match within the radius
-shares a cell with the point, so it is exact. Ribbons have no such bound, since what lies beyond their ends doesn't
-count, and are broadcast in bounded parts, one after the other.
+A few segments are broadcast, and each point is compared with all of them in generated code. More are dealt to grid
+cells as wide as the search radius, which grows until every point is settled: a match within the radius shares a cell
+with the point, so it is exact. Ribbons have no such bound, since what lies beyond their ends doesn't count, and are
+broadcast in bounded parts, one after the other.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions.geometry import Seg, offsets
+from subgrade.tables import written
 
-#: Segments that one broadcast holds: 100,000 of about 80 bytes.
+#: Ribbons that one broadcast holds: 100,000 of about 80 bytes.
 ARRAY_ROWS = 100_000
+#: Up to so many segments each point is compared with all; more go by cells.
+FEW = 5_000
 FIELDS = ("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "hw")
 
 
@@ -41,7 +44,7 @@ def _all_pairs(points: DataFrame, segs: DataFrame, match: list[str]) -> DataFram
     return points.join(sent, match, "left") if match else points.join(sent, F.lit(True), "left")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | None = None, cell: float = 0.1, array_rows: int = ARRAY_ROWS) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | None = None, cell: float = 0.1, few: int = FEW) -> DataFrame:
     """points (pid, x, y, z, ...) with seg_id, dist, dist_xy, dist_z of the nearest segment; infinite where there is none.
 
     match: columns of both sides that have to be equal. dist**2 = dist_xy**2 + dist_z**2.
@@ -49,11 +52,11 @@ def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | N
     match = match or []
     segs = segments.select(*match, *FIELDS)
     n = segs.count()
-    if n <= array_rows:
+    if n <= few:
         found = _searched(_all_pairs(points, segs, match), points.columns, _d2())
     else:
         solid = segs.filter("hw <= 1e-9 or hw is null")
-        found = _in_turn(_grid(points, solid, match, cell, array_rows), segs.filter("hw > 1e-9"), match, array_rows)
+        found = _in_turn(_grid(points, solid, match, cell), segs.filter("hw > 1e-9"), match, ARRAY_ROWS)
     # the two parts of the distance, from the segment that was found
     chosen = segs.select(*[F.col(c).alias(c if c == "seg_id" else f"s_{c}") for c in FIELDS])
     if match:
@@ -85,54 +88,69 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def _grid(points: DataFrame, segs: DataFrame, match: list[str], cell: float, array_rows: int, growth: float = 4.0, rounds: int = 5) -> DataFrame:
-    """best_d2 and best_id of each point among segs, by cells; what is left after the last round meets all of them."""
-    settled, left, size = [], points, cell
+def _extent(*frames: DataFrame) -> float:
+    """The diagonal of the box around all the frames' coordinates x, y, z; no two of them are farther apart."""
+    rows = reduce(DataFrame.unionByName, frames)
+    low, high = [f"low_{c}" for c in "xyz"], [f"high_{c}" for c in "xyz"]
+    box = rows.agg(*[F.min(c).alias(n) for c, n in zip("xyz", low)], *[F.max(c).alias(n) for c, n in zip("xyz", high)]).first()
+    return sum(((box[h] or 0.0) - (box[n] or 0.0)) ** 2 for n, h in zip(low, high)) ** 0.5
+
+
+def _grid(points: DataFrame, segs: DataFrame, match: list[str], cell: float, growth: float = 4.0) -> DataFrame:
+    """best_d2 and best_id of each point among segs. A round settles the points whose nearest lies within its radius; the
+    next takes the others with wider cells, until the radius covers everything."""
     columns = points.columns
-    for _ in range(rounds):
+    left, segs = written(points, "nearest-points"), written(segs, "nearest-segments")
+    ends = [segs.select(*[F.col(f"{c}{i}").alias(c) for c in "xyz"]) for i in (1, 2)]
+    far, settled, size = _extent(left.select("x", "y", "z"), *ends), [], cell
+    while not left.isEmpty():
         reach = F.lit(size)
         spread = segs.withColumn("cx", F.explode(_cells(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, size)))
         spread = spread.withColumn("cy", F.explode(_cells(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, size)))
         here = left.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-        best = _searched(here.join(spread, [*match, "cx", "cy"]), columns, _d2()).filter(F.col("best_d2") <= size * size)
+        best = _searched(here.join(spread, [*match, "cx", "cy"]), columns, _d2())
+        best = written(best if size >= far else best.filter(F.col("best_d2") <= size * size), "nearest-best")
         settled.append(best)
-        left = left.join(best.select("pid"), "pid", "left_anti").select(*columns)
+        left = written(left.join(best.select("pid"), "pid", "left_anti").select(*columns), "nearest-left")
+        if size >= far:
+            break
         size *= growth
-    kind = {"best_d2": F.lit(None).cast("double"), "best_id": F.lit(None).cast("long")}
-    rest = _in_turn(left.withColumns(kind), segs, match, array_rows)
-    return reduce(DataFrame.unionByName, settled, rest)
+    # no segment matches these
+    none = left.withColumns({"best_d2": F.lit(None).cast("double"), "best_id": F.lit(None).cast("long")})
+    return reduce(DataFrame.unionByName, settled, none)
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, k: int, cell: float, match: list[str] | None = None, flat: bool = False, rounds: int = 6, growth: float = 2.0) -> DataFrame:
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, cell: float, match: list[str] | None = None, flat: bool = False, growth: float = 3.0) -> DataFrame:
     """qid, pid, d2, px, py, pz, rank: the k nearest points of each query, in 3D or (flat) in the plane; ties to the smaller pid.
 
     Queries and points share cells as wide as the radius; a query is settled once it has k points within the radius, and
-    else tries a wider one. What is left after the last round is compared with all points, which are then few or far.
+    else goes to the next round with a wider one, until the radius covers everything: there, fewer than k are all there are.
     """
     match = match or []
-    q = queries.select("qid", *match, *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    p = points.select("pid", *match, *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    left = written(queries.select("qid", *match, *[F.col(c).alias(f"q{c}") for c in "xyz"]), "nearest-queries")
+    p = written(points.select("pid", *match, *[F.col(c).alias(f"p{c}") for c in "xyz"]), "nearest-points")
     diff = [(F.col(f"q{c}") - F.col(f"p{c}")) for c in ("xy" if flat else "xyz")]
     d2 = reduce(lambda a, b: a + b, [x * x for x in diff])
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("d2", d2).withColumn("rank", place).filter(F.col("rank") <= k)
-
-    done, left, size = [], q, cell
-    for _ in range(rounds):
-        around = F.sequence(F.lit(-1), F.lit(1))
-        here = left.withColumns({"ix": F.explode(around)}).withColumn("iy", F.explode(around))
+    by = Window.partitionBy("qid")
+    far = _extent(*[t.select(*[F.col(f"{n}{c}").alias(c) for c in "xyz"]) for t, n in ((left, "q"), (p, "p"))])
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    done, size = [], cell
+    while True:
+        here = left.withColumn("ix", around).withColumn("iy", around)
         here = here.withColumns({"cx": F.floor(F.col("qx") / size) + F.col("ix"), "cy": F.floor(F.col("qy") / size) + F.col("iy")})
         there = p.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
-        best = ranked(here.join(there, [*match, "cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= size * size))
-        full = best.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
-        done.append(best.join(full, "qid").select("qid", "pid", "d2", "px", "py", "pz", "rank"))
-        left = left.join(full, "qid", "left_anti")
+        near = here.join(there, [*match, "cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= size * size)
+        ranked = near.withColumn("rank", F.row_number().over(by.orderBy("d2", "pid"))).filter(F.col("rank") <= k)
+        best = written(ranked.withColumn("n", F.count("*").over(by)).select("qid", "pid", "d2", "px", "py", "pz", "rank", "n"), "nearest-best")
+        if size >= far:
+            done.append(best)
+            break
+        done.append(best.filter(F.col("n") == k))
+        left = written(left.join(best.filter(F.col("rank") == k).select("qid"), "qid", "left_anti"), "nearest-left")
+        if left.isEmpty():
+            break
         size *= growth
-    rest = left.join(p, match) if match else left.crossJoin(p)
-    done.append(ranked(rest).select("qid", "pid", "d2", "px", "py", "pz", "rank"))
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).drop("n")
 
 
 def pick(hit: tuple[float, float, float], components: DataFrame, segments: DataFrame, near_component: float = 0.20, near_segment: float = 0.30) -> DataFrame:

@@ -41,8 +41,8 @@ def _inside() -> Column:
 
 
 _EDGES = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip(TRENCH, [*TRENCH[1:], TRENCH[0]]))
-IN_TRENCH = f"""(SELECT count(*) FROM (VALUES {_EDGES}) AS e(ax, ay, bx, by)
-  WHERE (ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax) % 2 = 1"""
+IN_TRENCH = f"""(SELECT count(*) FROM (VALUES {_EDGES}) AS e(ax, ay, bx, by_)
+  WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax) % 2 = 1"""
 STATS_SQL = """avg(dist) AS mean, quantile_cont(dist, 0.5) AS median, stddev_pop(dist) AS std, quantile_cont(dist, 0.95) AS p95,
   max(dist) AS max, min(dist) AS min, count(dist) AS n"""
 STATS = ("mean", "median", "std", "p95", "max", "min")
@@ -378,7 +378,7 @@ _TEXT_ROWS = ", ".join(str(t) for t in _TEXTS)
 
 @query(f"""WITH t AS (SELECT * FROM (VALUES {_TEXT_ROWS}) AS t(id, file, stem, supply, folder, d))
 SELECT id, ([4, 7, 0, 0])[id + 1] AS utility_type, regexp_replace(stem, '^Area_\\d+_', '') AS base, (['Telekommunikationsledning', 'TermiskLedning', 'Vandledning', NULL])[id + 1] AS line,
-  ([0.98, 1.0, 0.0, 0.5])[id + 1]::DOUBLE AS red, ([5, NULL, 7, NULL])[id + 1] AS area, ([0.3, 0.6, 0.84, 0.8])[id + 1]::DOUBLE AS gradient_red FROM t""")
+  ([0.98, 1.0, 0.0, 0.5])[id + 1]::DOUBLE AS red, ([5, NULL, 7, NULL])[id + 1] AS area, ([0.3, 0.6, 1.0, 0.8])[id + 1]::DOUBLE AS gradient_red FROM t""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame(_TEXTS, "id int, file string, stem string, supply string, folder string, d double")
     grey = F.struct(*[F.lit(0.5).alias(c) for c in "rgb"])

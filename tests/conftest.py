@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -46,7 +47,7 @@ def same_rows(got, wanted) -> None:
         return sorted((tuple(plain(v) for v in row) for row in frame[columns].itertuples(index=False, name=None)), key=repr)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if hasattr(v, "item"):
             v = v.item()
