@@ -12,6 +12,9 @@ import numpy as np
 
 #: Trees up to this size send all their points down at once.
 SMALL = 256
+#: Words that queries meet at most in one go, so that memory doesn't grow with trees or their number. One query meets no
+#: more than its tree.
+MEETINGS = 1 << 20
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,6 +28,7 @@ class Forest:
     def __init__(self, points: np.ndarray, group: np.ndarray):
         self.points = points
         far = 64 * points.shape[1] + 1
+        sizes = np.bincount(group)
         order = np.argsort(group, kind="stable")
         group = group[order]
         pivots, parents, edges = [], [], []
@@ -52,11 +56,17 @@ class Forest:
         nodes = np.arange(len(self.pivot))
         self.first_child = np.searchsorted(parent[self.roots :], nodes, "left") + self.roots
         self.n_children = np.searchsorted(parent[self.roots :], nodes, "right") + self.roots - self.first_child
+        self.sizes = sizes
 
     def within(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) for all points within the radius of points[query] in the tree of its root."""
-        found_q, found_p = [], []
-        q, node = queries, roots
+        turn = np.cumsum(self.sizes[roots] * self.points.shape[1]) // MEETINGS
+        cuts = np.flatnonzero(turn[1:] != turn[:-1]) + 1
+        turns = [self._descend(q, r, radius) for q, r in zip(np.split(queries, cuts), np.split(roots, cuts))]
+        return tuple(np.concatenate(x) for x in zip(*turns))
+
+    def _descend(self, q: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        found_q, found_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(q):
             d = distances(self.points[q], self.points[self.pivot[node]])
             near = d <= radius
@@ -67,7 +77,7 @@ class Forest:
             q, d = np.repeat(q, n), np.repeat(d, n)
             follow = np.abs(self.edge[child] - d) <= radius
             q, node = q[follow], child[follow]
-        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_p))
+        return np.concatenate(found_q), np.concatenate(found_p)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,7 +111,8 @@ def _outward(points: np.ndarray, radius: int) -> np.ndarray:
                 break
             frontier = members[:1]
             label[frontier] = frontier
-        batch, frontier = frontier[:SMALL], frontier[SMALL:]
+        at_once = max(1, MEETINGS // (len(tree_of) * points.shape[1]))
+        batch, frontier = frontier[:at_once], frontier[at_once:]
         # queries may have left the tree: they go down it as points beside it
         tree.points = np.concatenate([points[tree_of], points[batch]])
         q = len(tree_of) + np.arange(len(batch))
