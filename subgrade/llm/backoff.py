@@ -170,7 +170,7 @@ def score_chunk(texts: list[bytes], totals: np.ndarray, corpus_words: int, order
     for n in range(1, order):
         here = np.zeros(len(log), dtype=np.int64)
         here[g.at[n]] = others[n]
-        context = np.concatenate(([0], lower[:-1]))
+        context = np.concatenate(([0], lower))[:-1]
         has = np.zeros(len(log), dtype=bool)
         has[g.at[n]] = True
         seen = has & (here > 0)
@@ -180,7 +180,7 @@ def score_chunk(texts: list[bytes], totals: np.ndarray, corpus_words: int, order
         backoffs[has & ~seen] += 1
         lower = here
     size = len(texts)
-    return g.lengths, np.bincount(g.doc, backoffs, size).astype(np.int64), np.bincount(g.doc, log, size)
+    return g.lengths, np.bincount(g.doc, backoffs, size).astype(np.int64), np.bincount(g.doc, log, size).astype(np.float64)
 
 
 def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA) -> DataFrame:
