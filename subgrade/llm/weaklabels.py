@@ -25,6 +25,8 @@ TRAIN_ROWS = 6_000
 #: A flagged term is in this share of the toxic rows at least, and that share of the rows with it are toxic.
 TERM_SUPPORT, TERM_LEAST, TERM_PRECISION = 0.01, 4, 0.95
 DIMENSIONS = 1 << 18
+#: Rows whose terms a task holds at a time.
+SLICE_ROWS = 200
 LABELLERS = ("symbols", "marks", "capitals", "repeats", "lines", "varied", "lengths", "flagged")
 #: Words that a text needs for each labeller, and the vote where it has fewer: no evidence for either class.
 LEAST_WORDS = np.array([1, 1, 10, 20, 20, 50, 20, 1])
@@ -150,6 +152,13 @@ def flagged_terms(docs: DataFrame, labels: DataFrame, rows: int = TERM_ROWS) ->
     return frozenset(bytes(r.term) for r in kept.select("term").collect())
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as the sets of terms of a whole batch of texts take much memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _votes(texts: list, flagged: frozenset[bytes]) -> tuple[np.ndarray, list[set[bytes]]]:
     terms = [terms_of(t or "") for t in texts]
     counts = np.array([counts_of(t) for t in texts], dtype=np.int64).reshape(len(texts), -1)
@@ -160,8 +169,8 @@ def vote_counts(docs: DataFrame, flagged: frozenset[bytes]) -> DataFrame:
     """pattern and how many of all documents have it."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, _ = _votes(batch.column(0).to_pylist(), flagged)
+        for part in slices(batches):
+            votes, _ = _votes(part.column(0).to_pylist(), flagged)
             yield pa.record_batch([pa.array(pattern_of(votes))], ["pattern"])
 
     return own_columns(docs, "text").mapInArrow(vote, "pattern long").groupBy("pattern").agg(F.count("*").alias("n"))
@@ -176,8 +185,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROW
     chances = dict(zip(patterns.tolist(), chance.tolist()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, terms = _votes(batch.column(0).to_pylist(), flagged)
+        for part in slices(batches):
+            votes, terms = _votes(part.column(0).to_pylist(), flagged)
             yield pa.record_batch([pa.array(pattern_of(votes)), pa.array([hashed(t, v).tobytes() for t, v in zip(terms, votes)], pa.binary())], ["pattern", "features"])
 
     # ids first, so that no more than the sample's texts move
@@ -192,19 +201,17 @@ def classify(docs: DataFrame, model: Classifier, threshold: float = 0.0) -> Data
     """doc_id, votes, flagged, posterior, score, kept of every row of docs."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                votes, terms = _votes(part.column(1).to_pylist(), model.flagged)
-                patterns = pattern_of(votes)
-                score = np.empty(len(terms))
-                for i, (t, v) in enumerate(zip(terms, votes)):
-                    x = hashed(t, v)
-                    score[i] = model.weights[x] @ feature_values(len(x)) + model.bias
-                signs = ["".join("-.+?"[v + 1] for v in row) for row in votes]
-                posterior = [model.chances.get(int(p), model.prior) for p in patterns]
-                columns = [pa.array(signs, pa.string()), pa.array(votes[:, -1] < 0), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= threshold)]
-                yield pa.record_batch([part.column(0), *columns], ["doc_id", "votes", "flagged", "posterior", "score", "kept"])
+        for part in slices(batches):
+            votes, terms = _votes(part.column(1).to_pylist(), model.flagged)
+            patterns = pattern_of(votes)
+            score = np.empty(len(terms))
+            for i, (t, v) in enumerate(zip(terms, votes)):
+                x = hashed(t, v)
+                score[i] = model.weights[x] @ feature_values(len(x)) + model.bias
+            signs = ["".join("-.+?"[v + 1] for v in row) for row in votes]
+            posterior = [model.chances.get(int(p), model.prior) for p in patterns]
+            columns = [pa.array(signs, pa.string()), pa.array(votes[:, -1] < 0), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= threshold)]
+            yield pa.record_batch([part.column(0), *columns], ["doc_id", "votes", "flagged", "posterior", "score", "kept"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return own_columns(docs, "doc_id", "text").mapInArrow(judge, f"doc_id {kind}, votes string, flagged boolean, posterior double, score double, kept boolean")
