@@ -12,34 +12,18 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from subgrade.llm.bktree import spanning_links
 from subgrade.llm.common import documents, own_columns, written
 from subgrade.llm.components import connected_components
+from subgrade.llm.shinglesets import near_copies, shingle_hashes
 
-SEED = 42
 #: A shard with more points is split once more by the bits that its points may differ in.
 SHARD_POINTS = 1024
 _BYTES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """XXH64 of each run of `width` words, A-Z in lower case, joined by one space; of all words if they are fewer."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
-
-
 def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """lanes x hashes: the hash itself, then mixes of it."""
     out = np.empty((lanes, len(hashes)), dtype=np.uint64)
@@ -118,16 +102,6 @@ def exact_shards(points: DataFrame, radius: int = 2) -> DataFrame:
     return keyed.join(crowd, "shard").select(F.explode(names).alias("shard"), "rep", "fp")
 
 
-def band_shards(points: DataFrame, bits: int = 16) -> DataFrame:
-    """shard, rep, fp: points that agree in a whole run of `bits` bits of any word share a shard."""
-    per_word = 64 // bits
-    value = F.expr(f"shiftrightunsigned(element_at(fp, cast(floor(k / {per_word}) as int) + 1), cast(pmod(k, {per_word}) * {bits} as int))")
-    keyed = points.select("rep", "fp", F.explode(F.sequence(F.lit(0), F.size("fp") * per_word - 1)).alias("k"))
-    keyed = keyed.select(F.xxhash64("k", value.bitwiseAND((1 << bits) - 1)).alias("shard"), "rep", "fp")
-    crowd = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(crowd, "shard").select("shard", "rep", "fp")
-
-
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of the shards in rows that come sorted by shard; a shard may go over several batches."""
     kept: list[pa.RecordBatch] = []
@@ -159,39 +133,33 @@ def link_shards(shards: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _links(batches, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, lanes: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that chains of fingerprints within the radius reach.
 
-    With one word of 64 bits every link is found. With more, candidates agree in a run of 16 bits, and links are those
-    of them within the radius over all words. Null, empty and one-word texts have fingerprints like any other; repeated
-    rows share a component; an empty table gives no rows; other columns are ignored. Rows with a null doc_id are left out.
+    Every link of the one word of 64 bits is found. Null, empty and one-word texts have fingerprints like any other;
+    repeated rows share a component; an empty table gives no rows; other columns are ignored. Rows with a null doc_id are
+    left out.
     """
-    fps = written(fingerprints(docs.filter("doc_id is not null"), width, lanes), "simhash-fingerprints")
+    fps = written(fingerprints(docs.filter("doc_id is not null"), width), "simhash-fingerprints")
     points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
-    shards = exact_shards(points, radius) if lanes == 1 else band_shards(points)
-    groups = connected_components(link_shards(shards, radius))
+    groups = connected_components(link_shards(exact_shards(points, radius), radius))
     named = points.join(groups, points["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     # both sides as tables, so that a fingerprint that many documents share can be split in the join
     return fps.join(written(named, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Five-word shingles that agree in a share j have fingerprints whose bits differ at a rate of acos(2j / (1 + j)) / pi:
-#: 0.151 for j = 0.8, so 77 of 512 bits, and one standard deviation more.
-NEAR_WIDTH, NEAR_LANES, NEAR_RADIUS = 5, 8, 85
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS, lanes: int = NEAR_LANES) -> DataFrame:
-    """docs without those that another document with a smaller doc_id is linked to: one document of each group stays.
+def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs without those that chains of similar shingle sets connect with a smaller doc_id: one document of each group stays.
 
+    Similar is a share of at least 0.8 of both sets' shingles, compared exactly: a fingerprint's distance only estimates it.
     Texts without words are no copies of each other and stay.
     """
     worded = docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    groups = near_duplicates(worded, width, radius, lanes)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = near_copies(worded, width).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(documents(spark, sf_dir), width=3, radius=2, lanes=1)
+    out = near_duplicates(documents(spark, sf_dir), width=3, radius=2)
     word = F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0"))
     return out.select("doc_id", word.alias("fingerprint"), "component_id")

@@ -1,0 +1,26 @@
+from subgrade.llm import simhash
+from tests.llm.fixtures import by_id, prose, table_of
+
+
+def sets_of(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def likeness(a, b):
+    a, b = sets_of(a), sets_of(b)
+    return len(a & b) / len(a | b)
+
+
+def with_tail(seed, shared, own):
+    """Two texts that share their first words: `shared` shingles of shared + 2 * own."""
+    head = prose(seed, shared + 4, 10**6)
+    return [f"{head} {prose(seed + k, own, 10**6)}" for k in (10**6, 2 * 10**6)]
+
+
+def test_every_pair_from_the_threshold_up_is_found(spark):
+    pairs = [with_tail(k, 400, own) for k, own in enumerate([50, 48, 45, 40, 36] * 12)]
+    like = [likeness(*p) for p in pairs]
+    assert min(like) == 0.8 and max(like) < 0.86
+    kept = by_id(simhash.drop_near_duplicates(table_of(spark, [t for p in pairs for t in p])).collect())
+    assert sorted(kept) == list(range(0, 2 * len(pairs), 2))
