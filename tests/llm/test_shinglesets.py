@@ -24,3 +24,9 @@ def test_every_pair_from_the_threshold_up_is_found(spark):
     assert min(like) == 0.8 and max(like) < 0.86
     kept = by_id(simhash.drop_near_duplicates(table_of(spark, [t for p in pairs for t in p])).collect())
     assert sorted(kept) == list(range(0, 2 * len(pairs), 2))
+
+
+def test_pairs_below_the_threshold_stay(spark):
+    texts = [t for k, own in enumerate([51, 53, 57, 66] * 15) for t in with_tail(k, 400, own)]
+    assert all(0.74 < likeness(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert simhash.drop_near_duplicates(table_of(spark, texts)).count() == len(texts)
