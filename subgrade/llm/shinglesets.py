@@ -67,6 +67,13 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(compute, "rep long, s array<long>")
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     parts = groups_of(docs.count(), SAMPLE_DOCS)
     some = shingle_sets(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0), width)
@@ -87,7 +94,7 @@ def sketches(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
                     s = np.unique(shingle_hashes(text, width))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    late = np.isin(s, common)
+                    late = _among(s, common)
                     first.append(np.concatenate([s[~late], s[late]])[: len(s) + (-4 * len(s) // 5) + 1])
                 k = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
                 columns = [part.column(0), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(sizes, pa.int32()), _lists(first)]
@@ -103,26 +110,33 @@ def _may_be_similar(a: str, b: str) -> Column:
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).filter("u < v").distinct()
+    return joined.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), _may_be_similar("a", "b").alias("may")).filter("u < v")
 
 
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs u, v of each shard's points with one of them, which an order that all shards share picks."""
     order = F.xxhash64("rep", F.lit(turn))
     centre = rows.groupBy("shard").agg(*[F.min_by(c, order).alias(c) for c in ("rep", "n", "pos", "comp")])
-    return _pairs(rows.alias("a").join(centre.alias("b"), (F.col("a.shard") == F.col("b.shard")) & _may_be_similar("a", "b")))
+    joined = rows.alias("a").join(centre.alias("b"), (F.col("a.shard") == F.col("b.shard")) & _may_be_similar("a", "b"))
+    return _pairs(joined).select("u", "v").distinct()
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
     """All pairs u, v of a shard's points that lie in different components. One of a pair lies outside the shard's largest
-    component; those points meet all, block by block."""
+    component; those points meet all, block by block.
+
+    A pair meets in each first shingle that both have. What else it shares lies behind the first shingles of one of the
+    two, so pairs that meet too seldom are left out.
+    """
     block = lambda m: F.pmod(F.xxhash64("rep"), F.ceil(F.col(m) / SHARD_POINTS))
     blocks = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(m) / SHARD_POINTS) - 1))
     few = rows.filter("comp <> top").withColumn("i", block("outside")).withColumn("j", blocks("points"))
     every = rows.withColumn("j", block("points")).withColumn("i", blocks("outside"))
     meet = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("shard", "i", "j")])
-    once = F.expr("b.comp = b.top or a.rep < b.rep")
-    return _pairs(few.alias("a").join(every.alias("b"), meet & once & _may_be_similar("a", "b")))
+    once = F.expr("a.comp <> b.comp and (b.comp = b.top or a.rep < b.rep) and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
+    met = _pairs(few.alias("a").join(every.alias("b"), meet & once)).groupBy("u", "v")
+    met = met.agg(F.count("*").alias("met"), F.max(F.greatest("n", "m")).alias("larger"), F.max(F.col("n") + F.col("m")).alias("both"), F.max("may").alias("may"))
+    return met.filter("may and 9 * (met + ceil(larger * 4 / 5) - 1) >= 4 * both").select("u", "v")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:

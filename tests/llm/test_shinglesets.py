@@ -1,4 +1,8 @@
-from subgrade.llm import simhash
+import random
+
+import pytest
+
+from subgrade.llm import shinglesets, simhash
 from tests.llm.fixtures import by_id, prose, table_of
 
 
@@ -12,6 +16,24 @@ def likeness(a, b):
     return len(a & b) / len(a | b)
 
 
+def brute(texts):
+    """The smallest id that chains of texts at 0.8 or more reach."""
+    sets = [sets_of(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
 def with_tail(seed, shared, own):
     """Two texts that share their first words: `shared` shingles of shared + 2 * own."""
     head = prose(seed, shared + 4, 10**6)
@@ -30,3 +52,36 @@ def test_pairs_below_the_threshold_stay(spark):
     texts = [t for k, own in enumerate([51, 53, 57, 66] * 15) for t in with_tail(k, 400, own)]
     assert all(0.74 < likeness(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
     assert simhash.drop_near_duplicates(table_of(spark, texts)).count() == len(texts)
+
+
+def crowd(r, n):
+    """Copies of one text with a few, or many, words changed, and texts that share a line."""
+    base, line, out = prose(1, 150, 10**6).split(), prose(2, 20, 10**6), []
+    for k in range(n):
+        words = base[:]
+        for at in r.sample(range(150), r.choice([1, 2, 3, 8])):
+            words[at] = f"c{r.randrange(10**6)}"
+        out += [" ".join(words), f"{prose(k + 10, 30, 10**6)} {line}", prose(k + 10**4, 90, 10**6)]
+    return out
+
+
+@pytest.mark.parametrize("points,pairs,often", [(1024, 16, 8), (7, 10**9, 10**9), (7, 1, 10**9)])
+def test_crowded_shards_lose_no_link(spark, monkeypatch, points, pairs, often):
+    for name, value in (("SHARD_POINTS", points), ("PAIRS_A_POINT", pairs), ("SAMPLE_OFTEN", often)):
+        monkeypatch.setattr(shinglesets, name, value)
+    texts = crowd(random.Random(5), 60)
+    rows = shinglesets.near_copies(table_of(spark, texts)).collect()
+    assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == brute(texts)
+
+
+def test_blocks_are_bounded_and_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(shinglesets, "SHARD_POINTS", 4)
+    joined = []
+    monkeypatch.setattr(shinglesets, "_pairs", lambda df, was=shinglesets._pairs: joined.append(df) or was(df))
+    rows = [(1, rep, 4, 0, comp, 0, 40, 20) for rep in range(40) for comp in [0 if rep < 20 else rep]]
+    df = spark.createDataFrame(rows, "shard long, rep long, n int, pos int, comp long, top long, points long, outside long")
+    got = {tuple(r) for r in shinglesets.block_pairs(df).collect()}
+    assert got == {(a, b) for b in range(20, 40) for a in range(b)}
+    for side in ("a", "b"):
+        blocks = joined[0].select(f"{side}.shard", f"{side}.i", f"{side}.j", f"{side}.rep").distinct().groupBy("shard", "i", "j").count()
+        assert blocks.agg({"count": "max"}).first()[0] <= 12
