@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subgrade.llm.common import documents, groups_of, own_columns, written
+from subgrade.llm.common import documents, groups_of, map_batches, own_columns, written
 
 ALPHA = 0.4
 #: Words of a chunk; a longer document is a chunk of its own.
@@ -57,7 +57,7 @@ def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         if ids:
             yield row()
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(pack, "chunk long, doc_ids array<long>, sizes array<int>, packed binary, words long")
+    return map_batches(own_columns(docs, "doc_id", "text"), pack, "chunk long, doc_ids array<long>, sizes array<int>, packed binary, words long")
 
 
 def unpacked(packed: bytes, sizes: list[int]) -> list[bytes]:
@@ -142,7 +142,7 @@ def _blocks(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
                         ["part", "chunk", "grams", "counts"],
                     )
 
-    return chunks.select("chunk", "sizes", "packed").mapInArrow(send, "part int, chunk long, grams binary, counts binary")
+    return map_batches(chunks.select("chunk", "sizes", "packed"), send, "part int, chunk long, grams binary, counts binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -207,7 +207,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA) -> Dat
                 n, backoffs, log = score_chunk(unpacked(packed.as_py(), sizes.as_py()), totals, seen, order, alpha)
                 yield pa.record_batch([ids.values, *map(pa.array, (n, backoffs, log))], ["doc_id", "n_words", "n_backoffs", "log_score"])
 
-    return joined.mapInArrow(score, "doc_id long, n_words long, n_backoffs long, log_score double")
+    return map_batches(joined, score, "doc_id long, n_words long, n_backoffs long, log_score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

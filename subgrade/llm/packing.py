@@ -14,38 +14,44 @@ from typing import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
-from subgrade.llm.common import documents, gapless_rank, groups_of, own_columns, written
+from subgrade.llm.common import blocks, documents, gapless_rank, groups_of, map_batches, own_columns, written
 
 CAPACITY = 1024
 END_ID = 2
 PLAN_SCHEMA = "length int, lo long, hi long, per_sequence long, first_sequence long, at long"
 
 
+#: The added token of byte_bpe_50k.json. It is one id wherever it stands in a text.
+ADDED = ("<|endoftext|>",)
+
+
 @lru_cache(maxsize=2)
-def _fast_encoder(rank_file: str) -> tiktoken.Encoding:
+def _fast_encoder(rank_file: str):
+    import tiktoken
+
     with open(rank_file, "rb") as f:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=2)
-def _plain_encoder(tokenizer_file: str) -> Tokenizer:
-    t = Tokenizer.from_file(tokenizer_file)
-    t.encode_special_tokens = True
-    return t
+def _plain_encoder(tokenizer_file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file)
 
 
 def token_ids(text: str, tokenizer: str = "byte_bpe_50k") -> np.ndarray:
-    """The ids of tokenizers' byte_bpe_50k.json, by the faster reader of the same vocabulary. Special strings are plain text."""
-    try:
-        ids = _fast_encoder(public_tokenizers.path(f"{tokenizer}.tiktoken")).encode_to_numpy(text, disallowed_special=())
-    except ValueError:  # a run of white space that its pattern's stack can't hold
-        ids = np.asarray(_plain_encoder(public_tokenizers.path(f"{tokenizer}.json")).encode(text, add_special_tokens=False).ids)
-    return ids.astype("<u4", copy=False)
+    """The ids that tokenizers gives with byte_bpe_50k.json and add_special_tokens=False. A faster reader of the same
+    vocabulary makes them, but for texts that hold the added token, and runs of white space that its pattern can't hold."""
+    if not any(t in text for t in ADDED):
+        try:
+            return _fast_encoder(public_tokenizers.path(f"{tokenizer}.tiktoken")).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:
+            pass
+    return np.asarray(_plain_encoder(public_tokenizers.path(f"{tokenizer}.json")).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def piece_starts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -61,10 +67,9 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "b
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part, texts in blocks(batch, 1):
                 doc, piece, start, length, out = [], [], [], [], []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for d, text in zip(part.column(0).to_pylist(), texts):
                     ids = np.append(token_ids(text or "", tokenizer), np.uint32(END_ID)).astype("<u4", copy=False)
                     cuts = piece_starts(len(ids), capacity)
                     for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)])):
@@ -79,7 +84,7 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "b
                 )
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return own_columns(docs, "doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return map_batches(own_columns(docs, "doc_id", "text"), encode, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def two_fit_pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -143,13 +148,14 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 100_000) -> DataFrame:
-    """pieces (with doc_id, piece, length up to capacity) and sequence_id, offset. Every row is packed, repeated rows too."""
+    """pieces (with length up to capacity) and sequence_id, offset. Every row is packed, repeated rows too: rows are numbered
+    as they are written, so that repeated ones are dealt to different tasks like any others."""
     spark = pieces.sparkSession
-    counts = {int(r.length): r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    numbered = written(pieces.withColumn("row__number", F.monotonically_increasing_id()), "packing-pieces")
+    counts = {int(r.length): r.n for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(packing_plan(counts, capacity), PLAN_SCHEMA)
     groups = groups_of(max(counts.values(), default=0), rows_per_part)
-    order = ["doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns]]
-    ranked = gapless_rank(pieces, ["length"], F.xxhash64("doc_id", "piece"), order, groups, "rank_of_length")
+    ranked = gapless_rank(numbered, ["length"], F.xxhash64("row__number"), ["row__number"], groups, "rank_of_length")
     placed = ranked.alias("p").join(
         F.broadcast(plan.alias("q")),
         (F.col("p.length") == F.col("q.length")) & (F.col("rank_of_length") >= F.col("lo")) & (F.col("rank_of_length") < F.col("hi")),
@@ -165,13 +171,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 100_0
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    Null and empty texts are one piece of one token (the end id); rows that are repeated are packed each; an empty table
-    gives no rows; other columns are ignored. The tokens are made once: the table of pieces is written without them.
+    Null and empty texts are one piece of one token (the end id); longer documents than a sequence are cut, of any length;
+    rows that are repeated are packed each; an empty table gives no rows; other columns are ignored. The tokens are made
+    once: the table of pieces is written without them.
     """
     pieces = encode_pieces(docs, capacity, tokenizer).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32")
     )
-    return pack(written(pieces, "packing-pieces"), capacity)
+    return pack(pieces, capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

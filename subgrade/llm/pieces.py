@@ -16,12 +16,10 @@ from typing import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subgrade.llm.common import documents
+from subgrade.llm.common import blocks, documents, map_batches
 from subgrade.llm.lookup import PairTable
-from subgrade.llm.wordpieces import blocks
 
 MARK = 0x2581
 NONE = np.int64(1) << 30
@@ -46,6 +44,8 @@ class Model:
     """What encoding and decoding need of a merge-type SentencePiece model with byte fallback and no text normalising."""
 
     def __init__(self, model_file: str):
+        import sentencepiece
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = len(sp)
         pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -231,23 +231,26 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, name
                 yield pa.record_batch([part.column(0), part.column(1), made], ["doc_id", "text", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return keyed.mapInArrow(encode, f"doc_id {kind}, text string, ids array<int>")
+    return map_batches(keyed, encode, f"doc_id {kind}, text string, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, text, ids and decoded, the text that the ids give (null for null ids)."""
+    """doc_id, text, ids and decoded, the text that the ids give, of every row.
+
+    Null ids give a null text and no ids an empty one; ids of any number are decoded whole; repeated rows are decoded
+    each; bytes that are no UTF-8 become replacement characters; an empty table gives no rows; other columns are ignored.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _ in blocks(batch, 1, BLOCK_CHARS):
                 texts = [decode_ids(x.values.to_numpy().tolist(), m) if x.is_valid else None for x in part.column(2)]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     cols = encoded.select("doc_id", "text", "ids")
     kind = encoded.select("doc_id").schema[0].dataType.simpleString()
-    return cols.mapInArrow(decode, f"doc_id {kind}, text string, ids array<int>, decoded string")
+    return map_batches(cols, decode, f"doc_id {kind}, text string, ids array<int>, decoded string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,9 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
-from subgrade.llm.common import documents, own_columns, table
-from subgrade.llm.textstats import COUNTS, FEATURES, features_of, with_counts
+from subgrade.llm.common import blocks, documents, map_batches, own_columns, table
+from subgrade.llm.textstats import COUNTS, FEATURES, counts_by_row, features_of, with_counts
 
 #: The bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -118,7 +117,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """
     one = own_columns(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one row of a doc_id, however often it is repeated, so that the bound holds
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     rows = with_counts(texts, "doc_id", "quality").drop("doc_id").toPandas()
     counts = rows[list(COUNTS)].to_numpy()
     usable = ~base_fails(counts)
@@ -132,25 +132,26 @@ def base_fails(counts: np.ndarray) -> np.ndarray:
 
 
 def judge(docs: DataFrame, trees: Trees, threshold: float = 0.0) -> DataFrame:
-    """doc_id, COUNTS, base_failed, score (log-odds of good quality) and kept of every row of docs."""
-    counted = with_counts(docs, "doc_id")
-    schema = StructType([*counted.schema, *StructType.fromDDL("base_failed boolean, score double, kept boolean")])
+    """doc_id, COUNTS, base_failed, score (log-odds of good quality) and kept of every row of docs, in one pass."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind}", *[f"{c} long" for c in COUNTS], "base_failed boolean, score double, kept boolean"])
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.column_stack([batch.column(1 + i).to_numpy() for i in range(len(COUNTS))])
-            failed = base_fails(counts)
-            score = trees.score(features_of(counts))
-            columns = [*batch.columns, pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-            yield pa.record_batch(columns, [f.name for f in schema])
+            for part, texts in blocks(batch, 1):
+                counts = counts_by_row(texts)
+                failed = base_fails(counts)
+                score = trees.score(features_of(counts))
+                made = [*[counts[:, i] for i in range(len(COUNTS))], failed, score, ~failed & (score >= threshold)]
+                yield pa.record_batch([part.column(0), *map(pa.array, made)], ["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
-    return counted.mapInArrow(verdict, schema)
+    return map_batches(own_columns(docs, "doc_id", "text"), verdict, schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The verdict on every row of docs: doc_id, COUNTS, base_failed, score, kept.
 
-    Null and empty texts have no words and so fail; repeated rows are each judged; ties at the threshold are kept; an
+    Null and empty texts have no words and so fail; a text of any length counts whole; repeated rows are each judged; ties at the threshold are kept; an
     empty table gives no rows; without labels only the base limits decide; other columns are ignored.
     """
     return judge(docs, fit_rules(docs, labels, train_rows))

@@ -89,7 +89,9 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[int]:
                 below += b
             ends = ((goal - below, probe << rest), (below + b - goal, (probe + 1) << rest))
             gap, at = min(ends)
-            if gap <= allowed or n == 1 or not rest:
+            # with all bits of the first half fixed, what is left is one group of equal texts: not split unless it exceeds a shard
+            group = upto + bits >= 64 and b <= total / shards
+            if gap <= allowed or n == 1 or group or not rest:
                 found[i] = at
             else:
                 still[i] = (probe, below)
@@ -105,39 +107,53 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def shard_of(bounds: list[int]) -> Column:
-    """How many boundaries a row's key has reached."""
+def shard_of(bounds: list[int], keys: dict[str, Column] | None = None) -> Column:
+    """How many boundaries a row's key has reached; the key's halves are the columns key_hi and key_lo, or given."""
+    high, low = (keys or {"key_hi": F.col("key_hi"), "key_lo": F.col("key_lo")}).values()
     n = F.lit(0)
     for at in bounds:
         if at < 2**128:
-            h, low = (at >> 64) - 2**63, (at & (2**64 - 1)) - 2**63
-            n = n + ((F.col("key_hi") > h) | ((F.col("key_hi") == h) & (F.col("key_lo") >= low))).cast("int")
+            h, l = (at >> 64) - 2**63, (at & (2**64 - 1)) - 2**63  # noqa: E741
+            n = n + ((high > h) | ((high == h) & (low >= l))).cast("int")
     return n
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, rows_per_part: int = 100_000) -> DataFrame:
     """Every row's shard and its slot there: doc_id, size, text_crc32, shard, slot.
 
-    Law: the sizes (bytes of the text plus 16) of the shards differ by a few `tolerance` of a shard, or by the size of
-    one document where documents are larger than that. Slots are gapless from 0. Null texts count as empty, rows that
-    are repeated each get a slot, an empty table gives no rows, other columns are ignored.
+    Law: the sizes (bytes of the text plus 16) of the shards are near equal. A boundary lies within `tolerance` of a shard
+    of its place, or at the nearer end of the row or of the group of equal texts in which that place falls; so a shard is
+    off by at most the tolerance and half of such a group at both its ends. Equal texts share a shard unless they are more
+    than a shard together. Slots are gapless from 0. Null texts count as empty and are a group; a text of any length is one
+    row; rows that are repeated each get a slot; an empty table gives no rows; other columns are ignored.
     """
-    rows = written(keyed_rows(docs), "sharding-rows")
+    # numbered as they are written, so that rows that repeat doc_id and text are dealt to tasks and shards like any others
+    numbered = keyed_rows(docs).withColumn("row__number", F.monotonically_increasing_id())
+    rows = written(numbered.withColumn("key_lo", F.xxhash64("key_lo", "row__number")), "sharding-rows")
     bounds = splitters(rows, shards, tolerance)
     placed = rows.withColumn("shard", shard_of(bounds))
     groups = groups_of(rows.count(), rows_per_part * shards)
-    ranked = gapless_rank(placed, ["shard"], F.col("key_lo"), ["key_hi", "key_lo", "doc_id", "size"], groups, "slot")
+    ranked = gapless_rank(placed, ["shard"], F.col("key_lo"), ["key_hi", "key_lo", "row__number"], groups, "slot")
     return ranked.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.002) -> None:
-    """Whole rows of docs as one folder of Parquet files for each shard (column shard), exchanged once."""
-    keys = keyed_rows(docs)
-    bounds = splitters(written(keys, "sharding-keys"), shards, tolerance)
-    whole = docs.withColumns({"key_hi": F.xxhash64("text"), "key_lo": F.xxhash64("doc_id", "text")})
+def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.002) -> str:
+    """Whole rows of docs as one folder of Parquet files for each shard, exchanged once. The folders are named by the
+    column `shard`, or `shard_`, `shard__` and so on where docs has that column itself; its name is returned.
+
+    All columns of docs are written as they are, whatever their names. Null and empty, very long and repeated texts are
+    rows like any other, by the law of shard_documents, but that rows which repeat doc_id and text share a shard; an empty
+    table writes no folder.
+    """
+    bounds = splitters(written(keyed_rows(docs), "sharding-keys"), shards, tolerance)
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    keys = {"key_hi": F.xxhash64("text"), "key_lo": F.xxhash64("doc_id", "text")}
     spread = math.ceil(docs.sparkSession.sparkContext.defaultParallelism / shards)
-    placed = whole.withColumn("shard", shard_of(bounds)).repartition("shard", F.pmod("key_lo", F.lit(spread)))
-    placed.drop("key_hi", "key_lo").write.partitionBy("shard").parquet(path)
+    placed = docs.withColumn(name, shard_of(bounds, keys)).repartition(F.col(name), F.pmod(keys["key_lo"], F.lit(spread)))
+    placed.write.partitionBy(name).parquet(path)
+    return name
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

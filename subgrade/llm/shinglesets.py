@@ -1,36 +1,21 @@
-"""Near-duplicates by the exact similarity of shingle sets.
-
-Two sets are similar if they share at least 4/5 of their union. Shingles have one order for all documents; a set of n is
-dealt to the shards of its first n - ceil(4n/5) + 1 shingles, and two similar sets share at least one shard (the prefix
-filter of set-similarity joins), so no similar pair is missed. Every candidate pair is compared shingle by shingle.
-
-A crowded shard is not paired with itself as long as stars help: its points are compared with one of them, and what that
-links is one component, inside which no further pair is needed. The pairs that are left, between components, are dealt
-in blocks of bounded size.
-"""
+"""Sets of word shingles: their hashes, min-hashes and exact similarity."""
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from subgrade.llm.common import groups_of, written
-from subgrade.llm.components import connected_components
+from subgrade.llm.common import blocks, map_batches, written
 
 SEED = 42
-#: Shingles that are in SAMPLE_OFTEN of SAMPLE_DOCS sampled documents come last in the order, at most COMMON of them. This
-#: keeps shards small; which shingles they are has no bearing on the result.
-SAMPLE_DOCS, SAMPLE_OFTEN, COMMON = 8000, 8, 50_000
-#: Points of a shard's block, of which a task pairs two at a time.
-SHARD_POINTS = 1024
-#: Up to so many comparisons for each point of a shard, pairs are formed without stars before; so, too, once a turn of stars
-#: leaves more than STILL of them.
-PAIRS_A_POINT, STILL = 16, 0.75
+#: A band is the hash of so many min-hashes. Two sets of similarity 0.8 share at least one of 20 bands of 4 with a chance of
+#: 1 - (1 - 0.8**4)**20 = 0.99997, and more similar ones with a larger chance.
+BANDS, ROWS = 20, 4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -48,144 +33,45 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+def long_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow column of arrays of longs."""
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """rep (the doc_id) and its distinct shingle hashes s."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [np.unique(shingle_hashes(t, width)) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), _lists(sets)], ["rep", "s"])
-
-    return docs.select("doc_id", "text").mapInArrow(compute, "rep long, s array<long>")
-
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in known, which is sorted."""
-    if not len(known):
-        return np.zeros(len(values), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS hashes of ROWS min-hashes each, of a set that isn't empty."""
+    odd = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(len(odd), np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), 4096):
+        np.minimum(low, (shingles[None, at : at + 4096] * odd[:, None]).min(axis=1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        key = (key ^ (key >> np.uint64(31)) ^ part) * _MIX
+    return key ^ (key >> np.uint64(29))
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    parts = groups_of(docs.count(), SAMPLE_DOCS)
-    some = shingle_sets(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0), width)
-    often = some.select(F.explode("s").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= SAMPLE_OFTEN)
-    rows = often.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    return np.sort(np.array([r.shingle for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def sketches(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """doc_id, a key of the whole set (k1, k2), its size n, and the first shingles by which it meets similar sets."""
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and its distinct shingle hashes s, of each row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, sizes, first = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = np.unique(shingle_hashes(text, width))
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sizes.append(len(s))
-                    late = _among(s, common)
-                    first.append(np.concatenate([s[~late], s[late]])[: len(s) + (-4 * len(s) // 5) + 1])
-                k = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                columns = [part.column(0), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(sizes, pa.int32()), _lists(first)]
-                yield pa.record_batch(columns, ["doc_id", "k1", "k2", "n", "first"])
+            for part, texts in blocks(batch, 1):
+                yield pa.record_batch([part.column(0), long_lists([np.unique(shingle_hashes(t, width)) for t in texts])], ["doc_id", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, k1 long, k2 long, n int, first array<long>")
+    return map_batches(docs.select("doc_id", "text"), compute, "doc_id long, s array<long>")
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """Whether two sets can share enough from a shared shingle on, if it is the first that they share."""
-    left = F.least(F.expr(f"{a}.n - {a}.pos"), F.expr(f"{b}.n - {b}.pos"))
-    return (F.col(f"{a}.comp") != F.col(f"{b}.comp")) & (9 * left >= 4 * F.expr(f"{a}.n + {b}.n"))
-
-
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), _may_be_similar("a", "b").alias("may")).filter("u < v")
-
-
-def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs u, v of each shard's points with one of them, which an order that all shards share picks."""
-    order = F.xxhash64("rep", F.lit(turn))
-    centre = rows.groupBy("shard").agg(*[F.min_by(c, order).alias(c) for c in ("rep", "n", "pos", "comp")])
-    joined = rows.alias("a").join(centre.alias("b"), (F.col("a.shard") == F.col("b.shard")) & _may_be_similar("a", "b"))
-    return _pairs(joined).select("u", "v").distinct()
-
-
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs u, v of a shard's points that lie in different components. One of a pair lies outside the shard's largest
-    component; those points meet all, block by block.
+def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Those of the pairs u, v of doc_ids whose shingle sets share at least 4/5 of their union.
 
-    A pair meets in each first shingle that both have. What else it shares lies behind the first shingles of one of the
-    two, so pairs that meet too seldom are left out.
+    A pair carries one of its two sets through an exchange. Both sides of each join are tables, so that Spark can split
+    the pairs of a document that has many.
     """
-    block = lambda m: F.pmod(F.xxhash64("rep"), F.ceil(F.col(m) / SHARD_POINTS))
-    blocks = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(m) / SHARD_POINTS) - 1))
-    few = rows.filter("comp <> top").withColumn("i", block("outside")).withColumn("j", blocks("points"))
-    every = rows.withColumn("j", block("points")).withColumn("i", blocks("outside"))
-    meet = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("shard", "i", "j")])
-    once = F.expr("a.comp <> b.comp and (b.comp = b.top or a.rep < b.rep) and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
-    met = _pairs(few.alias("a").join(every.alias("b"), meet & once)).groupBy("u", "v")
-    met = met.agg(F.count("*").alias("met"), F.max(F.greatest("n", "m")).alias("larger"), F.max(F.col("n") + F.col("m")).alias("both"), F.max("may").alias("may"))
-    return met.filter("may and 9 * (met + ceil(larger * 4 / 5) - 1) >= 4 * both").select("u", "v")
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs u, v whose shingle sets share at least 4/5 of their union."""
     pairs = written(pairs, "similar-pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width), "similar-sets")
-    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("s").alias("b")), "v")
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return written(both.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v").distinct(), "similar-links")
-
-
-def _with_components(shards: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The shards that still hold several components: with comp, and of the shard its largest component (top), its points
-    and those outside the largest component."""
-    if comps is None:
-        rows = shards.withColumn("comp", F.col("rep"))
-    else:
-        rows = written(shards.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "similar-named")
-    counts = rows.groupBy("shard", "comp").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("shard").agg(F.sum("c").alias("points"), F.max_by("comp", "c").alias("top"), F.max("c").alias("most"))
-    sizes = sizes.filter("most < points").select("shard", "top", "points", (F.col("points") - F.col("most")).alias("outside"))
-    return written(rows.join(sizes, "shard"), "similar-shards")
-
-
-def similar_components(docs: DataFrame, points: DataFrame, width: int) -> DataFrame:
-    """node, component of the points (rep, n, first) that chains of similar sets connect with others."""
-    keyed = points.select("rep", "n", F.posexplode("first").alias("pos", "shard"))
-    crowd = keyed.groupBy("shard").agg(F.count("*").alias("m")).filter("m > 1").select("shard")
-    shards = written(keyed.join(crowd, "shard"), "similar-first")
-    links, comps, turn, before = [], None, 0, float("inf")
-    while True:
-        rows = _with_components(shards, comps)
-        n, work = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.expr("comp <> top"), F.col("points"))), F.lit(0))).first()
-        stars = PAIRS_A_POINT * n < work < STILL * before
-        links.append(similar_pairs(docs, star_pairs(rows, turn) if stars else block_pairs(rows), width))
-        comps = connected_components(reduce(DataFrame.unionByName, links))
-        if not stars:
-            return comps
-        turn, before = turn + 1, work
-
-
-def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id and component_id of every row with a doc_id: the smallest doc_id that chains of similar sets reach."""
-    docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    own = written(sketches(docs, width, common_shingles(docs, width)), "similar-sketches")
-    points = written(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("first").alias("first")), "similar-points")
-    comps = similar_components(docs, points.select("rep", "n", "first"), width)
-    named = points.select("k1", "k2", "rep").join(comps, points["rep"] == comps["node"], "left")
-    named = written(named.select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "similar-components")
-    # both sides as tables, so that a set that many documents share can be split in the join
-    return own.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "component_id")

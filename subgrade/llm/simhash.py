@@ -15,44 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from subgrade.llm.bktree import spanning_links
-from subgrade.llm.common import documents, own_columns, written
+from subgrade.llm.common import blocks, documents, map_batches, own_columns, written
 from subgrade.llm.components import connected_components
-from subgrade.llm.shinglesets import near_copies, shingle_hashes
+from subgrade.llm.fingerprints import fingerprint
+from subgrade.llm.shinglesets import long_lists, shingle_hashes
 
 #: A shard with more points is split once more by the bits that its points may differ in.
 SHARD_POINTS = 1024
-_BYTES = np.uint64(0x0101010101010101)
-
-
-def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """lanes x hashes: the hash itself, then mixes of it."""
-    out = np.empty((lanes, len(hashes)), dtype=np.uint64)
-    out[0] = hashes
-    for k in range(1, lanes):
-        x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out[k] = x ^ (x >> np.uint64(29))
-    return out
-
-
-def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
-    """`lanes` words of 64 bits: a bit is 1 if it is set in over half the hashes; zero for no hashes."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(lanes, dtype=np.uint64)
-    h = _lanes(hashes, lanes)
-    pad = -n % 255
-    if pad:
-        h = np.concatenate([h, np.zeros((lanes, pad), dtype=np.uint64)], axis=1)
-    h = h.reshape(lanes, -1, 255)
-    out = np.zeros(lanes, dtype=np.uint64)
-    for k in range(8):
-        # eight byte-wide counters in each word, over 255 hashes at a time
-        sums = ((h >> np.uint64(k)) & _BYTES).sum(axis=2, dtype=np.uint64)
-        counts = sums.view(np.uint8).reshape(lanes, -1, 8).sum(axis=1, dtype=np.int64)
-        bits = (2 * counts > n).astype(np.uint64) << np.arange(k, 64, 8, dtype=np.uint64)
-        out |= bits.sum(axis=1, dtype=np.uint64)
-    return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
@@ -60,12 +29,11 @@ def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fingerprint(shingle_hashes(t, width), lanes) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-            offsets = pa.array(np.arange(0, len(flat) + 1, lanes, dtype=np.int32))
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "fp"])
+            for part, texts in blocks(batch, 1):
+                yield pa.record_batch([part.column(0), long_lists([fingerprint(shingle_hashes(t, width), lanes) for t in texts])], ["doc_id", "fp"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(compute, "doc_id long, fp array<long>")
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return map_batches(own_columns(docs, "doc_id", "text"), compute, f"doc_id {kind}, fp array<long>")
 
 
 def _as_long(bits: int) -> int:
@@ -130,33 +98,25 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 def link_shards(shards: DataFrame, radius: int) -> DataFrame:
     """Long pairs u, v of points that hold together what the radius links within shards."""
     dealt = shards.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(lambda batches: _links(batches, radius), "u long, v long")
+    return map_batches(dealt, lambda batches: _links(batches, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that chains of fingerprints within the radius reach.
 
-    Every link of the one word of 64 bits is found. Null, empty and one-word texts have fingerprints like any other;
-    repeated rows share a component; an empty table gives no rows; other columns are ignored. Rows with a null doc_id are
-    left out.
+    Every link of the one word of 64 bits is found. Null, empty and one-word texts have fingerprints like any other, a
+    text of any length its whole one; repeated rows share a component; rows with a null doc_id link others too, and have a
+    null component_id where no row of their component has a doc_id; an empty table gives no rows; other columns are ignored.
     """
-    fps = written(fingerprints(docs.filter("doc_id is not null"), width), "simhash-fingerprints")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
+    fps = written(fingerprints(docs, width), "simhash-fingerprints")
+    # a point is known by its fingerprint, so that it needs no doc_id
+    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.element_at("fp", 1)), "simhash-points")
     groups = connected_components(link_shards(exact_shards(points, radius), radius))
-    named = points.join(groups, points["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # both sides as tables, so that a fingerprint that many documents share can be split in the join
-    return fps.join(written(named, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without those that chains of similar shingle sets connect with a smaller doc_id: one document of each group stays.
-
-    Similar is a share of at least 0.8 of both sets' shingles, compared exactly: a fingerprint's distance only estimates it.
-    Texts without words are no copies of each other and stay.
-    """
-    worded = docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    gone = near_copies(worded, width).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = written(points.join(groups, points["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")), "simhash-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # both sides of each join as tables, so that what many rows share can be split in the join
+    of_point = written(named.join(written(least, "simhash-components"), "component").select("fp", "component_id"), "simhash-points")
+    return fps.join(of_point, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Substring dedup: removal of passages that a document with a smaller doc_id already has.
 
-A window is `width` consecutive words of one document; it is known by two Rabin-Karp hashes of 64 bits over hashes of
-its words. Every window is hashed; those that can be repeated are counted in Spark. Which can be: two equal windows have
-the same smallest short run of words (its minimiser), so a window whose minimiser no second document has is found once
-in the corpus, and its count needs no exchange. The rest is counted exactly. Documents with equal words are one
-document to the count: all but the first lose every word that a window covers.
+A window is `width` consecutive words of one document; it is known by two Rabin-Karp hashes of 64 and 32 bits over hashes
+of its words. Counted in Spark are the windows that can be repeated, and not all: two equal windows have the same smallest
+Rabin-Karp hash of a short run of their words (a minimiser), so a window whose minimiser no second document has is found
+once in the corpus, and sending it to be counted could not change the result. First the minimisers of all windows are
+counted, then, exactly, the windows behind repeated ones. Documents with equal words are one document to the count: all but
+the first lose every word that a window covers.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subgrade.llm.common import documents, own_columns, written
+from subgrade.llm.common import blocks, documents, map_batches, own_columns, written
+from subgrade.llm.shinglesets import long_lists
 
 WIDTH = 50
 #: Words of the short runs of which a window's smallest is its minimiser.
 RUN = 20
+#: Windows that are hashed with one running sum.
+SEGMENT = 16_384
 #: Odd multipliers of the rolling hashes; the first two know a window, the third its short runs.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n, modulo 2**64."""
     inverse = pow(base, -1, 2**64)
@@ -38,17 +42,21 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling_hashes(codes: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Rabin-Karp hash of every run of `width` codes: one running sum, from which each run's part is taken."""
+    """Rabin-Karp hash of every run of `width` codes: a running sum, from which each run's part is taken. A long text goes
+    in segments, so that the powers are of one size whatever its length."""
     n = len(codes) - width + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    size = 1 << max(12, int(len(codes)).bit_length())
-    up, down = _powers(base, size)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(codes * down[: len(codes)], dtype=np.uint64)))
-    x = (total[width:] - total[:n]) * up[:n]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    up, down = _powers(base, SEGMENT + width)
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, SEGMENT):
+        part = codes[at : at + SEGMENT + width - 1]
+        total = np.concatenate(([np.uint64(0)], np.cumsum(part * down[: len(part)], dtype=np.uint64)))
+        m = len(part) - width + 1
+        out[at : at + m] = (total[width:] - total[:m]) * up[:m]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
 
 
 def window_minima(values: np.ndarray, span: int) -> np.ndarray:
@@ -75,27 +83,25 @@ def sha256_of(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _kind(df: DataFrame) -> str:
+    return df.select("doc_id").schema[0].dataType.simpleString()
+
+
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """Of each document: the number and hash of its words, and the distinct minimisers of its windows."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part, texts in blocks(batch, 1):
                 n_words, sha, minima = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in texts:
                     words = (text or "").encode().split()
                     n_words.append(len(words))
                     sha.append(sha256_of(words))
                     minima.append(np.unique(minimisers(word_codes(words), width)) if len(words) >= width else np.zeros(0, np.uint64))
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in minima]))).astype(np.int32))
-                flat = pa.array(np.concatenate(minima).view(np.int64))
-                yield pa.record_batch(
-                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(offsets, flat)],
-                    ["doc_id", "n_words", "sha256", "minima"],
-                )
+                yield pa.record_batch([part.column(0), pa.array(n_words, pa.int64()), pa.array(sha), long_lists(minima)], ["doc_id", "n_words", "sha256", "minima"])
 
-    return docs.mapInArrow(profile, "doc_id long, n_words long, sha256 string, minima array<long>")
+    return map_batches(docs, profile, f"doc_id {_kind(docs)}, n_words long, sha256 string, minima array<long>")
 
 
 def _candidate_windows(texts: DataFrame, width: int) -> DataFrame:
@@ -103,20 +109,18 @@ def _candidate_windows(texts: DataFrame, width: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = batch.column(2)
-            for i, (d, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                codes = word_codes((text or "").encode().split())
-                if len(codes) < width:
-                    continue
-                mine = np.isin(minimisers(codes, width), shared[i].values.to_numpy().view(np.uint64))
-                place = np.flatnonzero(mine)
-                h1, h2 = (rolling_hashes(codes, width, b)[place] for b in _BASES[:2])
-                yield pa.record_batch(
-                    [pa.array(np.full(len(place), d, dtype=np.int64)), pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    ["doc_id", "place", "h1", "h2"],
-                )
-
-    return texts.mapInArrow(windows, "doc_id long, place int, h1 long, h2 int")
+            for part, texts_ in blocks(batch, 1):
+                for i, text in enumerate(texts_):
+                    codes = word_codes((text or "").encode().split())
+                    if len(codes) < width:
+                        continue
+                    mine = np.isin(minimisers(codes, width), part.column(2)[i].values.to_numpy().view(np.uint64))
+                    place = np.flatnonzero(mine)
+                    h1, h2 = (rolling_hashes(codes, width, b)[place] for b in _BASES[:2])
+                    doc = part.column(0).take(pa.array(np.full(len(place), i)))
+                    yield pa.record_batch([doc, pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "place", "h1", "h2"])
+
+    return map_batches(texts, windows, f"doc_id {_kind(texts)}, place int, h1 long, h2 int")
 
 
 def merge_windows(places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +142,7 @@ def _intervals(places: DataFrame, width: int) -> DataFrame:
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return places.mapInArrow(merge, SPANS_SCHEMA)
-
-
-SPANS_SCHEMA = "doc_id long, spans array<struct<first:bigint,end:bigint>>"
+    return map_batches(places, merge, f"doc_id {_kind(places)}, spans array<struct<first:bigint,end:bigint>>")
 
 
 class RepeatedPassages:
@@ -200,36 +201,44 @@ def cut_text(text: str, spans: list) -> str:
 
 
 def removed_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans of every row of docs.
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs.
 
     Removed is each word that a window covers whose words also start somewhere in a document with a smaller doc_id, as
     the input stands. Null and empty texts have no words; a document of fewer than `width` words loses none; repeats
     inside one document, and rows repeated with one doc_id, are no reason to remove; an empty table gives no rows;
-    other columns are ignored. doc_id is the key: rows with one doc_id hold one text. Rows with a null doc_id are left out.
+    a text of any length is searched whole; other columns are ignored. doc_id is the key: rows with one doc_id hold one
+    text. A row with a null doc_id has no place in the order: it loses nothing and is no reason to remove.
     """
     found = RepeatedPassages(docs, width)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, sha = [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                removed.append(sum(s["end"] - s["first"] for s in spans))
-                sha.append(sha256_of(keep_words(text.encode().split(), spans)))
-            yield pa.record_batch([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "cut_words", "cut_sha256"])
+            for part, texts_ in blocks(batch, 1):
+                removed, sha = [], []
+                for text, spans in zip(texts_, part.column(2).to_pylist()):
+                    removed.append(sum(s["end"] - s["first"] for s in spans))
+                    sha.append(sha256_of(keep_words(text.encode().split(), spans)))
+                yield pa.record_batch([part.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "cut_words", "cut_sha256"])
 
     texts = found.texts.select("doc_id", "text").join(found.spans, "doc_id")
-    cuts = texts.mapInArrow(cut, "doc_id long, cut_words long, cut_sha256 string").dropDuplicates(["doc_id"])
+    cuts = map_batches(texts, cut, f"doc_id {_kind(texts)}, cut_words long, cut_sha256 string").dropDuplicates(["doc_id"])
     gone = F.col("copy") & (F.col("n_words") >= width)
     nothing = hashlib.sha256(b"").hexdigest()
-    return found.profiles.join(cuts, "doc_id", "left").select(
+    with_id = found.profiles.join(cuts, "doc_id", "left").select(
         "doc_id", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("cut_words", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256"),
     )
+    without = _profiles(own_columns(docs, "doc_id", "text").filter("doc_id is null"), width)
+    return with_id.unionByName(without.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with the repeated words cut from their texts; all rows and columns stay."""
+    """docs with the repeated words cut from their texts (see removed_words); all rows and columns stay.
+
+    What stands between two kept words stays as it is. Null, empty and short texts, and rows with a null doc_id, are
+    unchanged; repeated rows are cut alike; an empty table gives no rows; other columns pass through, whatever their names.
+    """
     spans = RepeatedPassages(docs, width).all_spans()
     joined = docs.join(spans.withColumnRenamed("spans", "removal__spans"), "doc_id", "left")
     names = [f.name for f in docs.schema]
@@ -237,11 +246,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            texts = [cut_text(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.record_batch(columns, names)
+            for part, texts in blocks(batch, at):
+                made = [cut_text(t, s) if s else t for t, s in zip(texts, part.column(len(names)).to_pylist())]
+                yield pa.record_batch([pa.array(made, pa.string()) if i == at else part.column(i) for i in range(len(names))], names)
 
-    return joined.select(*[F.col(f"`{n}`") for n in names], "removal__spans").mapInArrow(cut, docs.schema)
+    return map_batches(joined.select(*[F.col(f"`{n}`") for n in names], "removal__spans"), cut, docs.schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subgrade.llm.common import own_columns
+from subgrade.llm.common import blocks, map_batches, own_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -63,6 +63,10 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
+def counts_by_row(texts: list) -> np.ndarray:
+    return np.array([counts_of(t) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+
+
 def with_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` and COUNTS (long) of the text of each row."""
     fields = [docs.schema[c] for c in keep]
@@ -71,12 +75,12 @@ def with_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts_of(t) for t in batch.column(len(keep)).to_pylist()]
-            made = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
-            columns = [batch.column(i) for i in range(len(keep))] + [pa.array(made[:, i]) for i in range(len(COUNTS))]
-            yield pa.record_batch(columns, [*keep, *COUNTS])
+            for part, texts in blocks(batch, len(keep)):
+                made = counts_by_row(texts)
+                columns = [part.column(i) for i in range(len(keep))] + [pa.array(made[:, i]) for i in range(len(COUNTS))]
+                yield pa.record_batch(columns, [*keep, *COUNTS])
 
-    return own_columns(docs, *keep, "text").mapInArrow(count, schema)
+    return map_batches(own_columns(docs, *keep, "text"), count, schema)
 
 
 def features_of(counts: np.ndarray) -> np.ndarray:

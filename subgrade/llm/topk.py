@@ -20,6 +20,8 @@ from subgrade.llm.common import table, written
 
 CANDIDATE_ROWS, QUERY_ROWS = 8192, 1024
 FAN_IN = 8
+#: What a scaled component beyond the doubles is held at.
+LARGEST = np.finfo(np.float64).max
 BLOCK_SCHEMA = "block long, dim int, ids binary, matrix binary, wide boolean"
 
 
@@ -57,7 +59,8 @@ def pack_blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
                 for part in np.array_split(mine, -(-len(mine) // rows)):
-                    matrix = np.floor(scale * flat[starts[part][:, None] + np.arange(dim)])
+                    with np.errstate(over="ignore"):
+                        matrix = np.clip(np.floor(scale * flat[starts[part][:, None] + np.arange(dim)]), -LARGEST, LARGEST)
                     held = waiting.setdefault(int(dim), [])
                     if sum(len(x) for x, _ in held) + len(part) > rows:
                         yield block(int(dim))
@@ -72,7 +75,8 @@ def pack_blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """q @ c.T in whole numbers."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    with np.errstate(over="ignore"):
+        bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < 2**24:
         return q.astype(np.float32) @ c.astype(np.float32).T
     if bound < 2**53:
@@ -135,7 +139,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     is_query is a condition on the column `id`. Rows with a null id or vector, or a null or not finite component, take
     no part; vectors meet only those of their dimension; equal scores go to the smaller vec_id; rows that repeat an id
-    are a candidate each, and one query (with the least of their vectors); scores beyond a long are held at its ends;
+    are a candidate each, and one query (with the least of their vectors); scaled components beyond a double are held at the
+    largest one, scores beyond a long at its ends; vectors of any length take part;
     an empty table gives no rows; other columns are ignored.
     """
     rows = usable(vectors, id_col, vector_col)

@@ -16,17 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subgrade.llm.common import documents, own_columns, table
+from subgrade.llm.common import blocks, documents, map_batches, own_columns, table
 from subgrade.llm.textstats import counts_of, features_of
 
 #: Bounds of the labelled rows from which flagged terms are found, and of the documents that train the scorer.
 TERM_ROWS = 20_000
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 20_000
 #: A flagged term is in this share of the toxic rows at least, and that share of the rows with it are toxic.
 TERM_SUPPORT, TERM_LEAST, TERM_PRECISION = 0.01, 4, 0.95
 DIMENSIONS = 1 << 18
-#: Rows whose terms a task holds at a time.
-SLICE_ROWS = 200
 LABELLERS = ("symbols", "marks", "capitals", "repeats", "lines", "varied", "lengths", "flagged")
 #: Words that a text needs for each labeller, and the vote where it has fewer: no evidence for either class.
 LEAST_WORDS = np.array([1, 1, 10, 20, 20, 50, 20, 1])
@@ -141,24 +139,18 @@ def flagged_terms(docs: DataFrame, labels: DataFrame, rows: int = TERM_ROWS) ->
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = list(terms_of(text or ""))
-                yield pa.record_batch([pa.array(terms, pa.binary()), pa.array([int(toxic > 0)] * len(terms), pa.int32())], ["term", "toxic"])
+            for part, texts in blocks(batch, 0):
+                terms = [list(terms_of(t or "")) for t in texts]
+                toxic = np.repeat((part.column(1).to_numpy() > 0).astype(np.int32), [len(t) for t in terms])
+                yield pa.record_batch([pa.array([x for t in terms for x in t], pa.binary()), pa.array(toxic)], ["term", "toxic"])
 
     toxic_rows = sample.filter("toxic > 0").count()
     least = max(TERM_LEAST, TERM_SUPPORT * toxic_rows)
-    found = texts.mapInArrow(explode, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    found = map_batches(texts, explode, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     kept = found.filter((F.col("toxic") >= least) & (F.col("toxic") >= TERM_PRECISION * F.col("n")))
     return frozenset(bytes(r.term) for r in kept.select("term").collect())
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, as the sets of terms of a whole batch of texts take much memory."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _votes(texts: list, flagged: frozenset[bytes]) -> tuple[np.ndarray, list[set[bytes]]]:
     terms = [terms_of(t or "") for t in texts]
     counts = np.array([counts_of(t) for t in texts], dtype=np.int64).reshape(len(texts), -1)
@@ -169,11 +161,11 @@ def vote_counts(docs: DataFrame, flagged: frozenset[bytes]) -> DataFrame:
     """pattern and how many of all documents have it."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            votes, _ = _votes(part.column(0).to_pylist(), flagged)
-            yield pa.record_batch([pa.array(pattern_of(votes))], ["pattern"])
+        for batch in batches:
+            for _, texts in blocks(batch, 0):
+                yield pa.record_batch([pa.array(pattern_of(_votes(texts, flagged)[0]))], ["pattern"])
 
-    return own_columns(docs, "text").mapInArrow(vote, "pattern long").groupBy("pattern").agg(F.count("*").alias("n"))
+    return map_batches(own_columns(docs, "text"), vote, "pattern long").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROWS, train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -185,15 +177,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROW
     chances = dict(zip(patterns.tolist(), chance.tolist()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            votes, terms = _votes(part.column(0).to_pylist(), flagged)
-            yield pa.record_batch([pa.array(pattern_of(votes)), pa.array([hashed(t, v).tobytes() for t, v in zip(terms, votes)], pa.binary())], ["pattern", "features"])
+        for batch in batches:
+            for _, texts in blocks(batch, 0):
+                votes, terms = _votes(texts, flagged)
+                yield pa.record_batch([pa.array(pattern_of(votes)), pa.array([hashed(t, v).tobytes() for t, v in zip(terms, votes)], pa.binary())], ["pattern", "features"])
 
-    # ids first, so that no more than the sample's texts move
+    # ids first, so that no more than the sample's texts move; one row of each, so that the bound holds
     ids = own_columns(docs, "doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(features, "pattern long, features binary").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text")
+    sample = map_batches(texts, features, "pattern long, features binary").collect()
     rows = [np.frombuffer(r.features, np.int32) for r in sample]
-    weights, bias = fit_scorer(rows, np.array([chances.get(r.pattern, prior) for r in sample]))
+    chance = [chances.get(r.pattern, prior) for r in sample]
+    # a combination of votes too rare for the sample trains the votes' weights all the same, by a row without terms
+    rare = np.setdiff1d(patterns, [r.pattern for r in sample])
+    rows += [hashed(set(), v) for v in votes_in(rare)]
+    weights, bias = fit_scorer(rows, np.array(chance + [chances[p] for p in rare.tolist()]))
     return Classifier(flagged, chances, accuracies, prior, weights.astype(np.float32), bias)
 
 
@@ -201,27 +199,28 @@ def classify(docs: DataFrame, model: Classifier, threshold: float = 0.0) -> Data
     """doc_id, votes, flagged, posterior, score, kept of every row of docs."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            votes, terms = _votes(part.column(1).to_pylist(), model.flagged)
-            patterns = pattern_of(votes)
-            score = np.empty(len(terms))
-            for i, (t, v) in enumerate(zip(terms, votes)):
-                x = hashed(t, v)
-                score[i] = model.weights[x] @ feature_values(len(x)) + model.bias
-            signs = ["".join("-.+?"[v + 1] for v in row) for row in votes]
-            posterior = [model.chances.get(int(p), model.prior) for p in patterns]
-            columns = [pa.array(signs, pa.string()), pa.array(votes[:, -1] < 0), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= threshold)]
-            yield pa.record_batch([part.column(0), *columns], ["doc_id", "votes", "flagged", "posterior", "score", "kept"])
+        for batch in batches:
+            for part, texts in blocks(batch, 1):
+                votes, terms = _votes(texts, model.flagged)
+                patterns = pattern_of(votes)
+                score = np.empty(len(terms))
+                for i, (t, v) in enumerate(zip(terms, votes)):
+                    x = hashed(t, v)
+                    score[i] = model.weights[x] @ feature_values(len(x)) + model.bias
+                signs = ["".join("-.+?"[v + 1] for v in row) for row in votes]
+                posterior = [model.chances.get(int(p), model.prior) for p in patterns]
+                columns = [pa.array(signs, pa.string()), pa.array(votes[:, -1] < 0), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= threshold)]
+                yield pa.record_batch([part.column(0), *columns], ["doc_id", "votes", "flagged", "posterior", "score", "kept"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return own_columns(docs, "doc_id", "text").mapInArrow(judge, f"doc_id {kind}, votes string, flagged boolean, posterior double, score double, kept boolean")
+    return map_batches(own_columns(docs, "doc_id", "text"), judge, f"doc_id {kind}, votes string, flagged boolean, posterior double, score double, kept boolean")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The verdict on every row of docs: doc_id, votes (-, ., + or ? by labeller), flagged (has a flagged term), posterior
     (chance of good from the votes), score (the scorer's log-odds) and kept.
 
-    Null and empty texts get no votes and the score of that; repeated rows score alike; ties at the threshold are kept;
+    Null and empty texts get no votes and the score of that; a text of any length is judged whole; repeated rows score alike; ties at the threshold are kept;
     without labels no term is flagged; an empty table gives no rows; other columns are ignored.
     """
     return classify(docs, fit_classifier(docs, labels))

@@ -13,10 +13,9 @@ from typing import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from subgrade.llm.common import documents, own_columns
+from subgrade.llm.common import blocks, documents, map_batches, own_columns
 from subgrade.llm.lookup import PairTable
 
 WORD_START = "▁"
@@ -109,6 +108,8 @@ class Automaton:
 
 @lru_cache(maxsize=2)
 def automaton(model_file: str) -> Automaton:
+    import sentencepiece
+
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = [i for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     return Automaton([sp.id_to_piece(i) for i in plain])
@@ -132,20 +133,6 @@ def count_texts(texts: list[str], machine: Automaton) -> tuple[np.ndarray, np.nd
     return np.bincount(owner, minlength=len(texts)), total, np.bincount(owner, tokens < 0, len(texts)).astype(np.int64)
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of rows whose texts have about `most` characters; a longer text is a run of its own."""
-    values = batch.column(column).to_pylist()
-    first, size = 0, 0
-    for i, t in enumerate(values):
-        n = len(t or "")
-        if i > first and size + n > most:
-            yield batch.slice(first, i - first), values[first:i]
-            first, size = i, 0
-        size += n
-    if first < len(values):
-        yield batch.slice(first), values[first:]
-
-
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every row.
 
@@ -157,12 +144,12 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(public_tokenizers.path(model))
         for batch in batches:
-            for part, texts in blocks(batch, 1):
+            for part, texts in blocks(batch, 1, BLOCK_CHARS):
                 made = count_texts([t or "" for t in texts], machine)
                 yield pa.record_batch([part.column(0), *map(pa.array, made)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return own_columns(docs, "doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return map_batches(own_columns(docs, "doc_id", "text"), count, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

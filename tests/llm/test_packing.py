@@ -13,7 +13,6 @@ from tests.llm.fixtures import ODD, table_of
 
 def plain_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
 
 
@@ -80,6 +79,47 @@ def test_smallest_gives_way_to_two_that_fit_tighter():
     assert packing.two_fit_pattern(left, 100) == {60: 1, 25: 1, 14: 1}
 
 
+def plain_best_two_fit(lengths, capacity):
+    """Best-two-fit document by document: sequences as sorted lengths."""
+    left, out = sorted(lengths), []
+    while left:
+        chosen, gap = [], capacity
+        while True:
+            fits = [x for x in left if x <= gap]
+            if not fits:
+                break
+            chosen.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        if gap and len(chosen) > 1:
+            smallest = chosen[-1]
+            sums = [(a + b, a, b) for i, a in enumerate(left) for b in left[:i] if smallest < a + b <= gap + smallest]
+            if sums:
+                # of equal sums, that with the smallest larger document
+                _, a, b = max(sums, key=lambda t: (t[0], -t[1]))
+                left.remove(a)
+                left.remove(b)
+                left = sorted([*left, smallest])
+                chosen[-1:] = [a, b]
+        out.append(tuple(sorted(chosen)))
+    return Counter(out)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=10))
+def test_plans_are_those_of_packing_one_document_after_the_other(counts):
+    sequences = {}
+    for length, lo, hi, per, first, _ in packing.packing_plan(counts, 40):
+        for rank in range(lo, hi):
+            sequences.setdefault(first + (rank - lo) // per, []).append(length)
+    assert Counter(tuple(sorted(s)) for s in sequences.values()) == plain_best_two_fit([n for n, k in counts.items() for _ in range(k)], 40)
+
+
+def test_the_added_token_is_one_id():
+    text = "a <|endoftext|> special"
+    assert packing.token_ids(text).tolist() == plain_ids("")(text)[:-1] == [64, 220, 50256, 2041]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_plans_use_each_document_once_and_fit(counts):

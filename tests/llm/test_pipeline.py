@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as P
-from subgrade.llm import packing, rules, simhash, substrings, weaklabels
+from subgrade.llm import nearcopies, packing, rules, substrings, weaklabels
 from subgrade.llm.common import documents, table
 from tests.conftest import DATA
 from tests.llm.fixtures import ODD, table_of
@@ -44,17 +44,20 @@ def shingles(text, width=5):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
-def test_near_copies_go_and_different_texts_stay(stages):
+def test_one_of_each_group_of_near_copies_stays(stages):
+    """Exactly the smallest doc_id of what chains of similarity 0.8 or more connect."""
     before, after = stages[2]
-    texts, kept = {r.doc_id: r.text for r in before.collect()}, set(ids(after))
-    sets = {d: shingles(t) for d, t in texts.items()}
-    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    for d in texts:
-        near = [e for e in texts if e < d and likeness(d, e) >= 0.9]
-        if near:
-            assert d not in kept
-        if d not in kept:
-            assert any(likeness(d, e) >= 0.6 for e in texts if e != d)
+    sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+    least = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for d, a in sets.items():
+            for e, b in sets.items():
+                if least[e] < least[d] and 5 * len(a & b) >= 4 * len(a | b):
+                    least[d], changed = least[e], True
+    assert ids(after) == sorted(d for d in sets if least[d] == d)
+    assert len(ids(after)) < len(sets)
 
 
 def test_passages_go(stages):
@@ -84,4 +87,4 @@ def test_odd_documents_through_every_stage(spark):
 
 
 def test_stages_call_the_operators():
-    assert P.pack_documents is packing.pack_documents and P.drop_near_duplicates is simhash.drop_near_duplicates
+    assert P.pack_documents is packing.pack_documents and P.drop_near_duplicates is nearcopies.drop_near_duplicates

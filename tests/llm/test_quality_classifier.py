@@ -1,20 +1,62 @@
 import numpy as np
 
 from subgrade.llm import weaklabels
-from tests.conftest import DATA
 from tests.llm.fixtures import ODD, by_id, table_of
 
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_against_labels(spark):
-    rows = by_id(weaklabels.op4_quality_classifier(spark, str(DATA)).collect())
-    assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
-    labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
-    good = [rows[r.doc_id]["kept"] for r in labels if r.quality > 0 and not r.toxic]
-    bad = [rows[r.doc_id]["kept"] for r in labels if r.quality == 0]
-    assert np.mean(good) > 0.9
-    assert np.mean(bad) < np.mean(good)
+def test_held_out_accuracy(spark):
+    """The labels' quality takes no part in the fit, and toxic labels only of one half: the verdicts on the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = by_id(weaklabels.quality_classifier(docs, labels.filter("doc_id % 2 = 0")).collect())
+    assert len(rows) == docs.count()
+    held = [(rows[r.doc_id]["kept"], r.quality > 0 and not r.toxic) for r in labels.filter("doc_id % 2 = 1").collect()]
+    accuracy = np.mean([kept == good for kept, good in held])
+    of_good, of_bad = (np.mean([kept for kept, good in held if good == g]) for g in (True, False))
+    print(f"accuracy {accuracy:.3f}, kept of good {of_good:.3f}, of bad {of_bad:.3f}, rows {len(held)}")
+    assert accuracy > 0.85 and of_good > 0.9 and of_bad < 0.4
+
+
+def plain_estimate(votes, rounds=100):
+    """Expectation-maximisation document by document, with the operator's start and its half a vote of each kind."""
+    chance = [0.9 if s > 0 else 0.1 if s < 0 else 0.6 for s in (sum(v for v in row if v != weaklabels.UNFIT) for row in votes)]
+    for _ in range(rounds):
+        prior = (sum(chance) + 1) / (len(votes) + 2)
+        share = {}
+        for c in (0, 1):
+            for k in range(len(votes[0])):
+                of = {v: 0.5 + sum(p if c else 1 - p for row, p in zip(votes, chance) if row[k] == v) for v in (-1, 0, 1)}
+                share.update({(c, k, v): n / sum(of.values()) for v, n in of.items()})
+        chance = []
+        for row in votes:
+            good, bad = prior, 1 - prior
+            for k, v in enumerate(row):
+                if v != weaklabels.UNFIT:
+                    good, bad = good * share[1, k, v], bad * share[0, k, v]
+            chance.append(good / (good + bad))
+    return chance, prior
+
+
+def test_estimation_by_counts_is_that_by_documents():
+    r = np.random.default_rng(4)
+    k = len(weaklabels.LABELLERS)
+    good = r.random(150) < 0.6
+    votes = np.where(r.random((150, k)) < 0.75, np.where(good, 1, -1)[:, None], 0)
+    votes[r.random((150, k)) < 0.1] = weaklabels.UNFIT
+    patterns, inverse, counts = np.unique(weaklabels.pattern_of(votes), return_inverse=True, return_counts=True)
+    chance, _, prior = weaklabels.estimate(patterns, counts)
+    wanted, wanted_prior = plain_estimate(votes.tolist())
+    assert np.abs(chance[inverse] - wanted).max() < 1e-4
+    assert abs(prior - wanted_prior) < 1e-4
+
+
+def test_a_rare_combination_of_votes_is_judged_by_its_chance(spark):
+    docs = [f"the plain words number {i} are here and calm enough to read in peace over a long day at home" for i in range(60)]
+    model = weaklabels.fit_classifier(table_of(spark, [*docs, "#$% #$% #$% *&|"]), spark.createDataFrame([], LABELS), train_rows=5)
+    assert len(model.chances) > 1
+    rows = by_id(weaklabels.classify(table_of(spark, [docs[0], "#$% #$% #$% *&|"]), model).collect())
+    assert rows[0]["score"] > rows[1]["score"]
 
 
 def test_toxic_texts_go_and_clean_ones_stay(spark):

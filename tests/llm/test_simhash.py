@@ -4,7 +4,7 @@ import xxhash
 
 from subgrade.llm import bktree, simhash
 from tests.conftest import DATA
-from tests.llm.fixtures import ODD, by_id, prose, table_of
+from tests.llm.fixtures import ODD, table_of
 
 
 def plain_fingerprint(text, width=3):
@@ -78,16 +78,13 @@ def test_trees_link_what_chains_of_distances_link(monkeypatch, lanes, radius, fl
         assert np.array_equal(bktree._labels(n, *bktree.spanning_links(points, group, radius)), bktree._labels(n, *np.nonzero(near)))
 
 
-def test_one_document_of_each_group_stays(spark):
-    words = prose(7, 300, 5000).split()
-    near = [" ".join(words[:k] + [f"changed{k}"] + words[k + 1 :]) for k in (10, 100, 200)]
-    texts = [" ".join(words), *near, prose(8, 300, 5000), None, "", " ", prose(8, 300, 5000)]
-    kept = by_id(simhash.drop_near_duplicates(table_of(spark, texts)).collect())
-    assert sorted(kept) == [0, 4, 5, 6, 7]
-    assert kept[0]["fp"] == "x"
+def test_an_empty_table(spark):
+    assert simhash.near_duplicates(table_of(spark, [])).count() == 0
 
 
-def test_an_empty_table_and_null_ids(spark):
-    assert simhash.near_duplicates(table_of(spark, [])).count() == 0
-    assert simhash.drop_near_duplicates(table_of(spark, [])).count() == 0
-    assert simhash.near_duplicates(table_of(spark, ["a", "a"], [None, 3])).count() == 1
+def test_null_ids_and_other_keys(spark):
+    texts, ids = ["a b c d", "a b c d", "x y z", "x y z", "only here"], [None, 3, None, None, 9]
+    rows = simhash.near_duplicates(table_of(spark, texts, ids)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (9, 9)]
+    named = simhash.near_duplicates(table_of(spark, ["a b", "a b"]).selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in named) == [("d0", "d0"), ("d1", "d0")]

@@ -60,7 +60,11 @@ def test_the_passage_goes_from_the_later_document_and_text_keeps_its_gaps(spark)
 def test_repeated_rows_null_ids_and_an_empty_table(spark):
     doubled = table_of(spark, [PASSAGE, PASSAGE], [5, 5])
     assert [r.n_removed for r in substrings.removed_words(doubled).collect()] == [0, 0]
-    assert substrings.removed_words(table_of(spark, [PASSAGE], [None])).count() == 0
+    alone = substrings.removed_words(table_of(spark, [PASSAGE, PASSAGE, PASSAGE], [None, 2, 1])).collect()
+    wanted = hashlib.sha256(PASSAGE.encode()).hexdigest()
+    assert {(r.doc_id, r.n_removed, r.kept_sha256 == wanted) for r in alone} == {(None, 0, True), (1, 0, True), (2, 60, False)}
+    named = substrings.removed_words(table_of(spark, [PASSAGE, PASSAGE]).selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert {(r.doc_id, r.n_removed) for r in named} == {("d0", 0), ("d1", 60)}
     assert substrings.removed_words(table_of(spark, [])).count() == 0
     assert substrings.without_repeats(table_of(spark, [])).count() == 0
 

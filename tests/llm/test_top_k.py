@@ -41,3 +41,10 @@ def test_products_beyond_double_precision(spark):
 
 def test_an_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_components_beyond_a_double_are_held(spark):
+    rows = [(0, [1e307, 1.0]), (1, [1e307, 2.0]), (2, [-1e308, 0.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("id") == 0, k=5).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
