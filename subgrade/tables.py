@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the checkpoint folder: cuts the lineage, survives the loss of executors, and is computed once.
-    A local folder is made only where the session names none, as in tests."""
+    A local folder is made only in local mode, as in tests."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="subgrade-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/subgrade/{name}-{uuid.uuid4().hex}"
