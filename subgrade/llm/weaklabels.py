@@ -21,10 +21,12 @@ from subgrade.llm.textstats import counts_of, features_of
 
 #: Bounds of the labelled rows from which flagged terms are found, and of the documents that train the scorer.
 TERM_ROWS = 20_000
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: A flagged term is in this share of the toxic rows at least, and that share of the rows with it are toxic.
 TERM_SUPPORT, TERM_LEAST, TERM_PRECISION = 0.01, 4, 0.95
 DIMENSIONS = 1 << 18
+#: Features of the training rows that the fit works on at a time.
+FIT_FEATURES = 500_000
 LABELLERS = ("symbols", "marks", "capitals", "repeats", "lines", "varied", "lengths", "flagged")
 #: Words that a text needs for each labeller, and the vote where it has fewer: no evidence for either class.
 LEAST_WORDS = np.array([1, 1, 10, 20, 20, 50, 20, 1])
@@ -101,22 +103,25 @@ def feature_values(n: int) -> np.ndarray:
 
 def fit_scorer(rows: list[np.ndarray], chance: np.ndarray, dimensions: int = DIMENSIONS, steps: int = 60, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on hashed features against chances, by full-batch steps of adaptive size."""
-    weights, bias = np.zeros(dimensions), 0.0
+    w, bias = np.zeros(dimensions + 1), dimensions
     if not rows:
-        return weights, bias
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, at = np.unique(np.concatenate(rows), return_inverse=True)
-    value = np.concatenate([feature_values(len(r)) for r in rows])
-    w, mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+        return w[:-1], 0.0
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    lengths = np.array([len(r) for r in rows])
+    # a few rows at a time, so that no array holds a number for each feature of all rows
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // FIT_FEATURES)) + 1).tolist(), len(rows)]
+    parts = [(a, b, np.concatenate(rows[a:b]), np.concatenate([feature_values(n) for n in lengths[a:b]]).astype(np.float32)) for a, b in zip(cuts, cuts[1:])]
     for t in range(1, steps + 1):
-        z = np.bincount(owner, value * w[:-1][at], len(rows)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - chance) / len(rows)
-        gradient = np.append(np.bincount(at, value * error[owner], len(used)), error.sum()) + decay * w / len(rows)
+        gradient = decay * w / len(rows)
+        for a, b, at, value in parts:
+            z = np.add.reduceat(value * w[at], np.cumsum(lengths[a:b]) - lengths[a:b]) + w[bias]
+            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - chance[a:b]) / len(rows)
+            gradient += np.bincount(at, value * np.repeat(error, lengths[a:b]), len(w))
+            gradient[bias] += error.sum()
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    weights[used] = w[:-1]
-    return weights, float(w[-1])
+    return w[:-1], float(w[bias])
 
 
 @dataclass
