@@ -47,8 +47,8 @@ def offsets(s: Seg, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     t = along(s, x, y, z)
     ex, ey, ez = x - (s.x1 + t * dx), y - (s.y1 + t * dy), z - (s.z1 + t * (s.z2 - s.z1))
     flat = F.sqrt(dx * dx + dy * dy)
-    # a vertical ribbon lies along the x axis
-    across = F.when(flat > 1e-9, F.abs(ey * dx - ex * dy) / F.when(flat > 1e-9, flat).otherwise(F.lit(1.0))).otherwise(F.abs(ex))
+    # a vertical ribbon has no direction across
+    across = F.when(flat > 1e-12, F.abs(ey * dx - ex * dy) / F.when(flat > 1e-12, flat).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
     lateral = F.greatest(across - s.hw, F.lit(0.0))
     return F.when(s.hw > 1e-9, lateral * lateral).otherwise(ex * ex + ey * ey), F.abs(ez)
 

@@ -28,7 +28,7 @@ def buffer_hits(points: DataFrame, segments: DataFrame) -> DataFrame:
     s = s.withColumn("cx", span("x1_", "x2_")).withColumn("cy", span("y1_", "y2_")).withColumn("hw", F.lit(0.0)).withColumnsRenamed({"z1": "sz1", "z2": "sz2"}).withColumns({"z1": F.lit(0.0), "z2": F.lit(0.0)})
     p = points.select("pid", F.col("x"), F.col("y"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     xy2, _ = offsets(Seg.of(F.col), F.col("x"), F.col("y"), F.lit(0.0))
-    near = p.join(s, ["cx", "cy"]).withColumn("d2", xy2).filter(F.col("d2") <= F.col("half_width") * F.col("half_width"))
+    near = p.join(s, ["cx", "cy"]).withColumn("d2", xy2).filter(F.sqrt("d2") <= F.col("half_width"))
     return near.groupBy("pid", "feature_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 

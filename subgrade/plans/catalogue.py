@@ -29,11 +29,11 @@ def query(sql: str | None = None):
 
 def _rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     """Sums depend on their order in the last digits."""
-    return df.withColumns({n: F.round(n, to) for n in names})
+    return df.withColumns({n: F.floor(F.col(n) * 10.0**to + 0.5) / 10.0**to for n in names})
 
 
 def _r(*names: str, to: int = 6) -> str:
-    return ", ".join(f"round({n}, {to}) AS {n}" for n in names)
+    return ", ".join(f"floor(({n}) * 1e{to} + 0.5) / 1e{to} AS {n}" for n in names)
 
 
 def _inside() -> Column:
@@ -51,7 +51,7 @@ FOUND_SQL = f"WITH {PTS}, {SEG}, {nearest_sql()}, found AS (SELECT pid, any_valu
 
 @query(f"""WITH {PTS}, {SEG}, {nearest_sql()}, best AS (SELECT pid, arg_min({{'a': sqrt(xy2), 'b': abs(ez)}}, {{'d': xy2 + ez * ez, 's': seg_id}}) AS m,
   sqrt(min(xy2 + ez * ez)) AS dist FROM pairs GROUP BY pid)
-SELECT pid, round(dist, 6) AS dist, round(m.a, 6) AS dist_xy, round(m.b, 6) AS dist_z FROM best""")
+SELECT pid, floor((dist) * 1e6 + 0.5) / 1e6 AS dist, floor((m.a) * 1e6 + 0.5) / 1e6 AS dist_xy, floor((m.b) * 1e6 + 0.5) / 1e6 AS dist_z FROM best""")
 def nearest_segment_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
     return _rounded(found.select("pid", "dist", "dist_xy", "dist_z"), "dist", "dist_xy", "dist_z")
@@ -65,7 +65,7 @@ def nearest_segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PTS}, {SEG}, {nearest_sql()}, found AS (SELECT pid, any_value(instance) AS instance,
   sqrt(min(CASE WHEN is_active THEN xy2 + ez * ez END)) AS a, sqrt(min(CASE WHEN NOT is_active THEN xy2 + ez * ez END)) AS i FROM pairs GROUP BY pid)
-SELECT instance, round(avg(a), 6) AS active_mean, round(max(a), 6) AS active_max, round(avg(i), 6) AS inactive_mean, round(max(i), 6) AS inactive_max
+SELECT instance, floor((avg(a)) * 1e6 + 0.5) / 1e6 AS active_mean, floor((max(a)) * 1e6 + 0.5) / 1e6 AS active_max, floor((avg(i)) * 1e6 + 0.5) / 1e6 AS inactive_mean, floor((max(i)) * 1e6 + 0.5) / 1e6 AS inactive_max
 FROM found GROUP BY instance""")
 def deviation_active_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deviation.by_status(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
@@ -73,8 +73,8 @@ def deviation_active_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "active_mean", "active_max", "inactive_mean", "inactive_max")
 
 
-@query(f"""{FOUND_SQL} SELECT utility_type, count(*) AS n_points, count(d) AS n_matched, round(avg(d), 6) AS mean,
-  round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max
+@query(f"""{FOUND_SQL} SELECT utility_type, count(*) AS n_points, count(d) AS n_matched, floor((avg(d)) * 1e6 + 0.5) / 1e6 AS mean,
+  floor((quantile_cont(d, 0.95)) * 1e6 + 0.5) / 1e6 AS p95, floor((max(d)) * 1e6 + 0.5) / 1e6 AS max
 FROM (SELECT utility_type, CASE WHEN {IN_TRENCH} THEN dist END AS d FROM found) GROUP BY utility_type""")
 def class_summary_in_trench(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
@@ -93,7 +93,7 @@ matched AS (SELECT t.utility_type, l.* FROM lined l JOIN types t USING (line)
 @query(f"""WITH {PTS}, {SEG}, {MATCH_SQL}, {nearest_sql(segments_="matched", on="p.utility_type = s.utility_type")},
 found AS (SELECT pid, any_value(utility_type) AS utility_type, sqrt(min(xy2 + ez * ez)) AS dist FROM pairs GROUP BY pid),
 every AS (SELECT p.utility_type, f.dist FROM pts p LEFT JOIN found f USING (pid))
-SELECT utility_type, count(*) AS n_points, count(dist) AS n_matched, round(avg(dist), 6) AS mean, round(max(dist), 6) AS max FROM every GROUP BY utility_type""")
+SELECT utility_type, count(*) AS n_points, count(dist) AS n_matched, floor((avg(dist)) * 1e6 + 0.5) / 1e6 AS mean, floor((max(dist)) * 1e6 + 0.5) / 1e6 AS max FROM every GROUP BY utility_type""")
 def matched_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = sites.points(spark, sf_dir)
     segs = match.matched_segments(sites.segments(spark, sf_dir), pts)
@@ -111,7 +111,7 @@ def deviation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("class", F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{FOUND_SQL} SELECT pid, x + {TX} AS x, y + {TY} AS y, round(z + {TZ}, 6) AS z,
+@query(f"""{FOUND_SQL} SELECT pid, x + {TX} AS x, y + {TY} AS y, floor((z + {TZ}) * 1e6 + 0.5) / 1e6 AS z,
   CASE WHEN dist <= 0.25 THEN 1 WHEN dist <= 0.5 THEN 2 WHEN dist <= 1 THEN 3 WHEN dist <= 2 THEN 4 ELSE 5 END AS classification,
   CAST(least(greatest(round_even(dist * 1000, 0), 0), 65535) AS INTEGER) AS intensity
 FROM found WHERE {IN_TRENCH}""")
@@ -138,8 +138,8 @@ RECT = (2.0, 2.0, 6.0, 7.0)
 t AS (SELECT *, greatest(0.0, CASE WHEN abs(dx) < 1e-12 THEN 0.0 ELSE least((2.0 - x1) / dx, (6.0 - x1) / dx) END, CASE WHEN abs(dy) < 1e-12 THEN 0.0 ELSE least((2.0 - y1) / dy, (7.0 - y1) / dy) END) AS t0,
   least(1.0, CASE WHEN abs(dx) < 1e-12 THEN 1.0 ELSE greatest((2.0 - x1) / dx, (6.0 - x1) / dx) END, CASE WHEN abs(dy) < 1e-12 THEN 1.0 ELSE greatest((2.0 - y1) / dy, (7.0 - y1) / dy) END) AS t1 FROM d
   WHERE NOT (abs(dx) < 1e-12 AND (x1 < 2 OR x1 > 6)) AND NOT (abs(dy) < 1e-12 AND (y1 < 2 OR y1 > 7)))
-SELECT seg_id, round(x1 + t0 * dx, 6) AS x1, round(y1 + t0 * dy, 6) AS y1, round(z1 + t0 * (z2 - z1), 6) AS z1,
-  round(x1 + t1 * dx, 6) AS x2, round(y1 + t1 * dy, 6) AS y2, round(z1 + t1 * (z2 - z1), 6) AS z2 FROM t WHERE t0 <= t1""")
+SELECT seg_id, floor((x1 + t0 * dx) * 1e6 + 0.5) / 1e6 AS x1, floor((y1 + t0 * dy) * 1e6 + 0.5) / 1e6 AS y1, floor((z1 + t0 * (z2 - z1)) * 1e6 + 0.5) / 1e6 AS z1,
+  floor((x1 + t1 * dx) * 1e6 + 0.5) / 1e6 AS x2, floor((y1 + t1 * dy) * 1e6 + 0.5) / 1e6 AS y2, floor((z1 + t1 * (z2 - z1)) * 1e6 + 0.5) / 1e6 AS z2 FROM t WHERE t0 <= t1""")
 def rect_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = G.clip_rect(sites.segments(spark, sf_dir), *RECT)
     return _rounded(cut.select("seg_id", "x1", "y1", "z1", "x2", "y2", "z2"), "x1", "y1", "z1", "x2", "y2", "z2")
@@ -149,8 +149,8 @@ def rect_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT *, dx * dx + dy * dy AS a, 2 * (fx * dx + fy * dy) AS b, fx * fx + fy * fy - 4.0 AS c FROM d),
 t AS (SELECT *, CASE WHEN a < 1e-12 THEN CASE WHEN c <= 0 THEN 0.0 END WHEN b * b - 4 * a * c >= 0 THEN greatest((-b - sqrt(b * b - 4 * a * c)) / (2 * a), 0.0) END AS t0,
   CASE WHEN a < 1e-12 THEN CASE WHEN c <= 0 THEN 1.0 END WHEN b * b - 4 * a * c >= 0 THEN least((-b + sqrt(b * b - 4 * a * c)) / (2 * a), 1.0) END AS t1 FROM q)
-SELECT seg_id, round(x1 + t0 * dx, 6) AS x1, round(y1 + t0 * dy, 6) AS y1, round(z1 + t0 * (z2 - z1), 6) AS z1,
-  round(x1 + t1 * dx, 6) AS x2, round(y1 + t1 * dy, 6) AS y2, round(z1 + t1 * (z2 - z1), 6) AS z2 FROM t WHERE t0 <= t1""")
+SELECT seg_id, floor((x1 + t0 * dx) * 1e6 + 0.5) / 1e6 AS x1, floor((y1 + t0 * dy) * 1e6 + 0.5) / 1e6 AS y1, floor((z1 + t0 * (z2 - z1)) * 1e6 + 0.5) / 1e6 AS z1,
+  floor((x1 + t1 * dx) * 1e6 + 0.5) / 1e6 AS x2, floor((y1 + t1 * dy) * 1e6 + 0.5) / 1e6 AS y2, floor((z1 + t1 * (z2 - z1)) * 1e6 + 0.5) / 1e6 AS z2 FROM t WHERE t0 <= t1""")
 def circle_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = G.clip_circle(sites.segments(spark, sf_dir), 5.0, 5.0, 2.0)
     return _rounded(cut.select("seg_id", "x1", "y1", "z1", "x2", "y2", "z2"), "x1", "y1", "z1", "x2", "y2", "z2")
@@ -170,7 +170,7 @@ def circle_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.parts_in_circle(sites.vertices(spark, sf_dir), 5.0, 5.0, 2.0, "fid").select("fid")
 
 
-@query(f"WITH {VX} SELECT fid, vid, round(z, 6) AS z, depth_source FROM vx")
+@query(f"WITH {VX} SELECT fid, vid, floor((z) * 1e6 + 0.5) / 1e6 AS z, depth_source FROM vx")
 def depth_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sites.vertices(spark, sf_dir).select("fid", "vid", "z", "depth_source"), "z")
 
@@ -197,7 +197,7 @@ _PARENTS = ", ".join(f"('{k}', '{v}')" for k, v in dims.COMPONENT_TO_LINE.items(
 
 @query(f"""WITH {VX}, {COMP}, m AS (SELECT layer AS line, avg(z) AS layer_mean FROM vx GROUP BY layer),
 c AS (SELECT comp.*, m.layer_mean FROM comp LEFT JOIN (VALUES {_PARENTS}) AS p(cl, line) ON p.cl = comp.layer LEFT JOIN m USING (line))
-SELECT comp_id, round(CASE WHEN z <> -99 THEN z ELSE coalesce(layer_mean, -0.25) END, 6) AS z,
+SELECT comp_id, floor((CASE WHEN z <> -99 THEN z ELSE coalesce(layer_mean, -0.25) END) * 1e6 + 0.5) / 1e6 AS z,
   CASE WHEN z <> -99 THEN 1 WHEN layer_mean IS NOT NULL THEN 4 ELSE 5 END AS depth_source FROM c""")
 def component_layer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_mean = depth.component_layer_means(sites.components(spark, sf_dir), sites.vertices(spark, sf_dir), dims.component_lines(spark))
@@ -208,21 +208,21 @@ def component_layer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS_SQL = f"{PTS}, cells AS (SELECT cx, cy, (cx + 0.5) * 2.0 AS x, (cy + 0.5) * 2.0 AS y, quantile_cont(z, 0.95) AS z FROM (SELECT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 2.0) AS BIGINT) AS cy, z FROM pts) GROUP BY cx, cy)"
 
 
-@query(f"WITH {CELLS_SQL} SELECT cx, cy, x::DOUBLE AS x, y::DOUBLE AS y, round(z, 6) AS z FROM cells")
+@query(f"WITH {CELLS_SQL} SELECT cx, cy, x::DOUBLE AS x, y::DOUBLE AS y, floor((z) * 1e6 + 0.5) / 1e6 AS z FROM cells")
 def top_surface_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ground.top_cells(sites.points(spark, sf_dir)), "z")
 
 
 @query(f"""WITH {CELLS_SQL}, d AS (SELECT s.pid, c.z, (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) AS d2, c.cx * 1000 + c.cy AS cid FROM pts s, cells c),
 r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, cid) AS rank FROM d)
-SELECT pid AS qid, round(coalesce(max(CASE WHEN rank = 1 AND sqrt(d2) < 1e-9 THEN z END), sum(z / nullif(d2, 0)) / sum(1 / nullif(d2, 0))), 5) AS ground_z FROM r WHERE rank <= 8 GROUP BY pid""")
+SELECT pid AS qid, floor((coalesce(max(CASE WHEN rank = 1 AND sqrt(d2) < 1e-9 THEN z END), sum(z / nullif(d2, 0)) / sum(1 / nullif(d2, 0)))) * 1e5 + 0.5) / 1e5 AS ground_z FROM r WHERE rank <= 8 GROUP BY pid""")
 def ground_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = sites.points(spark, sf_dir)
     samples = ground.top_cells(pts).withColumn("pid", F.col("cx") * 1000 + F.col("cy"))
     return _rounded(ground.idw(pts.withColumnRenamed("pid", "qid"), samples), "ground_z", to=5)
 
 
-@query(f"WITH {PTS} SELECT round(quantile_cont(z, 0.95), 6) AS ground_z FROM pts")
+@query(f"WITH {PTS} SELECT floor((quantile_cont(z, 0.95)) * 1e6 + 0.5) / 1e6 AS ground_z FROM pts")
 def ground_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ground.ground_level(sites.points(spark, sf_dir)), "ground_z")
 
@@ -243,7 +243,7 @@ def ground_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame([plane], "a double, b double, c double"), "a", "b", "c")
 
 
-@query("""SELECT s_suppkey, n_nationkey AS area, round(d, 6) AS distance FROM (SELECT s_suppkey, n_nationkey, sqrt((sx - nx) ** 2 + (sy - ny) ** 2) AS d,
+@query("""SELECT s_suppkey, n_nationkey AS area, floor((d) * 1e6 + 0.5) / 1e6 AS distance FROM (SELECT s_suppkey, n_nationkey, sqrt((sx - nx) ** 2 + (sy - ny) ** 2) AS d,
   row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt((sx - nx) ** 2 + (sy - ny) ** 2), n_nationkey) AS r
   FROM (SELECT s_suppkey, CAST(s_suppkey % 17 AS DOUBLE) AS sx, s_acctbal / 1000 AS sy FROM supplier), (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) AS nx, CAST(n_regionkey AS DOUBLE) AS ny FROM nation)) WHERE r = 1""")
 def nearest_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ def accuracy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PTS}, {SEG}, flat AS (SELECT fid, acc_width, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM seg WHERE acc_width > 0),
 t AS (SELECT pid, fid, acc_width, x, y, x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy > 1e-12 THEN least(greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0.0), 1.0) ELSE 0.0 END AS t FROM pts, flat)
-SELECT fid, count(*) AS n_points, round(min(d), 6) AS nearest FROM (SELECT pid, fid, sqrt(min((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2)) AS d, any_value(acc_width) AS w FROM t GROUP BY pid, fid) WHERE d <= w GROUP BY fid""")
+SELECT fid, count(*) AS n_points, floor((min(d)) * 1e6 + 0.5) / 1e6 AS nearest FROM (SELECT pid, fid, sqrt(min((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2)) AS d, any_value(acc_width) AS w FROM t GROUP BY pid, fid) WHERE d <= w GROUP BY fid""")
 def buffer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = S.accuracy_class(F.col("attrs")[accuracy.FIELD])["half_width"]
     segs = sites.segments(spark, sf_dir).withColumn("half_width", width).drop("hw")
@@ -314,7 +314,7 @@ def registry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PTS}, {SEG}, {SAMPLES_SQL}, d AS (SELECT seg_id, station, ring, min((s.x - p.x) ** 2 + (s.y - p.y) ** 2 + (s.z - p.z) ** 2) AS d2 FROM samples s, pts p GROUP BY ALL)
-SELECT seg_id, count(*) AS n, round(avg(sqrt(d2)), 5) AS mean, round(max(sqrt(d2)), 5) AS max FROM d GROUP BY seg_id""")
+SELECT seg_id, count(*) AS n, floor((avg(sqrt(d2))) * 1e5 + 0.5) / 1e5 AS mean, floor((max(sqrt(d2))) * 1e5 + 0.5) / 1e5 AS max FROM d GROUP BY seg_id""")
 def registry_sample_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _samples(spark, sf_dir).withColumn("qid", F.concat_ws("-", "seg_id", "station", "ring"))
     near = nearest.nearest_points(samples, sites.points(spark, sf_dir), 1, 0.5)
@@ -331,7 +331,7 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PTS}, o AS (SELECT site_id, min(x) - 0.25 AS ox, min(y) - 0.25 AS oy, min(z) - 0.25 AS oz FROM pts GROUP BY site_id)
 SELECT site_id, CAST(floor((x - ox) / 0.5) AS BIGINT) AS vx, CAST(floor((y - oy) / 0.5) AS BIGINT) AS vy, CAST(floor((z - oz) / 0.5) AS BIGINT) AS vz,
-  round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n_points, min(pid) AS pid FROM pts JOIN o USING (site_id) GROUP BY ALL""")
+  floor((avg(x)) * 1e6 + 0.5) / 1e6 AS x, floor((avg(y)) * 1e6 + 0.5) / 1e6 AS y, floor((avg(z)) * 1e6 + 0.5) / 1e6 AS z, count(*) AS n_points, min(pid) AS pid FROM pts JOIN o USING (site_id) GROUP BY ALL""")
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cluster.voxels(sites.points(spark, sf_dir), 0.5), "x", "y", "z")
 
@@ -397,7 +397,7 @@ def colour_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SEG}, {COMP}, c AS (SELECT min(sqrt((x - 5) ** 2 + (y - 4.6) ** 2 + (z + 0.5) ** 2)) AS d FROM comp),
 h AS (SELECT 0 AS pid, 5.0::DOUBLE AS x, 4.6::DOUBLE AS y, -0.5::DOUBLE AS z), {nearest_sql(points_="h")}, s AS (SELECT min(sqrt(xy2 + ez * ez)) AS d FROM pairs)
-SELECT CASE WHEN c.d < s.d AND c.d < 0.2 THEN 'component' WHEN s.d < 0.3 THEN 'segment' END AS kind, round(CASE WHEN c.d < s.d AND c.d < 0.2 THEN c.d WHEN s.d < 0.3 THEN s.d END, 6) AS distance FROM c, s""")
+SELECT CASE WHEN c.d < s.d AND c.d < 0.2 THEN 'component' WHEN s.d < 0.3 THEN 'segment' END AS kind, floor((CASE WHEN c.d < s.d AND c.d < 0.2 THEN c.d WHEN s.d < 0.3 THEN s.d END) * 1e6 + 0.5) / 1e6 AS distance FROM c, s""")
 def pick_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nearest.pick((5.0, 4.6, -0.5), sites.components(spark, sf_dir), sites.segments(spark, sf_dir))
     return _rounded(out.select("kind", "distance"), "distance")
@@ -419,7 +419,7 @@ def adhoc_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SEG}, n AS (SELECT *, {_L} AS len FROM seg WHERE {_L} >= 1e-6), d AS (SELECT seg_id, len, unnest(range(0, greatest(CAST(ceil(len / 1.5) AS INTEGER), 1))) AS dash_idx FROM n)
-SELECT seg_id, dash_idx::INTEGER AS dash_idx, round(dash_idx * 1.5 / len, 6) AS t0, round(least((dash_idx * 1.5 + 1.0) / len, 1.0), 6) AS t1 FROM d""")
+SELECT seg_id, dash_idx::INTEGER AS dash_idx, floor((dash_idx * 1.5 / len) * 1e6 + 0.5) / 1e6 AS t0, floor((least((dash_idx * 1.5 + 1.0) / len, 1.0)) * 1e6 + 0.5) / 1e6 AS t1 FROM d""")
 def dashed_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(discretise.dashes(sites.segments(spark, sf_dir), 1.0, 0.5), "t0", "t1")
 

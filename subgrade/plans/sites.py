@@ -116,5 +116,5 @@ def nearest_sql(points_: str = "pts", segments_: str = "seg", on: str = "TRUE",
 pairs1 AS (SELECT *, CASE WHEN dx * dx + dy * dy + dz_ * dz_ > 1e-12 THEN least(greatest(
       ((x - x1) * dx + (y - y1) * dy + (z - z1) * dz_) / (dx * dx + dy * dy + dz_ * dz_), 0.0), 1.0) ELSE 0.0 END AS t FROM pairs0),
 pairs2 AS (SELECT *, x - (x1 + t * dx) AS ex, y - (y1 + t * dy) AS ey, z - (z1 + t * dz_) AS ez, sqrt(dx * dx + dy * dy) AS flat FROM pairs1),
-pairs AS (SELECT *, CASE WHEN hw > 1e-9 THEN greatest(CASE WHEN flat > 1e-9 THEN abs(ey * dx - ex * dy) / flat ELSE abs(ex) END - hw, 0.0) ** 2
+pairs AS (SELECT *, CASE WHEN hw > 1e-9 THEN greatest(CASE WHEN flat > 1e-12 THEN abs(ey * dx - ex * dy) / flat ELSE 0.0 END - hw, 0.0) ** 2
     ELSE ex * ex + ey * ey END AS xy2 FROM pairs2)"""

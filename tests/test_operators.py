@@ -23,22 +23,47 @@ def random_site(spark, seed=0, n=60, m=40):
     return frame(spark, pts, "pid long, x double, y double, z double, instance string, t int"), frame(spark, segs, SEGMENTS + ", is_active boolean, t int")
 
 
-def test_few_segments_and_many_give_the_same(spark):
+def plain_nearest(p, segs):
+    """(distance, seg_id, xy, z) of the nearest of (seg_id, x1 .. z2, hw), the first of equals, by the definition."""
+    best = (inf, None, inf, inf)
+    for seg_id, *ends, hw in sorted(segs):
+        a, d = np.array(ends[:3]), np.array(ends[3:]) - np.array(ends[:3])
+        t = min(max(float((p - a) @ d / (d @ d)), 0.0), 1.0) if d @ d > 1e-12 else 0.0
+        e, flat = p - (a + t * d), np.hypot(d[0], d[1])
+        xy = np.hypot(e[0], e[1])
+        if hw > 1e-9:
+            xy = max((abs(-e[0] * d[1] + e[1] * d[0]) / flat if flat > 1e-12 else 0.0) - hw, 0.0)
+        dist = float(np.sqrt(xy * xy + e[2] * e[2]))
+        if dist < best[0] - 1e-12:
+            best = (dist, seg_id, xy, abs(e[2]))
+    return best
+
+
+@pytest.mark.parametrize("settings", [{}, {"FEW_COMPARISONS": 0, "MANY_PAIRS": 0, "COMPARISONS": 0, "COMPARISONS_A_POINT": 0, "COMPARISONS_A_PAIR": 0}, {"FEW_COMPARISONS": 300, "FEW_PAIRS": 0}])
+@pytest.mark.parametrize("by", [[], ["t"]])
+def test_nearest_segment_against_all_pairs(spark, monkeypatch, settings, by):
+    for name, value in settings.items():
+        monkeypatch.setattr(nearest, name, value)
     pts, segs = random_site(spark)
-    for by in ([], ["t"]):
-        few = nearest.nearest_segment(pts, segs, by).orderBy("pid").collect()
-        many = nearest.nearest_segment(pts, segs, by, cell=0.5, few=0).orderBy("pid").collect()
-        assert few == many
-        assert all(abs(r.dist**2 - r.dist_xy**2 - r.dist_z**2) < 1e-9 for r in few)
+    # twins, a point, a vertical ribbon, and a point far below
+    rows = [tuple(r) for r in segs.collect()]
+    rows += [(100 + r[0], *r[1:]) for r in rows] + [(300, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 0.0, True, 0), (301, 9.0, 9.0, 2.0, 9.0, 9.0, 3.0, 0.2, True, 1)]
+    segs = frame(spark, rows[::-1], SEGMENTS + ", is_active boolean, t int")
+    points = [tuple(r) for r in pts.collect()] + [(900, 4.0, 4.0, -70.0, "a", 2)]
+    found = nearest.nearest_segment(frame(spark, points, pts.schema), segs, by).collect()
+    assert len(found) == len(points)
+    for r in found:
+        dist, seg_id, xy, z = plain_nearest(np.array([r.x, r.y, r.z]), [s[:8] for s in rows if not by or s[9] == r.t])
+        assert r.seg_id == seg_id and abs(r.dist - dist) + abs(r.dist_xy - xy) + abs(r.dist_z - z) < 1e-9
 
 
 def test_points_without_a_segment_are_infinitely_far(spark):
     pts, segs = random_site(spark, n=5)
     none = segs.filter("false")
-    for few in (10, 0):
-        assert [r.dist for r in nearest.nearest_segment(pts, none, few=few).collect()] == [inf] * 5
-        other = nearest.nearest_segment(pts, segs.filter("t = 1"), ["t"], few=few).collect()
-        assert {r.t for r in other if r.dist < inf} == {1} and len(other) == 5
+    assert [(r.dist, r.seg_id) for r in nearest.nearest_segment(pts, none).collect()] == [(inf, None)] * 5
+    other = nearest.nearest_segment(pts, segs.filter("t = 1"), ["t"]).collect()
+    assert {r.t for r in other if r.dist < inf} == {1} and len(other) == 5
+    assert nearest.nearest_segment(pts.filter("false"), segs).count() == 0
 
 
 def test_nearest_points_against_all_pairs(spark):
