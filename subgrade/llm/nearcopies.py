@@ -19,11 +19,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from subgrade.llm.bktree import Forest
+from subgrade.llm.bktree import Forest, _labels
 from subgrade.llm.common import blocks, map_batches, written
 from subgrade.llm.components import connected_components
 from subgrade.llm.fingerprints import fingerprint
-from subgrade.llm.shinglesets import band_keys, long_lists, shingle_hashes, similar_pairs
+from subgrade.llm.shinglesets import band_keys, long_lists, shingle_hashes, shingle_sets, similar_pairs
 
 LANES = 4
 #: Of 256 bits. At similarity 0.8, 38.8 differ on average with a deviation of 5.7, of very small sets up to 48 with 6.2;
@@ -31,8 +31,8 @@ LANES = 4
 RADIUS = 76
 #: Points of a tree, and of the queries that meet it, at most.
 TREE_POINTS = 1024
-#: Points and queries that a task searches at a time.
-TASK_POINTS = 50_000
+#: Shingles of the sets that a task searches at a time, and of those that it multiplies at a time.
+TASK_SHINGLES, COLUMNS = 1_000_000, 4096
 #: Up to so many comparisons for each point of a shard, trees are searched without stars before; so, too, once a turn of
 #: stars leaves more than STILL of them.
 PAIRS_A_POINT, STILL = 2, 0.75
@@ -68,55 +68,96 @@ def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return joined.filter(apart & (_distance("a", "b") <= RADIUS)).select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
 
 
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets of each pair share; sets hold distinct elements."""
+    if len(a) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], dtype=np.int64)
+    # many pairs of few sets: products of the sets' columns of zeros and ones, of elements that two sets have
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = times[code] > 1
+    owner, code = owner[kept], (np.cumsum(times > 1) - 1)[code[kept]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        low, high = np.searchsorted(code, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[owner[low:high], code[low:high] - at] = 1
+        shared += has @ has.T
+    return shared[a, b].astype(np.int64)
+
+
 def _search(table: pa.Table, radius: int) -> pa.RecordBatch:
-    """Links between the queries and the tree of each group (shard, i, j) of the rows, which come sorted by group."""
+    """Links that hold together, within each group (shard, i, j) of the rows, which come sorted by group, what near copies
+    connect: of the pairs of a query and a point of the tree within the radius, those whose sets are similar."""
     keys = [table.column(c).to_numpy() for c in range(3)]
-    query, rep, n, comp, top = (table.column(c).to_numpy() for c in ("query", "rep", "n", "comp", "top"))
+    query, tree_, rep, n, comp, top = (table.column(c).to_numpy() for c in ("query", "tree", "rep", "n", "comp", "top"))
     fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
     fresh = reduce(np.logical_or, [np.concatenate(([True], k[1:] != k[:-1])) for k in keys])
     group = np.cumsum(fresh) - 1
-    tree = np.flatnonzero(~query)
+    tree, asks = np.flatnonzero(tree_), np.flatnonzero(query)
     there, own = np.unique(group[tree], return_inverse=True)
-    asks = np.flatnonzero(query)
-    root = np.searchsorted(there, group[asks])
-    has = (root < len(there)) & (there[np.minimum(root, len(there) - 1)] == group[asks]) if len(there) else np.zeros(len(asks), bool)
-    asks, root = asks[has], root[has]
+    asks = asks[np.isin(group[asks], there)]
     forest = Forest(fp[tree], own)
     forest.points = np.concatenate([fp[tree], fp[asks]])
-    q, p = forest.within(len(tree) + np.arange(len(asks)), root, radius)
-    a, b = asks[q - len(tree)], tree[p]
-    once = (comp[a] != comp[b]) & ((comp[b] == top[b]) | (rep[a] < rep[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-    a, b = rep[a[once]], rep[b[once]]
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+    links: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(asks):
+        q, p = forest.within(len(tree) + np.arange(len(asks)), np.searchsorted(there, group[asks]), radius)
+        a, b = asks[q - len(tree)], tree[p]
+        once = (comp[a] != comp[b]) & ((comp[b] == top[b]) | (rep[a] < rep[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        a, b = a[once], b[once]
+        order = np.argsort(group[a], kind="stable")
+        a, b = a[order], b[order]
+        sets = table.column("s").combine_chunks()
+        ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        for first, last in zip(*(np.searchsorted(group[a], np.unique(group[a]), side) for side in ("left", "right"))):
+            some, pair = np.unique(np.concatenate([a[first:last], b[first:last]]), return_inverse=True)
+            x, y = np.split(pair, 2)
+            alike = 9 * shared_counts([flat[ends[i] : ends[i + 1]] for i in some], x, y) >= 4 * (n[some[x]] + n[some[y]])
+            label = _labels(len(some), x[alike], y[alike])
+            child = np.flatnonzero(label != np.arange(len(some)))
+            links.append((rep[some[label[child]]], rep[some[child]]))
+    u, v = (np.concatenate(x) for x in zip(*links))
+    return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """_search over runs of whole groups, each of about TASK_POINTS rows."""
+    """_search over runs of whole groups, whose sets have about TASK_SHINGLES elements together."""
     kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if sum(b.num_rows for b in kept) >= TASK_POINTS:
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            last = [kept[-1].column(c)[-1].as_py() for c in range(3)]
-            begins = np.flatnonzero(reduce(np.logical_or, [k != x for k, x in zip(keys, last)]))
-            if len(begins):
-                yield _search(pa.Table.from_batches([*kept, batch.slice(0, int(begins[0]))]), radius)
-                kept, batch = [], batch.slice(int(begins[0]))
-        kept.append(batch)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 100):
+            batch = whole.slice(at, 100)
+            if sum(len(b.column("s").flatten()) for b in kept) >= TASK_SHINGLES:
+                keys = [batch.column(c).to_numpy() for c in range(3)]
+                last = [kept[-1].column(c)[-1].as_py() for c in range(3)]
+                begins = np.flatnonzero(reduce(np.logical_or, [k != x for k, x in zip(keys, last)]))
+                if len(begins):
+                    yield _search(pa.Table.from_batches([*kept, batch.slice(0, int(begins[0]))]).combine_chunks(), radius)
+                    kept, batch = [], batch.slice(int(begins[0]))
+            kept.append(batch)
     if kept:
-        yield _search(pa.Table.from_batches(kept), radius)
+        yield _search(pa.Table.from_batches(kept).combine_chunks(), radius)
 
 
-def tree_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs u, v of a shard's points within the radius that lie in different components. One of a pair lies outside the
-    shard's largest component; those are the queries, and every block of them meets the tree of every block of the shard."""
+def tree_links(rows: DataFrame, sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links u, v between a shard's points that lie in different components, as many as hold together what is similar. One
+    of a pair lies outside the shard's largest component; those are the queries, and every block of them meets the tree of
+    every block of the shard. The points bring their sets (doc_id, s), so that no pair leaves a task but a true link."""
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    asks = F.col("comp") != F.col("top")
     block = lambda m: F.pmod(F.xxhash64("rep"), F.ceil(F.col(m) / TREE_POINTS))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(m) / TREE_POINTS) - 1))
-    queries = rows.filter("comp <> top").withColumn("i", block("outside")).withColumn("j", every("points")).withColumn("query", F.lit(True))
-    points = rows.withColumn("j", block("points")).withColumn("i", every("outside")).withColumn("query", F.lit(False))
-    columns = ["shard", "i", "j", "query", "rep", "n", "comp", "top", "fp"]
-    dealt = queries.select(columns).unionByName(points.select(columns)).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    roles = lambda df, query, tree: df.withColumns({"query": query, "tree": F.lit(tree)})
+    zero = F.lit(0).cast("long")
+    small, large = rows.filter(F.col("points") <= TREE_POINTS), rows.filter(F.col("points") > TREE_POINTS)
+    parts = [
+        roles(small.withColumns({"i": zero, "j": zero}), asks, True),
+        roles(large.filter(asks).withColumn("i", block("outside")).withColumn("j", every("points")), F.lit(True), False),
+        roles(large.withColumn("j", block("points")).withColumn("i", every("outside")), F.lit(False), True),
+    ]
+    columns = ["shard", "i", "j", "query", "tree", "rep", "n", "comp", "top", "fp", "s"]
+    dealt = reduce(DataFrame.unionByName, [df.select(columns) for df in parts]).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
     return map_batches(dealt, lambda batches: _searched(batches, radius), "u long, v long").distinct()
 
 
@@ -143,7 +184,12 @@ def near_components(docs: DataFrame, points: DataFrame, width: int) -> DataFrame
         rows = _with_components(shards, comps)
         n, work = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.expr("comp <> top"), F.col("points"))), F.lit(0))).first()
         stars = PAIRS_A_POINT * n < work < STILL * before
-        links.append(similar_pairs(docs, star_pairs(rows, turn) if stars else tree_pairs(rows), width))
+        if stars:
+            links.append(similar_pairs(docs, star_pairs(rows, turn), width))
+        else:
+            ids = rows.select(F.col("rep").alias("doc_id")).distinct()
+            sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "near-sets")
+            links.append(written(tree_links(rows, sets), "near-links"))
         comps = connected_components(reduce(DataFrame.unionByName, links))
         if not stars:
             return comps

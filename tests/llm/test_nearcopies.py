@@ -69,7 +69,7 @@ def crowd(r, n):
 
 @pytest.mark.parametrize("points,pairs", [(1024, 2), (7, 10**9), (7, 0), (1, 10**9)])
 def test_crowded_shards_lose_no_link(spark, monkeypatch, points, pairs):
-    for name, value in (("TREE_POINTS", points), ("PAIRS_A_POINT", pairs), ("TASK_POINTS", 10 * points)):
+    for name, value in (("TREE_POINTS", points), ("PAIRS_A_POINT", pairs), ("TASK_SHINGLES", 1000 * points), ("COLUMNS", 16 * points)):
         monkeypatch.setattr(nearcopies, name, value)
     texts = crowd(random.Random(5), 60)
     rows = nearcopies.near_copies(table_of(spark, texts)).collect()
@@ -80,14 +80,30 @@ def test_trees_are_bounded_and_meet_every_query(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "TREE_POINTS", 4)
     tables = []
     monkeypatch.setattr(nearcopies, "map_batches", lambda df, f, schema, was=nearcopies.map_batches: tables.append(df) or was(df, f, schema))
+    # of 40 points of two shards, every tenth has the same set; those of the first 20 are one component already
     rows = [(shard, rep, 4, [rep, 0, 0, 0], comp, 0, 40, 20) for shard in (1, 2) for rep in range(40) for comp in [0 if rep < 20 else rep]]
     df = spark.createDataFrame(rows, "shard long, rep long, n int, fp array<long>, comp long, top long, points long, outside long")
-    got = {tuple(r) for r in nearcopies.tree_pairs(df).collect()}
-    assert got == {(a, b) for b in range(20, 40) for a in range(b)}
+    sets = spark.createDataFrame([(r, [4 * (r % 10) + k for k in range(4)]) for r in range(40)], "doc_id long, s array<long>")
+    label = {i: i for i in range(40)} | {i: 0 for i in range(20)}
+    found = [tuple(r) for r in nearcopies.tree_links(df, sets).collect()]
+    for _ in range(40):
+        for u, v in found:
+            label[u] = label[v] = min(label[u], label[v])
+    assert all(label[r] == label[r % 10] for r in range(20, 40))
+    assert len(found) <= 2 * 20 * 11
     sizes = tables[0].groupBy("shard", "i", "j", "query").count()
     assert sizes.agg({"count": "max"}).first()[0] <= 12
-    near = {tuple(r) for r in nearcopies.tree_pairs(df, radius=1).collect()}
-    assert near == {(a, b) for a, b in got if (a ^ b).bit_count() <= 1}
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_shared_counts(monkeypatch, columns):
+    monkeypatch.setattr(nearcopies, "COLUMNS", columns)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, k)) for k in r.integers(1, 40, 12)]
+    a, b = np.nonzero(~np.eye(12, dtype=bool))
+    wanted = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a, b)]
+    assert nearcopies.shared_counts(sets, a, b).tolist() == wanted
+    assert nearcopies.shared_counts(sets, a[:20], b[:20]).tolist() == wanted[:20]
 
 
 @pytest.mark.parametrize("shingles", [9, 45, 450])
