@@ -111,14 +111,18 @@ def deviation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("class", F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{FOUND_SQL} SELECT pid, x + {TX} AS x, y + {TY} AS y, floor((z + {TZ}) * 1e6 + 0.5) / 1e6 AS z,
-  CASE WHEN dist <= 0.25 THEN 1 WHEN dist <= 0.5 THEN 2 WHEN dist <= 1 THEN 3 WHEN dist <= 2 THEN 4 ELSE 5 END AS classification,
-  CAST(least(greatest(round_even(dist * 1000, 0), 0), 65535) AS INTEGER) AS intensity
-FROM found WHERE {IN_TRENCH}""")
+def _srgb16(c: str) -> str:
+    return f"CAST(floor(CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE pow({c}, 1 / 2.4) * 1.055 - 0.055 END * 65535) AS INTEGER)"
+
+
+@query(f"""{FOUND_SQL}, classed AS (SELECT *, CASE WHEN dist <= 0.25 THEN 1 WHEN dist <= 0.5 THEN 2 WHEN dist <= 1 THEN 3 WHEN dist <= 2 THEN 4 ELSE 5 END AS classification FROM found WHERE {IN_TRENCH})
+SELECT pid, x + {TX} AS x, y + {TY} AS y, floor((z + {TZ}) * 1e6 + 0.5) / 1e6 AS z, {_srgb16('r::DOUBLE')} AS red, {_srgb16('g::DOUBLE')} AS green, {_srgb16('b::DOUBLE')} AS blue,
+  classification, CAST(least(greatest(round_even(dist * 1000, 0), 0), 65535) AS INTEGER) AS intensity
+FROM classed JOIN (VALUES (1, 0.0, 0.7, 0.2), (2, 0.6, 0.9, 0.0), (3, 1.0, 0.8, 0.0), (4, 1.0, 0.4, 0.0), (5, 0.8, 0.0, 0.0)) AS c(classification, r, g, b) USING (classification)""")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
     rows = deviation.export_rows(found, _inside(), "dist", TX, TY, TZ)
-    return _rounded(rows.select("pid", "x", "y", "z", "classification", "intensity"), "z")
+    return _rounded(rows.drop("deviation_m"), "z")
 
 
 @query(f"WITH {PTS} SELECT pid FROM pts WHERE {IN_TRENCH}")
