@@ -103,3 +103,13 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
         n = n + crosses(F.lit(float(ax)), F.lit(float(ay)), F.lit(float(bx)), F.lit(float(by)), x, y).cast("int")
     return n % 2 == 1
+
+
+def near_polygon(x: Column, y: Column, ring: list[tuple[float, float]], width: float) -> Column:
+    """Whether a point lies in the ring or no farther than width from its edge: the ring's buffer, which is not drawn."""
+    inside = in_polygon(x, y, ring)
+    zero = F.lit(0.0)
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
+        edge = Seg(F.lit(float(ax)), F.lit(float(ay)), zero, F.lit(float(bx)), F.lit(float(by)), zero, zero)
+        inside = inside | (offsets(edge, x, y, zero)[0] <= width * width)
+    return inside

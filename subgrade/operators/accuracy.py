@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from subgrade.functions import scalars as S
-from subgrade.functions.geometry import Seg, offsets
+from subgrade.functions.geometry import Seg, clamp, offsets
+from subgrade.operators.nearest import nearest_segment
 
 FIELD = "noejagtighedsklasse"
 
@@ -33,13 +34,30 @@ def buffer_hits(points: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def drape(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """queries (pid, x, y) with draped_z, the height of the point of a few segments that is nearest in the plane; 0 where
-    there are none."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    """queries (pid, x, y, ...) with draped_z, the height of the nearest point in the plane of any segment (seg_id), the smaller
+    seg_id on ties; 0 where there are none."""
+    flat = segments.withColumns({"z1": F.lit(0.0), "z2": F.lit(0.0), "hw": F.lit(0.0)})
+    found = nearest_segment(queries.select("pid", "x", "y", F.lit(0.0).alias("z")), flat).select("pid", "seg_id")
+    lines = segments.select("seg_id", *[F.col(f"{c}{i}").alias(f"s{c}{i}") for i in (1, 2) for c in "xyz"])
+    dx, dy = F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
     length2 = dx * dx + dy * dy
-    t = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.when(length2 > 1e-12, length2).otherwise(F.lit(1.0))
-    t = F.when(length2 > 1e-12, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    d2 = (F.col("x") - (F.col("x1") + t * dx)) ** 2 + (F.col("y") - (F.col("y1") + t * dy)) ** 2
-    sent = F.broadcast(segments.select("x1", "y1", "z1", "x2", "y2", "z2"))
-    pairs = queries.join(sent, F.lit(True), "left").withColumn("t", t).withColumns({"d2": d2, "h": F.col("z1") + F.col("t") * (F.col("z2") - F.col("z1"))})
-    return pairs.groupBy(*queries.columns).agg(F.coalesce(F.min_by("h", "d2"), F.lit(0.0)).alias("draped_z"))
+    t = clamp(((F.col("x") - F.col("sx1")) * dx + (F.col("y") - F.col("sy1")) * dy) / F.when(length2 > 1e-12, length2), F.lit(0.0), F.lit(1.0))
+    height = F.col("sz1") + F.when(length2 > 1e-12, t).otherwise(F.lit(0.0)) * (F.col("sz2") - F.col("sz1"))
+    joined = queries.join(found.join(lines, "seg_id"), "pid", "left")
+    return joined.select(*queries.columns, F.coalesce(height, F.lit(0.0)).alias("draped_z"))
+
+
+def hits_by_name(points: DataFrame, segments: DataFrame, clip: Column) -> DataFrame:
+    """By storage_key: the points within the united buffers of its features, as far as these lie in the clip, which holds a
+    point or doesn't. A name whose buffers hold no point has 0."""
+    names = segments.filter("half_width > 0").select("feature_id", "storage_key").distinct()
+    hits = buffer_hits(points.filter(clip), segments).join(names, "feature_id").groupBy("storage_key")
+    counted = hits.agg(F.countDistinct("pid").alias("n_points"))
+    return names.select("storage_key").distinct().join(counted, "storage_key", "left").select("storage_key", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+
+
+def in_view(features: DataFrame, seen: DataFrame) -> DataFrame:
+    """By storage_key: features with a part in view (seen: feature_id), and those of them with a registered accuracy."""
+    registered = S.accuracy_class(F.col("attrs")[FIELD]).isNotNull()
+    rows = features.join(seen.select("feature_id").distinct(), "feature_id", "left_semi")
+    return rows.groupBy("storage_key").agg(F.count_if(registered).alias("n_registered"), F.count("*").alias("n_in_view"))

@@ -35,7 +35,11 @@ def residual(plane: tuple[float, float, float]) -> Column:
 
 
 def fit_plane(points: DataFrame, rounds: int = 3, sigmas: float = 2.0) -> tuple[float, float, float] | None:
-    """Least squares over all points, then over those within `sigmas` deviations of the last plane; each round is one
+    return robust_fit(points, rounds, sigmas)[0]
+
+
+def robust_fit(points: DataFrame, rounds: int = 3, sigmas: float = 2.0) -> tuple[tuple[float, float, float] | None, DataFrame]:
+    """The plane, and the points that are kept by it. Least squares over all points, then over those within `sigmas` deviations of the last plane; each round is one
     aggregation, of which a handful of sums reach the driver."""
     plane, kept, inside = None, points, None
     for _ in range(rounds):
@@ -48,7 +52,7 @@ def fit_plane(points: DataFrame, rounds: int = 3, sigmas: float = 2.0) -> tuple[
         if not s or s < 1e-9:
             break
         kept = points.filter(F.abs(residual(plane)) <= sigmas * s)
-    return plane
+    return plane, kept
 
 
 def idw(queries: DataFrame, samples: DataFrame, k: int = IDW_NEIGHBOURS, cell: float = GROUND_CELL) -> DataFrame:
@@ -59,6 +63,27 @@ def idw(queries: DataFrame, samples: DataFrame, k: int = IDW_NEIGHBOURS, cell: f
     return near.groupBy("qid").agg(F.coalesce(exact, F.sum(w * F.col("pz")) / F.sum(w)).alias("ground_z"))
 
 
+def ground_scalars(samples: DataFrame, points: DataFrame, share: float = GROUND_PERCENTILE) -> DataFrame:
+    """One row: ground_z (the samples' median, else a percentile of all points), n_samples, z_spread, and the fitted plane's
+    slope_pct and plane_rms over the samples it keeps; null without a plane."""
+    plane, kept = robust_fit(samples)
+    told = samples.agg(F.median("z").alias("m"), F.count("*").alias("n_samples"), (F.max("z") - F.min("z")).alias("z_spread"))
+    level = ground_level(points, share=share).select(F.col("ground_z").alias("p"))
+    if plane is None:
+        fit = told.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in ("slope_pct", "plane_rms")])
+    else:
+        fit = kept.agg(F.lit(100 * (plane[0] ** 2 + plane[1] ** 2) ** 0.5).alias("slope_pct"), F.sqrt(F.avg(residual(plane) ** 2)).alias("plane_rms"))
+    # one row each
+    return told.crossJoin(level).crossJoin(fit).select(F.coalesce("m", "p").alias("ground_z"), "n_samples", "z_spread", "slope_pct", "plane_rms")
+
+
+def ground_at(queries: DataFrame, samples: DataFrame, plane: tuple[float, float, float] | None, level: float) -> DataFrame:
+    """queries (qid, x, y, z) with ground_z: from the samples around; where there are none from the plane; else the level."""
+    near = idw(queries, samples)
+    a, b, c = plane or (0.0, 0.0, level)
+    return queries.join(near, "qid", "left").withColumn("ground_z", F.coalesce("ground_z", F.col("x") * a + F.col("y") * b + c))
+
+
 def ground_level(points: DataFrame, picked: DataFrame | None = None, share: float = GROUND_PERCENTILE) -> DataFrame:
     """One row ground_z: the mean of picked points, else a percentile of all."""
     level = points.agg(F.percentile("z", F.lit(share)).alias("p"))

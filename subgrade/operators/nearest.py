@@ -242,6 +242,43 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, cell: float, m
     return reduce(DataFrame.unionByName, done).drop("n")
 
 
+def nearest_of_many(queries: DataFrame, points: DataFrame, match: list[str] | None = None, size: float = 0.25, chunk: int = 256) -> DataFrame:
+    """queries (x, y, z, ...; far more than points) with dev, dev_xy, dev_z to the nearest point in 3D, ties to the smaller
+    pid; NaN where no point matches.
+
+    Queries lie in cubes. The point nearest to a cube's centre bounds how far the nearest of any query of the cube can be,
+    so a cube meets the points within that reach only, in cells as wide as the reach. The points of a cube are dealt over
+    arrays of about `chunk`, so a crowded cube is many rows and no group.
+    """
+    match = match or []
+    keys = [*match, *C]
+    at = queries.withColumns({n: F.floor(F.col(c) / size) for c, n in zip("xyz", C)})
+    centres = at.select(*keys).distinct().withColumns({c: (F.col(n) + 0.5) * size for c, n in zip("xyz", C)})
+    cubes = written(centres.withColumn("qid", F.to_json(F.struct(*keys))), "many-cubes")
+    first = nearest_points(cubes, points, 1, 4 * size, match).select("qid", (F.sqrt("d2") * (1 + SLACK) + size * 3**0.5 + SLACK).alias("reach"))
+    level = F.greatest(F.ceil(F.log2(F.col("reach") / size)), F.lit(0)).cast("int")
+    near = written(cubes.join(first, "qid").drop("qid").withColumn("level", level), "many-reaches")
+    top = near.agg(F.max("level")).first()[0] or 0
+    width = F.lit(size) * F.pow(F.lit(2.0), "level")
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    near = near.withColumn("ix", around).withColumn("iy", around).withColumns({"kx": cell("x") + F.col("ix"), "ky": cell("y") + F.col("iy")})
+    there = points.select("pid", *match, *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    there = there.withColumns({"kx": cell("px"), "ky": cell("py")})
+    d2 = _sum([(F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"])
+    met = near.join(there, [*match, "level", "kx", "ky"]).filter(d2 <= F.col("reach") ** 2).select(*keys, "pid", "px", "py", "pz")
+    met = written(met, "many-met")
+    parts = met.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    dealt = met.join(parts, keys).groupBy(*keys, F.pmod(F.xxhash64("pid"), "parts").alias("part"))
+    lists = dealt.agg(F.collect_list(F.struct("pid", "px", "py", "pz")).alias("near"))
+    apart = lambda p: F.struct(_sum([(F.col(c) - p[f"p{c}"]) * (F.col(c) - p[f"p{c}"]) for c in "xyz"]).alias("d2"), p["pid"].alias("pid"), *[p[f"p{c}"].alias(f"p{c}") for c in "xyz"])
+    best = at.join(lists, keys, "left").withColumn("best", F.array_min(F.transform("near", apart)))
+    found = best.groupBy(*keys, *[c for c in queries.columns if c not in keys]).agg(F.min("best").alias("best"))
+    flat = F.sqrt(_sum([(F.col(c) - F.col(f"best.p{c}")) ** 2 for c in "xy"]))
+    parts_of = {"dev": F.sqrt("best.d2"), "dev_xy": flat, "dev_z": F.abs(F.col("z") - F.col("best.pz"))}
+    return found.withColumns({n: F.coalesce(v, F.lit(float("nan"))) for n, v in parts_of.items()}).select(*queries.columns, *parts_of)
+
+
 def pick(hit: tuple[float, float, float], components: DataFrame, segments: DataFrame, near_component: float = 0.20, near_segment: float = 0.30) -> DataFrame:
     """One row: the feature nearest to a hit point. A component wins if it is strictly nearer and within its radius, else
     the segment if within its own; otherwise kind and id are null."""

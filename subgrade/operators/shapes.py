@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAIN_UTILITY, WATER = 0, 7
 
@@ -104,3 +104,40 @@ def ribbon_corners(segments: DataFrame) -> DataFrame:
     sx, sy = F.when(flat > 1e-9, -dy / safe).otherwise(F.lit(1.0)), F.when(flat > 1e-9, dx / safe).otherwise(F.lit(0.0))
     corner = lambda i, side: F.struct((F.col(f"x{i}") + side * F.col("half_width") * sx + 0.0).alias("x"), (F.col(f"y{i}") + side * F.col("half_width") * sy).alias("y"), F.col(f"z{i}").alias("z"))
     return segments.withColumn("corners", F.array(corner(1, -1), corner(1, 1), corner(2, 1), corner(2, -1)))
+
+
+def fan(rings: DataFrame, by: str) -> DataFrame:
+    """The triangles of each ring (array of corners) from its first corner: by, i, and the corners' places a, b, c."""
+    rows = rings.filter(F.size("ring") >= 3).select(by, F.explode(F.sequence(F.lit(1), F.size("ring") - 2)).alias("i"))
+    return rows.select(by, (F.col("i") - 1).alias("triangle"), F.lit(0).alias("a"), F.col("i").alias("b"), (F.col("i") + 1).alias("c"))
+
+
+def merged_vertices(shapes: DataFrame, order: str) -> DataFrame:
+    """shapes (n_vertices, ...) with offset, by which the shape's indices move when all are put into one.
+
+    The running sum is over sums of blocks of 4,096 shapes in order, so that no task holds more than a block and the table
+    of blocks, a row for each, is what meets in one place.
+    """
+    block = shapes.withColumn("block__", F.floor(F.col(order) / 4096))
+    sums = block.groupBy("block__").agg(F.sum("n_vertices").alias("n__"))
+    before = sums.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")
+    inside = F.coalesce(F.sum("n_vertices").over(Window.partitionBy("block__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return block.withColumn("inside__", inside).join(before, "block__").withColumn("offset", F.col("before__") + F.col("inside__")).drop("block__", "inside__", "before__")
+
+
+def representative_points(vertex_rows: DataFrame, by: str, closed: Column) -> DataFrame:
+    """by, x, y, z: where a component that isn't a point is drawn. vertex_rows: by, vid, x, y, z of one ring or line.
+
+    x, y are the centroid: by area of a closed ring, by length of a line, of the vertices where these have neither; z is the
+    first vertex's, 0 if that has none.
+    """
+    w = Window.partitionBy(by).orderBy("vid")
+    rows = vertex_rows.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "ox": F.first("x").over(w), "oy": F.first("y").over(w), "closed": closed})
+    # about the first vertex, as coordinates may be large
+    ax, ay, bx, by_ = F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("nx") - F.col("ox"), F.col("ny") - F.col("oy")
+    weight = F.when(F.col("closed"), ax * by_ - bx * ay).otherwise(F.sqrt((bx - ax) ** 2 + (by_ - ay) ** 2))
+    part = F.when(F.col("closed"), F.lit(3.0)).otherwise(F.lit(2.0))
+    rows = rows.withColumns({"w": F.when(F.col("nx").isNotNull(), weight), "mx": (ax + bx) / part, "my": (ay + by_) / part})
+    total = F.nullif(F.sum("w"), F.lit(0.0))
+    centre = lambda c: (F.first(f"o{c}") + F.coalesce(F.sum(F.col("w") * F.col(f"m{c}")) / total, F.avg(F.col(c) - F.col(f"o{c}")))).alias(c)
+    return rows.groupBy(by).agg(centre("x"), centre("y"), F.coalesce(F.min_by("z", "vid"), F.lit(0.0)).alias("z"))

@@ -295,7 +295,7 @@ def buffer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _L = "sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2 + (z2 - z1) ** 2)"
 SAMPLES_SQL = f"""sized AS (SELECT *, {_L} AS len, greatest(2, CAST(ceil({_L} / {SAMPLE_STEP}) AS INTEGER) + 1) AS na,
-    CASE WHEN hw > 1e-9 THEN greatest(2, CAST(ceil(2 * hw / {SAMPLE_STEP}) AS INTEGER) + 1) ELSE 3 END AS nr FROM seg WHERE {_L} >= 1e-6),
+    CASE WHEN hw > 1e-9 THEN greatest(2, CAST(ceil(2 * hw / {SAMPLE_STEP}) AS INTEGER) + 1) ELSE greatest(3, CAST(ceil(2 * pi() * 0.01 / {SAMPLE_STEP}) AS INTEGER)) END AS nr FROM seg WHERE {_L} >= 1e-6),
 st AS (SELECT *, unnest(range(0, na)) AS station FROM sized), ri AS (SELECT *, unnest(range(0, nr)) AS ring FROM st),
 ax AS (SELECT *, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy, (z2 - z1) / len AS uz, station / (na - 1) AS t,
   x1 + station / (na - 1) * (x2 - x1) AS cx, y1 + station / (na - 1) * (y2 - y1) AS cy, z1 + station / (na - 1) * (z2 - z1) AS cz FROM ri),
@@ -312,19 +312,22 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discretise.discretise(segs, SAMPLE_STEP, SAMPLE_STEP)
 
 
-@query(f"WITH {SEG}, {SAMPLES_SQL} SELECT seg_id, station::INTEGER AS station, ring::INTEGER AS ring, {_r('x', 'y', 'z')} FROM samples")
+_EXTENTS = ", ".join(f"floor(({f}({c})) * 1e6 + 0.5) / 1e6 AS {n}_{c}" for c in "xyz" for n, f in (("low", "min"), ("mean", "avg"), ("high", "max")))
+
+
+@query(f"WITH {SEG}, {SAMPLES_SQL} SELECT seg_id, count(*) AS n, {_EXTENTS} FROM samples GROUP BY seg_id")
 def registry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_samples(spark, sf_dir), "x", "y", "z")
+    """All samples 0.02 m apart, told by segment: their number, and the extent and mean of their coordinates."""
+    aggregates = {f"{n}_{c}": f(c) for c in "xyz" for n, f in (("low", F.min), ("mean", F.avg), ("high", F.max))}
+    out = _samples(spark, sf_dir).groupBy("seg_id").agg(F.count("*").alias("n"), *[v.alias(n) for n, v in aggregates.items()])
+    return _rounded(out, *aggregates)
 
 
-@query(f"""WITH {PTS}, {SEG}, {SAMPLES_SQL}, d AS (SELECT seg_id, station, ring, min((s.x - p.x) ** 2 + (s.y - p.y) ** 2 + (s.z - p.z) ** 2) AS d2 FROM samples s, pts p GROUP BY ALL)
-SELECT seg_id, count(*) AS n, floor((avg(sqrt(d2))) * 1e5 + 0.5) / 1e5 AS mean, floor((max(sqrt(d2))) * 1e5 + 0.5) / 1e5 AS max FROM d GROUP BY seg_id""")
+@query()
 def registry_sample_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _samples(spark, sf_dir).withColumn("qid", F.concat_ws("-", "seg_id", "station", "ring"))
-    near = nearest.nearest_points(samples, sites.points(spark, sf_dir), 1, 0.5)
-    seg_id = F.split("qid", "-")[0].cast("long")
-    out = near.groupBy(seg_id.alias("seg_id")).agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean"), F.max(F.sqrt("d2")).alias("max"))
-    return _rounded(out, "mean", "max", to=5)
+    """Of each segment's samples, 0.02 m apart, the distance to the nearest point of a type that its layer is compared with, and
+    that distance's parts in the plane and in height. The SQL would be all pairs; the test compares with brute force."""
+    return deviation.sample_deviation(sites.segments(spark, sf_dir), sites.points(spark, sf_dir), SAMPLE_STEP)
 
 
 @query(f"WITH {PTS}, known AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in dims.CLASSES.items()) + ") AS t(class, class_name)) SELECT p.class, coalesce(k.class_name, 'unknown') AS class_name, count(*) AS n FROM pts p LEFT JOIN known k USING (class) GROUP BY ALL")

@@ -10,7 +10,7 @@ from subgrade.operators import depth, segments as G
 
 TRENCH = [(1.0, 1.0), (8.0, 2.0), (6.0, 7.0), (2.0, 6.0)]
 TX, TY, TZ = 500000.0, 6200000.0, 30.0
-SAMPLE_STEP = 2.0
+SAMPLE_STEP = 0.02
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
