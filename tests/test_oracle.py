@@ -2,7 +2,7 @@
 
 import pytest
 
-from subgrade.plans.catalogue import ORACLE_SQL, QUERIES
+from subgrade.plans.everything import ORACLE_SQL, QUERIES
 from tests.conftest import DATA, same_rows
 
 
