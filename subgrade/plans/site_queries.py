@@ -92,7 +92,8 @@ def accuracy_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PTS}, {SEG}, flat AS (SELECT {_KEY}, acc_width, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM seg WHERE acc_width > 0),
 t AS (SELECT pid, storage_key, acc_width, x, y, x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy > 1e-12 THEN least(greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0.0), 1.0) ELSE 0.0 END AS t
   FROM pts, flat WHERE (x - 5.0) * (x - 5.0) + (y - 5.0) * (y - 5.0) <= 4.0)
-SELECT storage_key, count(DISTINCT CASE WHEN sqrt((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2) <= acc_width THEN pid END) AS n_points FROM t GROUP BY storage_key""")
+SELECT storage_key, count(DISTINCT CASE WHEN sqrt((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2) <= acc_width THEN pid END) AS n_points
+FROM (SELECT DISTINCT storage_key FROM flat) LEFT JOIN t USING (storage_key) GROUP BY storage_key""")
 def buffers_in_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in the united buffers of each display name, within 2 m of (5, 5)."""
     segs = sites.segments(spark, sf_dir).withColumn("half_width", S.accuracy_class(F.col("attrs")[accuracy.FIELD])["half_width"]).drop("hw")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, segments as G
+from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, segments as G, shapes, site
+from subgrade.functions.geometry import near_polygon
 from subgrade.streaming.instances import running_stats
 
 SEGMENTS = "seg_id long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, hw double"
@@ -169,7 +170,7 @@ def test_buffers_and_drape(spark):
     pts = frame(spark, [(1, 4.0, 0.5), (2, 4.0, 0.6), (3, 10.3, 0.3)], "pid long, x double, y double")
     hits = {r.pid: round(r.distance, 6) for r in accuracy.buffer_hits(pts, segs.drop("hw")).collect()}
     assert hits == {1: 0.5, 3: round(0.18**0.5, 6)}
-    assert {r.pid: r.draped_z for r in accuracy.drape(pts, segs.drop("hw", "feature_id", "half_width", "seg_id")).collect()} == {1: 2.0, 2: 2.0, 3: 5.0}
+    assert {r.pid: r.draped_z for r in accuracy.drape(pts, segs.drop("feature_id", "half_width")).collect()} == {1: 2.0, 2: 2.0, 3: 5.0}
     assert {r.draped_z for r in accuracy.drape(pts, segs.filter("false")).collect()} == {0.0}
 
 
@@ -188,3 +189,85 @@ def test_stream_of_instances(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.instance, r.n, r.mean_z) for r in spark.sql("SELECT * FROM instances").collect()) == [("a", 2, 2.0), ("b", 1, 5.0)]
+
+
+def test_nearest_of_many_agrees_with_brute_force(spark):
+    r = np.random.default_rng(3)
+    wanted = [(i, *map(float, r.random(3) * 4), "ab"[i % 2]) for i in range(400)] + [(400, 1.0, 1.0, 1.0, "none")]
+    # a crowd in one place, equal distances, and one far away
+    near = [(i, *map(float, r.random(3) * 4), "ab"[i % 2]) for i in range(150)] + [(150 + i, 2.0, 2.0, 2.0, "a") for i in range(50)] + [(200, 90.0, 0.0, 0.0, "b")]
+    queries = frame(spark, wanted, "k long, x double, y double, z double, t string")
+    points = frame(spark, near, "pid long, x double, y double, z double, t string")
+    got = {row.k: (row.dev, row.dev_xy, row.dev_z) for row in nearest.nearest_of_many(queries, points, ["t"], chunk=8).collect()}
+    assert len(got) == 401 and all(np.isnan(v) for v in got[400])
+    for k, x, y, z, t in wanted[:-1]:
+        d, px, py, pz = min((float(np.sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2)), px, py, pz) for _, px, py, pz, u in near if u == t)
+        assert got[k] == pytest.approx((d, np.hypot(x - px, y - py), abs(z - pz)), abs=1e-9)
+    assert nearest.nearest_of_many(queries.filter("false"), points, ["t"]).count() == 0
+
+
+def test_sample_deviation_agrees_with_brute_force(spark):
+    cols = "layer string, supply string, storage_key string, seg_id long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, radius double, half_width double"
+    segs = frame(spark, [
+        ("Vandledning", None, "Vandledning", 1, 0.0, 0.0, 0.0, 1.0, 0.5, 0.2, 0.01, 0.0),
+        ("Ledningstrace", "El", "Ledningstrace (El)", 2, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.01, 0.05), ("Olieledning", None, "Olieledning", 3, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.01, 0.0),
+    ], cols)
+    pts = [(i, i / 10, i % 3 / 3, 0.3, 7 if i % 2 else 1) for i in range(12)]
+    points = frame(spark, pts, "pid long, x double, y double, z double, utility_type int")
+    got = {r.seg_id: r for r in deviation.sample_deviation(segs, points).collect()}
+    samples = discretise.discretise(segs.select("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "radius", "half_width")).toPandas()
+    for seg, kind in ((1, 7), (2, 1)):
+        own = samples[samples["seg_id"] == seg][["x", "y", "z"]].to_numpy()
+        refs = np.array([p[1:4] for p in pts if p[4] == kind])
+        apart = np.sqrt(((own[:, None] - refs[None]) ** 2).sum(2))
+        at = refs[apart.argmin(1)]
+        wanted = (apart.min(1), np.hypot(*(own - at)[:, :2].T), np.abs((own - at)[:, 2]))
+        assert got[seg].n == len(own) > 100
+        for name, d in zip(("dev", "dev_xy", "dev_z"), wanted):
+            assert got[seg][f"mean_{name}"] == pytest.approx(d.mean(), abs=1e-6) and got[seg][f"max_{name}"] == pytest.approx(d.max(), abs=1e-6)
+    assert np.isnan(got[3].mean_dev)
+
+
+def test_ground_falls_back_to_the_plane_and_the_level(spark):
+    queries = frame(spark, [(1, 2.0, 3.0, 0.0)], "qid long, x double, y double, z double")
+    none = frame(spark, [], "pid long, x double, y double, z double")
+    one = frame(spark, [(1, 5.0, 5.0, 7.0)], "pid long, x double, y double, z double")
+    height = lambda samples, plane: ground.ground_at(queries, samples, plane, -1.0).first().ground_z
+    assert (height(one, (1.0, 1.0, 0.0)), height(none, (1.0, 2.0, 0.5)), height(none, None)) == pytest.approx((7.0, 8.5, -1.0))
+    told = ground.ground_scalars(none, one).first()
+    assert (told.ground_z, told.n_samples, told.plane_rms) == (7.0, 0, None)
+    tilted = frame(spark, [(i, float(i % 5), float(i // 5), 0.5 * (i % 5)) for i in range(25)], "pid long, x double, y double, z double")
+    assert ground.ground_scalars(tilted, one).first().slope_pct == pytest.approx(50.0)
+
+
+def test_components_that_are_no_points(spark):
+    square = [("q", i, x, y, z) for i, (x, y, z) in enumerate([(0.0, 0.0, 4.0), (2.0, 0.0, 1.0), (2.0, 2.0, 1.0), (0.0, 2.0, 1.0), (0.0, 0.0, 4.0)])]
+    rows = frame(spark, square + [("p", 0, 1.0, 2.0, None)], "id string, vid int, x double, y double, z double")
+    got = {r.id: (r.x, r.y, r.z) for r in shapes.representative_points(rows, "id", F.col("id") == "q").collect()}
+    assert got == {"q": (1.0, 1.0, 4.0), "p": (1.0, 2.0, 0.0)}
+
+
+def test_site_session_and_filters(spark):
+    pts = frame(spark, [(1, 0.0, 0.0, 0.0), (2, 4.0, 4.0, 0.0)], "pid long, x double, y double, z double")
+    part = lambda *xy: [[{"x": x, "y": y, "z": 0.0} for x, y in xy]]
+    lines = [("in", part((1.0, 1.0), (9.0, 9.0))), ("corner only", part((-9.0, 5.0), (5.0, 12.0))), ("edge", part((6.0, 0.0), (6.0, 1.0))), ("away", part((7.0, 0.0), (7.0, 1.0))), ("none", None)]
+    feats = frame(spark, [("Gasledning", n, "LineString", p, {}) for n, p in lines], G.FEATURE_SCHEMA)
+    comps = frame(spark, [(1, 5.0, 5.0), (2, 6.5, 0.0)], "comp_id long, x double, y double")
+    session = site.SiteSession(spark, pts, feats, comps)
+    assert session.box == (-2.0, -2.0, 6.0, 6.0)
+    assert {r.feature_id for r in session.features_near().collect()} == {"in", "edge"}
+    assert [r.comp_id for r in session.components_near().collect()] == [1]
+    with pytest.raises(ValueError):
+        site.SiteSession(spark, pts.filter("false"), feats, comps).box
+    assert spark.range(1).select(site.box_near((0, 0, 1, 1), 2.0, 0.0, 3.0, 1.0).alias("a"), site.box_near((0, 0, 1, 1), 2.0, 0.0, 3.0, 1.0, 1.0).alias("b")).first() == (False, True)
+    assert site.visible(feats, ["Elledning"]).count() == 0 and site.visible(feats, None).count() == 5
+    segs = frame(spark, [("Gasledning", None, "Gasledning")], "layer string, supply string, storage_key string")
+    things = frame(spark, [(4, "a"), (1, "b")], "utility_type int, instance string")
+    shown = lambda chosen: {r.name for r in site.utility_filter(things, segs, chosen).collect() if r.is_visible}
+    assert (shown(None), shown((4, "a")), shown((1, "b"))) == ({"a", "b", "Gasledning"}, {"a", "Gasledning"}, {"b"})
+
+
+def test_near_polygon(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = frame(spark, [(2.0, 2.0), (5.9, 2.0), (6.1, 2.0), (5.5, 5.5), (5.4, 5.3)], "x double, y double")
+    assert [r.near for r in rows.select(near_polygon(F.col("x"), F.col("y"), ring, 2.0).alias("near")).collect()] == [True, True, False, False, True]
