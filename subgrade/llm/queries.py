@@ -3,6 +3,7 @@
 from subgrade.llm.backoff import OP7_SQL, op7_lm_scoring
 from subgrade.llm.packing import op8_best_fit_packing
 from subgrade.llm.pieces import op1_sentencepiece
+from subgrade.llm.prefixtrie import OP11_SQL, op11_prefix_trie
 from subgrade.llm.repair import OP12_SQL, op12_conversation_repair
 from subgrade.llm.rules import op9_quality_rules
 from subgrade.llm.sharding import op10_sharding
@@ -23,11 +24,13 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_top_k_search": OP5_SQL,
     "op7_lm_scoring": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
 }
