@@ -1,6 +1,7 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
 from subgrade.llm.backoff import OP7_SQL, op7_lm_scoring
+from subgrade.llm.maintext import op13_html_extraction
 from subgrade.llm.packing import op8_best_fit_packing
 from subgrade.llm.pieces import op1_sentencepiece
 from subgrade.llm.prefixtrie import OP11_SQL, op11_prefix_trie
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
