@@ -1,12 +1,4 @@
-"""Nearest segments and nearest points.
-
-The nearest segment is searched from coarse to fine. Points, and pieces of segments, lie in cubes; a pair of cubes bounds
-the distance from below and above. On each level the pairs of the level before are cut finer, and a pair goes on only if its
-lower bound is within the least upper bound of its points' cube, so that distance in any direction, height included, rules
-out what is far. On the finest level the points of a cube are compared with the segments that are left. A ribbon, whose
-distance ignores what lies beyond its ends, has no cube: it stays itself on all levels, bounded by its offset across and
-its heights.
-"""
+"""Nearest segments and nearest points."""
 
 from __future__ import annotations
 
@@ -16,189 +8,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions.geometry import Seg, offsets
+from subgrade.operators import packed
 from subgrade.tables import written
 
-FIELDS = ("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "hw")
-#: Pieces that a segment of mean length is cut into, each as long as a cube of the finest level.
-PIECES = 16
-#: Up to so many pairs of cubes, a level is four times as fine as the one before, and else twice.
-FEW_PAIRS = 2_000
-#: Comparisons of a point and a segment that are few: so many; or, once the pairs are MANY_PAIRS and so give many tasks work,
-#: so many more, or so many for each point, or for each pair, as to cut a pair finer takes about as long as so many comparisons.
-FEW_COMPARISONS, MANY_PAIRS, COMPARISONS, COMPARISONS_A_POINT, COMPARISONS_A_PAIR = 20_000_000, 20_000, 200_000_000, 5000, 100
-#: What bounds give way for the rounding of their own arithmetic, relative and in squares of the finest cube.
+FIELDS = ("seg_id", *packed.ENDS)
+#: What bounds give way for the rounding of their own arithmetic.
 SLACK = 1e-9
-C, Q = ("cx", "cy", "cz"), ("qx", "qy", "qz")
-RIBBON = ("rid", "rx", "ry", "nx", "ny", "rhw", "low", "high")
-
-
-def _solid_d2() -> Column:
-    """Squared distance to a segment without width, from what the table of pieces holds: no conditions, so that generated code computes
-    each part once. A segment without length has an infinite square of it, and so its first point as the nearest."""
-    from_start = [F.col(c) - F.col(f"{c}1") for c in "xyz"]
-    t = F.least(F.greatest(_sum([v * F.col(f"d{c}") for c, v in zip("xyz", from_start)]) / F.col("length2"), F.lit(0.0)), F.lit(1.0))
-    return _sum([(F.col(c) - (F.col(f"{c}1") + t * F.col(f"d{c}"))) * (F.col(c) - (F.col(f"{c}1") + t * F.col(f"d{c}"))) for c in "xyz"])
-
-
-def _ribbon_d2() -> Column:
-    """Squared distance to a ribbon, from its direction across (nx, ny), without conditions."""
-    t = F.least(F.greatest(_sum([(F.col(c) - F.col(f"{c}1")) * F.col(f"d{c}") for c in "xyz"]) / F.col("length2"), F.lit(0.0)), F.lit(1.0))
-    e = {c: F.col(c) - (F.col(f"{c}1") + t * F.col(f"d{c}")) for c in "xyz"}
-    lateral = F.greatest(F.abs(e["x"] * F.col("nx") + e["y"] * F.col("ny")) - F.col("hw"), F.lit(0.0))
-    return lateral * lateral + e["z"] * e["z"]
+C = ("cx", "cy", "cz")
 
 
 def _sum(parts) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-class _Frame:
-    """The box around points and segments, cut into cubes of one size; lengths below are in cubes."""
-
-    def __init__(self, points: DataFrame, segs: DataFrame):
-        ends = [segs.select(*[F.col(f"{c}{i}").alias(c) for c in "xyz"]) for i in (1, 2)]
-        rows = reduce(DataFrame.unionByName, [points.select("x", "y", "z"), *ends])
-        box = rows.agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))]).first()
-        length = F.sqrt(_sum([(F.col(f"{c}2") - F.col(f"{c}1")) ** 2 for c in "xyz"]))
-        mean = segs.agg(F.avg(length)).first()[0] or 0.0
-        self.low = {c: box[f"low_{c}"] or 0.0 for c in "xyz"}
-        extent = max([(box[f"high_{c}"] or 0.0) - self.low[c] for c in "xyz"])
-        self.size = max(mean / PIECES, extent / 2**20, 1e-6)
-        self.levels = int(extent / self.size).bit_length()
-        self.length = length / self.size
-
-    def at(self, c: str, v: Column) -> Column:
-        return (v - self.low[c]) / self.size
-
-    def cell(self, c: str, v: Column) -> Column:
-        return F.floor(self.at(c, v)).cast("long")
-
-
-def _steps() -> dict[str, Column]:
-    step = {f"d{c}": F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"}
-    length2 = _sum([v * v for v in step.values()])
-    return step | {"length2": F.when(length2 > 1e-12, length2).otherwise(F.lit(float("inf")))}
-
-
-def _pieces(segs: DataFrame, frame: _Frame) -> DataFrame:
-    """segs without width, by the cubes (Q) of the middles of their pieces; no piece is longer than a cube."""
-    n = F.greatest(F.ceil(frame.length), F.lit(1)).cast("long")
-    cut = segs.filter("hw <= 1e-9 or hw is null").withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    t = (F.col("i") + 0.5) / F.col("n")
-    cubes = {q: frame.cell(c, F.col(f"{c}1") + t * (F.col(f"{c}2") - F.col(f"{c}1"))) for c, q in zip("xyz", Q)}
-    kept = [c for c in segs.columns if c not in ("x2", "y2", "z2", "hw")]
-    return cut.withColumns(cubes | _steps()).select(*kept, *_steps(), *Q).distinct()
-
+def _grouped(df: DataFrame, match: list[str], kinds: dict[str, str], *columns: str) -> DataFrame:
+    """columns, and g: the match columns as one text, in the types that kinds has; rows with a null there match nothing."""
+    known = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in match])) if match else df
+    g = F.to_json(F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in match])) if match else F.lit("")
+    return known.select(*columns, g.alias("g"))
 
-def _ribbons(segs: DataFrame, frame: _Frame) -> DataFrame:
-    """Each ribbon as a point on its line, the direction across (none if it is vertical), half width and heights."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    flat = F.sqrt(dx * dx + dy * dy)
-    across = lambda v: F.when(flat > 1e-12, v / F.when(flat > 1e-12, flat).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
-    return segs.filter("hw > 1e-9").withColumns({
-        "rid": F.col("seg_id"), "rx": frame.at("x", F.col("x1")), "ry": frame.at("y", F.col("y1")), "nx": across(-dy), "ny": across(dx),
-        "rhw": F.col("hw") / frame.size, "low": frame.at("z", F.least("z1", "z2")), "high": frame.at("z", F.greatest("z1", "z2")),
-    })
 
-
-def _bounds(span: float) -> tuple[Column, Column]:
-    """Least and greatest squared distance of points in cube C from what a pair holds, cubes being `span` wide."""
-    apart = [F.abs(F.col(c) - F.col(q)) for c, q in zip(C, Q)]
-    # a piece may reach out of its cube by half its length
-    near = _sum([F.greatest((d - 1) * span - 0.5, F.lit(0.0)) ** 2 for d in apart])
-    far = _sum([((d + 1) * span) ** 2 for d in apart])
-    mid = [(F.col(c) + 0.5) * span for c in C]
-    across = F.abs((mid[0] - F.col("rx")) * F.col("nx") + (mid[1] - F.col("ry")) * F.col("ny"))
-    half = (F.abs("nx") + F.abs("ny")) * (span / 2)
-    bottom, top = F.col("cz") * span, (F.col("cz") + 1) * span
-    r_near = F.greatest(across - half - F.col("rhw"), F.lit(0.0)) ** 2 + F.greatest(F.col("low") - top, bottom - F.col("high"), F.lit(0.0)) ** 2
-    r_far = F.greatest(across + half - F.col("rhw"), F.lit(0.0)) ** 2 + F.greatest(F.abs(top - F.col("low")), F.abs(F.col("high") - bottom)) ** 2
-    ribbon = F.col("rid").isNotNull()
-    return F.when(ribbon, r_near).otherwise(near), F.when(ribbon, r_far).otherwise(far)
-
-
-def _within(near: str, least: str) -> Column:
-    return F.col(near) <= F.col(least) * (1 + SLACK) + SLACK
-
-
-def _pairs(above: DataFrame | None, cubes: DataFrame, items: DataFrame, match: list[str], level: int, step: int) -> DataFrame:
-    """Pairs of cubes of `level`, and of cubes and ribbons, with n * m comparisons each, that may hold a nearest segment: the
-    children of those above, or else all of the level. items: pieces by cube, and ribbons, which have none."""
-
-    def merged(df: DataFrame, names: tuple[str, ...], count: str) -> DataFrame:
-        down = df.select(*match, *[F.shiftright(n, level).alias(n) for n in names], count).groupBy(*match, *names).agg(F.sum(count).alias(count))
-        return down.select("*", *[F.shiftright(n, step).alias(f"{n}_") for n in names])
-
-    points, pieces = merged(cubes, C, "n"), merged(items.filter("rid is null"), Q, "m")
-    ribbons = items.filter("rid is not null").select(*match, *RIBBON)
-    if above is None:
-        both = pieces.select(*match, *Q, "m").unionByName(ribbons.withColumn("m", F.lit(1).cast("long")), allowMissingColumns=True)
-        cut = points.withColumn("root", F.lit(0)).join(both.withColumn("root", F.lit(0)), [*match, "root"])
-    else:
-        above = above.select(*match, *[F.col(n).alias(f"{n}_") for n in (*C, *Q)], *RIBBON)
-        cut = above.join(points, [*match, *[f"{n}_" for n in C]]).join(pieces, [*match, *[f"{n}_" for n in Q]], "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    near, far = _bounds(float(2**level))
-    cut = written(cut.select(*match, *C, *Q, *RIBBON, "n", "m", near.alias("near"), far.alias("far")), "nearest-pairs")
-    # aggregated before the exchange, as the cube of all points meets every ribbon
-    least = written(cut.groupBy(*match, *C).agg(F.min("far").alias("least")), "nearest-bounds")
-    return cut.join(least, [*match, *C]).filter(_within("near", "least")).drop("near", "far", "least")
-
-
-def _candidates(points: DataFrame, segs: DataFrame, match: list[str], frame: _Frame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """points by cube; pairs of cubes, and of cubes and ribbons; pieces by cube; and the level of the cubes, which is as fine
-    as it takes for the comparisons to be few, or no more than the pairs."""
-    at = points.withColumns({n: frame.cell(c, F.col(c)) for c, n in zip("xyz", C)})
-    cubes, pieces = written(at.groupBy(*match, *C).agg(F.count("*").alias("n")), "nearest-cubes"), written(_pieces(segs, frame), "nearest-pieces")
-    by_cube = pieces.groupBy(*match, *Q).agg(F.count("*").alias("m"))
-    items = written(by_cube.unionByName(_ribbons(segs, frame).select(*match, *RIBBON), allowMissingColumns=True), "nearest-items")
-    n_points = cubes.agg(F.sum("n")).first()[0] or 0
-    # from 4 x 4 x 4 cubes on
-    level, pairs, step = max(0, frame.levels - 2), None, 0
-    while True:
-        pairs = _pairs(pairs, cubes, items, match, level, step)
-        rows, work = pairs.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("m").cast("double")), F.lit(0.0))).first()
-        work /= min(2**level, PIECES)  # the pieces of a segment in one cube are compared once
-        enough = max(COMPARISONS, COMPARISONS_A_POINT * n_points, COMPARISONS_A_PAIR * rows) if rows > MANY_PAIRS else FEW_COMPARISONS
-        if not level or work <= enough:
-            return at, pairs, pieces, level
-        step = min(level, 2 if rows <= FEW_PAIRS else 1)
-        level -= step
+def _search(points: DataFrame, segments: DataFrame, match: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kinds = dict(segments.dtypes)
+    segs = written(_grouped(segments, match, kinds, *FIELDS), "nearest-segments")
+    at = _grouped(points, match, kinds, "pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return at, *packed.search(at, segs)
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, match: list[str] | None = None) -> DataFrame:
     """points (pid, x, y, z, ...) with seg_id, dist, dist_xy, dist_z of the nearest segment; infinite where there is none.
 
     Equal distances go to the smaller seg_id. match: columns of both sides that have to be equal; with them a pid is told
-    apart. dist**2 = dist_xy**2 + dist_z**2.
+    apart. dist**2 = dist_xy**2 + dist_z**2. The search is exact; see packed.
     """
     match = match or []
-    key = ["pid", *match]
-    segs = written(segments.select(*match, *FIELDS), "nearest-segments")
-    frame = _Frame(points, segs)
-    at, pairs, pieces, level = _candidates(points.select("x", "y", "z", *key), segs, match, frame)
-    coarse = lambda df, names: df.withColumns({n: F.shiftright(n, level) for n in names})
-    here = written(coarse(at, C).join(pairs, [*match, *C]).select(*key, "x", "y", "z", *Q, "rid"), "nearest-candidates")
-    pieces = coarse(pieces, Q).distinct() if level else pieces
-    solid = here.filter("rid is null").drop("rid")
-    ribbons = written(_ribbons(segs, frame).withColumns(_steps()).select(*match, "seg_id", "hw", "x1", "y1", "z1", "nx", "ny", *_steps()), "nearest-ribbons")
-    of_ribbon = here.filter("rid is not null").withColumnRenamed("rid", "seg_id").drop(*Q).join(ribbons, [*match, "seg_id"])
-    least = lambda df, d2: df.groupBy(*key).agg(F.min(d2).alias("best_d2"))
-    best = least(solid.join(pieces, [*match, *Q]), _solid_d2()).unionByName(least(of_ribbon, _ribbon_d2())).groupBy(*key).agg(F.min("best_d2").alias("best_d2"))
-    best = written(best, "nearest-best")
-    # of the least distance, the smallest seg_id: only cubes that reach so near are looked at again
-    span = float(2**level)
-    cube = _sum([F.greatest(F.abs(frame.at(c, F.col(c)) - (F.col(q) + 0.5) * span) - (span + 1) / 2, F.lit(0.0)) ** 2 for c, q in zip("xyz", Q)])
-    close = solid.join(best, key).withColumns({"near": cube, "least": F.col("best_d2") / frame.size**2}).filter(_within("near", "least")).join(pieces, [*match, *Q])
-    # in an aggregation, as the optimizer reasons long about a filter of so many parts
-    nearest = lambda df, d2: df.groupBy(*key).agg(F.min(F.when(d2 <= F.col("best_d2"), F.col("seg_id"))).alias("seg_id"))
-    found = nearest(close, _solid_d2()).unionByName(nearest(of_ribbon.join(best, key), _ribbon_d2())).groupBy(*key).agg(F.min("seg_id").alias("seg_id")).join(best, key)
-    # the two parts of the distance, from the segment that was found
-    chosen = segs.select(*match, "seg_id", *[F.col(c).alias(f"s_{c}") for c in FIELDS[1:]])
-    joined = points.join(found.join(chosen, [*match, "seg_id"]), key, "left")
-    xy2, z = offsets(Seg.of(lambda c: F.col(f"s_{c}")), F.col("x"), F.col("y"), F.col("z"))
+    kinds = dict(segments.dtypes)
+    _, found, _ = _search(points, segments, match)
+    keyed = points.withColumn("g", F.to_json(F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in match])) if match else F.lit(""))
     far = F.lit(float("inf"))
-    parts = {"dist": F.coalesce(F.sqrt("best_d2"), far), "dist_xy": F.coalesce(F.sqrt(xy2), far), "dist_z": F.coalesce(z, far)}
-    return joined.withColumns(parts).select(*points.columns, "seg_id", *parts)
+    parts = {"dist": F.coalesce(F.sqrt("d2"), far), "dist_xy": F.coalesce(F.sqrt("xy2"), far), "dist_z": F.coalesce("dz", far)}
+    joined = keyed.join(found, ["pid", "g"], "left")
+    return joined.withColumns(parts).select(*[joined[c] for c in points.columns], "seg_id", *parts)
+
+
+def comparisons(points: DataFrame, segments: DataFrame, match: list[str] | None = None) -> int:
+    """How many pairs of a point and a piece of a segment the search compares."""
+    made = _search(points, segments, match or [])[2]
+    return made.agg(F.sum(F.col("n").cast("long") * F.col("m"))).first()[0] or 0
 
 
 def _extent(*frames: DataFrame) -> float:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -14,10 +16,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="subgrade-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/subgrade/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at a time in what runs meanwhile; the session's setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

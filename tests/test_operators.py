@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, segments as G, shapes, site
+from subgrade.plans import sites
+from tests.conftest import DATA
+from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, packed, segments as G, shapes, site
 from subgrade.functions.geometry import near_polygon
 from subgrade.streaming.instances import running_stats
 
@@ -40,11 +42,11 @@ def plain_nearest(p, segs):
     return best
 
 
-@pytest.mark.parametrize("settings", [{}, {"FEW_COMPARISONS": 0, "MANY_PAIRS": 0, "COMPARISONS": 0, "COMPARISONS_A_POINT": 0, "COMPARISONS_A_PAIR": 0}, {"FEW_COMPARISONS": 300, "FEW_PAIRS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"POINTS": 4, "PIECES": 3, "FAN": 1, "BEAM": 2, "PACKED": 50}, {"POINTS": 1, "PIECES": 1, "FAN": 2, "BEAM": 1}])
 @pytest.mark.parametrize("by", [[], ["t"]])
 def test_nearest_segment_against_all_pairs(spark, monkeypatch, settings, by):
     for name, value in settings.items():
-        monkeypatch.setattr(nearest, name, value)
+        monkeypatch.setattr(packed, name, value)
     pts, segs = random_site(spark)
     # twins, a point, a vertical ribbon, and a point far below
     rows = [tuple(r) for r in segs.collect()]
@@ -58,6 +60,27 @@ def test_nearest_segment_against_all_pairs(spark, monkeypatch, settings, by):
         assert r.seg_id == seg_id and abs(r.dist - dist) + abs(r.dist_xy - xy) + abs(r.dist_z - z) < 1e-9
 
 
+def test_few_pairs_are_compared(spark):
+    """At the size of the correctness tables, the search compares less than a tenth of all pairs."""
+    at = DATA.parent / "sf0.01"
+    at = str(at if at.exists() else DATA)
+    points, segs = sites.points(spark, at), sites.segments(spark, at)
+    assert nearest.comparisons(points, segs) < 0.1 * points.count() * segs.count()
+
+
+def test_far_coordinates_and_far_points(spark):
+    """Metres in the millions, and a cloud far beside its segments."""
+    r = np.random.default_rng(5)
+    shift = np.array([7.1e5, 6.2e6, 30.0])
+    segs = [(i, *(shift + a), *(shift + a + r.normal(0, 2, 3)), 0.2 * (i % 5 == 0)) for i, a in enumerate(r.random((300, 3)) * 50)]
+    pts = [(i, *(shift + p + (0 if i < 150 else 900.0))) for i, p in enumerate(r.random((300, 3)) * 50)]
+    rows = nearest.nearest_segment(frame(spark, [tuple(map(lambda v: v.item() if hasattr(v, "item") else v, p)) for p in pts], "pid long, x double, y double, z double"),
+        frame(spark, [tuple(map(lambda v: v.item() if hasattr(v, "item") else v, s)) for s in segs], SEGMENTS)).collect()
+    for x in rows:
+        dist, seg_id, _, _ = plain_nearest(np.array([x.x, x.y, x.z]), segs)
+        assert abs(x.dist - dist) < 1e-6 and (x.seg_id == seg_id or dist > 0)
+
+
 def test_points_without_a_segment_are_infinitely_far(spark):
     pts, segs = random_site(spark, n=5)
     none = segs.filter("false")
