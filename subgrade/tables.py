@@ -10,17 +10,22 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the checkpoint folder: cuts the lineage, survives the loss of executors, and is computed once.
-    A local folder is made only in local mode, as in tests."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has yet, in the folder that driver and executors share. A local one is made only in local mode, as
+    in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="subgrade-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/subgrade/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/subgrade/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the checkpoint folder: cuts the lineage, survives the loss of executors, and is computed once."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
