@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions import scalars as S
-from subgrade.functions.geometry import Seg, clamp, offsets
+from subgrade.functions.geometry import Seg, box_meets_rect, clamp, offsets
+from subgrade.operators import packed
 from subgrade.operators.nearest import nearest_segment
+from subgrade.tables import small_batches, written
 
 FIELD = "noejagtighedsklasse"
+#: Points of a block that streams the parts near it.
+BLOCK_POINTS = 2048
 
 
 def coverage(features: DataFrame, by: str = "layer") -> DataFrame:
@@ -33,6 +41,99 @@ def buffer_hits(points: DataFrame, segments: DataFrame) -> DataFrame:
     return near.groupBy("pid", "feature_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
+def buffer_counts(points: DataFrame, segments: DataFrame, by: str = "feature_id") -> DataFrame:
+    """by, n_points, nearest: how many points lie in the united buffers of each `by`, and the least distance of these to its
+    parts; values whose buffers hold no point have no row.
+
+    Nothing is made for each hit: points in blocks of neighbours and the parts of a `by` in rows of at most 64 meet in cells,
+    and a block's task streams the rows that it meets, in order of `by`, keeping the least distance of each of its points.
+    """
+    cell, kinds = 4.0, dict(segments.dtypes)
+    flat = points.select("pid", "x", "y", F.lit(0.0).alias("z"), F.lit("").alias("g"))
+    parts = written(segments.filter("half_width > 0").select(F.col(by).alias("name"), "x1", "y1", "x2", "y2", "half_width"), "buffer-parts")
+    level = parts.select("x1", "y1", F.lit(0.0).alias("z1"), "x2", "y2", F.lit(0.0).alias("z2"))
+    with small_batches(points.sparkSession, 500):
+        blocks = written(packed.point_blocks(flat, packed.Frame.around(flat, level), BLOCK_POINTS).select("block", "xyz"), "buffer-blocks")
+        ends = F.struct("x1", "y1", "x2", "y2", "half_width")
+        # the parts of a `by` place by place, so that one that has many is many tasks' work
+        places = [F.floor(F.col(c) / (16 * cell)).alias(f"p{c}") for c in ("x1", "y1")]
+        nth = F.row_number().over(Window.partitionBy("name", "px1", "py1").orderBy("x1", "y1", "x2", "y2", "half_width"))
+        rows = parts.select("*", *places).withColumn("run", F.floor((nth - 1) / 64)).groupBy("name", "px1", "py1", "run").agg(F.collect_list(ends).alias("parts"))
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "buffer-rows")
+        reach = lambda f, g, k: f(F.transform("parts", lambda p: g(p[f"{k}1"], p[f"{k}2"]) + (p["half_width"] if g is F.greatest else -p["half_width"])))
+        spans = {f"{n}{k}": reach(f, g, k) for k in "xy" for n, f, g in (("l", F.array_min, F.least), ("h", F.array_max, F.greatest))}
+        cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+        there = rows.select("row", *[v.alias(k) for k, v in spans.items()]).withColumn("cx", cells("lx", "hx")).withColumn("cy", cells("ly", "hy"))
+        boxes = _block_cells(blocks, cell)
+        met = there.join(boxes, ["cx", "cy"]).filter(box_meets_rect(F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy"), F.col("x_lo"), F.col("y_lo"), F.col("x_hi"), F.col("y_hi"))).select("block", "row").distinct()
+        content = met.join(rows, "row").select("block", F.lit(1).alias("turn"), "name", F.lit(None).cast("binary").alias("xyz"), "parts")
+        own = blocks.select("block", F.lit(0).alias("turn"), F.lit(None).cast(kinds[by]).alias("name"), "xyz", F.lit(None).cast(dict(rows.dtypes)["parts"]).alias("parts"))
+        dealt = own.unionByName(content).repartition("block").sortWithinPartitions("block", "turn", "name")
+        partial = written(dealt.mapInArrow(_count_hits, f"name {kinds[by]}, n long, nearest double"), "buffer-counts")
+    return partial.groupBy(F.col("name").alias(by)).agg(F.sum("n").alias("n_points"), F.min("nearest").alias("nearest"))
+
+
+def _block_cells(blocks: DataFrame, cell: float) -> DataFrame:
+    """block, cx, cy and the box of each block in each cell that it has points in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y, _ = np.frombuffer(raw).reshape(3, -1)
+                for cx, cy in {*zip(np.floor(x / cell).astype(int).tolist(), np.floor(y / cell).astype(int).tolist())}:
+                    out.append((block, cx, cy, float(x.min()), float(x.max()), float(y.min()), float(y.max())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["block", "cx", "cy", "x_lo", "x_hi", "y_lo", "y_hi"])
+
+    return blocks.mapInArrow(run, "block long, cx long, cy long, x_lo double, x_hi double, y_lo double, y_hi double")
+
+
+def _count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block and name the number of points within a part's half width, and their least distance."""
+    x = y = least = name = None
+    out: list[tuple] = []
+    names: pa.DataType | None = None
+
+    def flush() -> None:
+        if name is not None and least is not None:
+            hits = least < np.inf
+            if hits.any():
+                out.append((name, int(hits.sum()), float(least.min())))
+
+    def emit() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (names, pa.int64(), pa.float64()))], names=["name", "n", "nearest"])
+        out.clear()
+        return batch
+
+    for batch in batches:
+        names = batch.schema.field("name").type
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        for i, (turn, value) in enumerate(zip(column["turn"].to_pylist(), column["name"].to_pylist())):
+            if not turn:
+                flush()
+                x, y, _ = np.frombuffer(column["xyz"][i].as_py()).reshape(3, -1)[:, :, None]
+                name = None
+                continue
+            if value != name:
+                flush()
+                name, least = value, np.full(len(x), np.inf)
+            p = column["parts"][i].values
+            x1, y1, x2, y2, w = (p.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2", "half_width"))
+            dx, dy = x2 - x1, y2 - y1
+            length2 = dx * dx + dy * dy
+            t = ((x - x1) * dx + (y - y1) * dy) / np.where(length2 > 1e-12, length2, np.inf)
+            t = np.minimum(np.maximum(t, 0.0), 1.0)
+            ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
+            d = np.sqrt(ex * ex + ey * ey)
+            np.minimum(least, np.where(d <= w, d, np.inf).min(axis=1), out=least)
+        if len(out) >= 1000:
+            yield emit()
+    flush()
+    if out:
+        yield emit()
+
+
 def drape(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """queries (pid, x, y, ...) with draped_z, the height of the nearest point in the plane of any segment (seg_id), the smaller
     seg_id on ties; 0 where there are none."""
@@ -50,10 +151,9 @@ def drape(queries: DataFrame, segments: DataFrame) -> DataFrame:
 def hits_by_name(points: DataFrame, segments: DataFrame, clip: Column) -> DataFrame:
     """By storage_key: the points within the united buffers of its features, as far as these lie in the clip, which holds a
     point or doesn't. A name whose buffers hold no point has 0."""
-    names = segments.filter("half_width > 0").select("feature_id", "storage_key").distinct()
-    hits = buffer_hits(points.filter(clip), segments).join(names, "feature_id").groupBy("storage_key")
-    counted = hits.agg(F.countDistinct("pid").alias("n_points"))
-    return names.select("storage_key").distinct().join(counted, "storage_key", "left").select("storage_key", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+    names = segments.filter("half_width > 0").select("storage_key").distinct()
+    counted = buffer_counts(points.filter(clip), segments, "storage_key").select("storage_key", "n_points")
+    return names.join(counted, "storage_key", "left").select("storage_key", F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 def in_view(features: DataFrame, seen: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def _lists(arrays: list[pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(arrays))
 
 
-def point_blocks(points: DataFrame, frame: Frame) -> DataFrame:
+def point_blocks(points: DataFrame, frame: Frame, most: int | None = None) -> DataFrame:
     """points (pid, x, y, z, g) in blocks: block, g, pids, xyz, and its box."""
     kind = dict(points.dtypes)["pid"]
     at = points.select("g", "pid", "x", "y", "z", frame.curve(*[(frame.relative(c, F.col(c)), frame.extent) for c in "xyz"]).alias("curve"))
@@ -140,7 +140,7 @@ def point_blocks(points: DataFrame, frame: Frame) -> DataFrame:
         return t["pid"].combine_chunks(), _floats(xyz), *(float(f(v)) for v in near for f in (np.min, np.max))
 
     schema = f"block long, part long, nth long, g string, pids array<{kind}>, xyz binary, " + ", ".join(f"{c} double" for c in BOX)
-    return _packed(at, ["g"], "curve", POINTS, frame.n_points, make, schema).drop("part", "nth")
+    return _packed(at, ["g"], "curve", most or POINTS, frame.n_points, make, schema).drop("part", "nth")
 
 
 def _pieces(segs: DataFrame, frame: Frame) -> DataFrame:

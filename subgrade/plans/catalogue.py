@@ -288,9 +288,8 @@ SELECT fid, count(*) AS n_points, floor((min(d)) * 1e6 + 0.5) / 1e6 AS nearest F
 def buffer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = S.accuracy_class(F.col("attrs")[accuracy.FIELD])["half_width"]
     segs = sites.segments(spark, sf_dir).withColumn("half_width", width).drop("hw")
-    hits = accuracy.buffer_hits(sites.points(spark, sf_dir), segs)
-    out = hits.groupBy(F.col("feature_id").cast("long").alias("fid")).agg(F.count("*").alias("n_points"), F.min("distance").alias("nearest"))
-    return _rounded(out, "nearest")
+    counts = accuracy.buffer_counts(sites.points(spark, sf_dir), segs)
+    return _rounded(counts.select(F.col("feature_id").cast("long").alias("fid"), "n_points", "nearest"), "nearest")
 
 
 _L = "sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2 + (z2 - z1) ** 2)"
