@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions.dims import FEATURE_MEAN, GROUND, INDICATIVE, LAYER_MEAN, NO_DEPTH, REGISTERED, SENTINEL_Z
+from subgrade.operators.ground import ground_at
 
+#: Up to what height a depth is missing in the overview, and how far beyond the cloud's span heights may lie.
+OVERVIEW_MISSING, OVERVIEW_MARGIN = -98.0, 2.0
 PIPE_LEVELS = (REGISTERED, INDICATIVE, FEATURE_MEAN, GROUND)
 COMPONENT_LEVELS = (REGISTERED, LAYER_MEAN, GROUND)
 
@@ -41,6 +44,25 @@ def resolve(
     return tried.withColumns({"depth_source": source.cast("int"), "z": z}).drop(*[f"z__{k}" for k in levels])
 
 
+def resolve_overview(rows: DataFrame, samples: DataFrame, plane: tuple[float, float, float] | None, level: float, span: tuple[float, float], part: list[str], keys: list[str], tz: float = 0.0) -> DataFrame:
+    """rows (x, y, z of vertices that keys tell apart) with z over a ground that follows the samples, and depth_source.
+
+    Heights up to OVERVIEW_MISSING count as missing, and the ground is searched for those vertices only. An indicative depth
+    of 0 or less counts as none. All heights, the registered ones too, are held to the cloud's span and OVERVIEW_MARGIN
+    beyond it. tz: what the vertices' registered heights have yet to lose to be local.
+    """
+    named = rows.withColumn("qid", F.to_json(F.struct(*keys)))
+    missing = is_missing(F.col("z"), OVERVIEW_MISSING)
+    lost = named.filter(missing).select("qid", "x", "y", F.lit(0.0).alias("z"))
+    found = ground_at(lost, samples, plane, level).select("qid", "ground_z")
+    local = named.withColumns({"z": F.when(missing, F.col("z")).otherwise(F.col("z") - tz), "is_missing": missing}).join(found, "qid", "left")
+    local = local.withColumn("indicative__mm", F.when(F.col("indicative_mm") > 0, F.col("indicative_mm")))
+    marked = local.withColumn("z", F.when(F.col("is_missing"), F.lit(SENTINEL_Z)).otherwise(F.when(F.col("z") == SENTINEL_Z, F.lit(SENTINEL_Z) + 1e-9).otherwise(F.col("z"))))
+    out = resolve(marked, F.col("ground_z"), part, indicative_mm="indicative__mm")
+    low, high = span[0] - OVERVIEW_MARGIN, span[1] + OVERVIEW_MARGIN
+    return out.withColumn("z", F.least(F.greatest("z", F.lit(low)), F.lit(high))).drop("qid", "ground_z", "is_missing", "indicative__mm")
+
+
 def source_counts(vertex_rows: DataFrame, by: list[str], order: str = "vid") -> DataFrame:
     """How many segments each source gave; a segment has the worse source of its ends."""
     ahead = F.lead("depth_source").over(Window.partitionBy(*by).orderBy(order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -36,3 +38,30 @@ def site_files(files: DataFrame, area: int) -> DataFrame:
     """An area's site clouds: not of folders for fine-tuning, and not copies in global coordinates. Area 1 isn't 10."""
     in_area = F.col("path").rlike(rf"Area_?{area}(?!\d)")
     return files.filter(in_area & ~F.col("path").contains("Finetuning") & F.col("name").rlike(r"^Area_.*_Site_.*\.ply$") & ~F.col("name").contains("_utm"))
+
+
+def instances_of(files: DataFrame, cloud: str) -> DataFrame:
+    """The instance files of the cloud at path `cloud`, out of all below its folder.
+
+    Of <base>_Instances the best run (latest_run). Without such a folder, of the older <base>_instances_<stamp> or
+    <stem>_instances_<stamp> the last by name: its labelled/ if there is one, else the files in it. LookupError if there is
+    neither.
+    """
+    parent, name = cloud.rstrip("/").rsplit("/", 1)
+    stem = name.rsplit(".", 1)[0]
+    base = re.sub(r"^Area_\d+_", "", stem)
+    below = F.element_at(F.split("path", re.escape(parent.rsplit("/", 1)[-1]) + "/"), -1)
+    rows = files.filter(F.col("path").contains(f"{parent.split(':', 1)[-1].lstrip('/')}/")).withColumn("below", below)
+    owner = F.split("below", "/")[0]
+    kept = rows.filter(owner == f"{base}_Instances").drop("below")
+    if not kept.isEmpty():
+        return latest_run(kept)
+    # the two spellings of an older folder are one list
+    old = rows.filter(owner.startswith(f"{base}_instances_") | owner.startswith(f"{stem}_instances_")).withColumn("owner", owner)
+    last = old.agg(F.max("owner").alias("owner"))
+    own = old.join(F.broadcast(last), "owner", "left_semi")  # one row
+    labelled = own.filter(F.col("folder") == "labeled")
+    found = labelled if not labelled.isEmpty() else own.filter(F.col("folder") == F.col("owner"))
+    if found.isEmpty():
+        raise LookupError(f"no instances of {name}")
+    return found.drop("below", "owner")
