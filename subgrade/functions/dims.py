@@ -1,6 +1,6 @@
 """Fixed values of the domain, as plain tables and as DataFrames."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # They have to equal the published data model's for results to agree.
 CLASSES = {0: "Main Utility", 1: "Other Utility", 2: "Trench", 3: "Inactive Utility", 4: "Misc"}
@@ -11,12 +11,6 @@ LINE_LAYERS = (
     "LedningUkendtForsyningsart", "Ledningstrace", "TermiskLedning", "Olieledning", "AndenLedning",
 )
 TRACE_LAYER = "Ledningstrace"
-LINE_COLOURS = {
-    "Vandledning": (0.0, 0.0, 1.0), "Afloebsledning": (1.0, 0.0, 0.0), "Gasledning": (1.0, 0.6, 0.0),
-    "Elledning": (1.0, 0.0, 0.0), "Telekommunikationsledning": (0.98, 0.588, 0.275), "Foeringsroer": (0.882, 0.882, 0.882),
-    "LedningUkendtForsyningsart": (0.3, 0.8, 0.8), "Ledningstrace": (0.98, 0.588, 0.275),
-    "TermiskLedning": (1.0, 0.0, 1.0), "Olieledning": (0.463, 0.463, 0.463), "AndenLedning": (0.8, 0.8, 0.8),
-}
 FALLBACK_RADIUS = 0.010
 TRACE_FALLBACK_WIDTH = 0.25
 COMPONENT_TO_LINE = {
@@ -67,13 +61,16 @@ def type_layers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TYPE_TO_LAYER.items()), "utility_type int, layer string")
 
 
-def supply_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SUPPLY_TO_LINE.items()), "supply string, layer string")
-
-
 def component_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(COMPONENT_TO_LINE.items()), "component_layer string, line_layer string")
 
 
 def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v, *CLASS_COLOURS[k]) for k, v in CLASSES.items()], "class int, class_name string, r double, g double, b double")
+
+
+def coloured(points: DataFrame) -> DataFrame:
+    """points with the colour r, g, b of their class, that of unknown classes where it has none."""
+    known = classes(points.sparkSession).select("class", *"rgb")
+    joined = points.join(F.broadcast(known), "class", "left")  # a row for each class, five
+    return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip("rgb", UNKNOWN_CLASS_COLOUR)})

@@ -212,3 +212,9 @@ def split_parallel(labelled: DataFrame, eps: float = 0.03, min_points: int = 20,
     joined = parts.join(F.broadcast(fresh), [by, "label", "part"], "left")
     label = F.when(F.col("part") < 0, F.lit(-1)).otherwise(F.coalesce("fresh", "label"))
     return joined.withColumn("label", label.cast("int")).drop("fresh", "part")
+
+
+def label_counts(points: DataFrame) -> DataFrame:
+    """site_id, label, n and whether the label is noise."""
+    rows = points.groupBy("site_id", "label").agg(F.count("*").alias("n"))
+    return rows.withColumn("is_noise", F.col("label") < 0)

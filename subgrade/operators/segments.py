@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subgrade.functions import scalars as S
 from subgrade.functions.dims import FALLBACK_RADIUS, TRACE_FALLBACK_WIDTH, TRACE_LAYER
-from subgrade.functions.geometry import Seg, at, box_meets_rect, circle_clip, rect_clip
+from subgrade.functions.geometry import Seg, at, box_meets_rect, circle_clip, in_polygon, rect_clip
 
 FEATURE_SCHEMA = "layer string, feature_id string, geom_type string, parts array<array<struct<x:double,y:double,z:double>>>, attrs map<string,string>"
 
@@ -105,3 +105,35 @@ def layer_stats(segment_rows: DataFrame) -> DataFrame:
         F.countDistinct("feature_id").alias("n_features"), F.count("*").alias("n_segments"),
         F.countDistinct(F.when(active, F.col("feature_id"))).alias("n_active_features"), F.count_if(active).alias("n_active_segments"),
     )
+
+
+def key_stats(segment_rows: DataFrame) -> DataFrame:
+    """By storage_key: features and segments, and features in use and out of it."""
+    active = F.col("is_active")
+    return segment_rows.groupBy("storage_key").agg(
+        F.countDistinct("feature_id").alias("n_features"), F.count("*").alias("n_segments"),
+        F.countDistinct(F.when(active, F.col("feature_id"))).alias("n_active_features"), F.countDistinct(F.when(~active, F.col("feature_id"))).alias("n_inactive_features"),
+    )
+
+
+def crop_rect(points: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+    """Points in the rectangle, edges included."""
+    return points.filter(F.col("x").between(minx, maxx) & F.col("y").between(miny, maxy))
+
+
+def crop_polygon(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Points in the ring, of those in its box; a ring under three corners holds everything."""
+    if len(ring) < 3:
+        return points
+    xs, ys = [float(x) for x, _ in ring], [float(y) for _, y in ring]
+    return crop_rect(points, min(xs), min(ys), max(xs), max(ys)).filter(in_polygon(F.col("x"), F.col("y"), ring))
+
+
+def midpoints(segment_rows: DataFrame) -> DataFrame:
+    """seg_id and the middle mx, my, mz of each segment."""
+    return segment_rows.select("seg_id", *[((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}") for c in "xyz"])
+
+
+def centroids(vertex_rows: DataFrame, by: str) -> DataFrame:
+    """by and the mean vertex cx, cy, cz."""
+    return vertex_rows.groupBy(by).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])

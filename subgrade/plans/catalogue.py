@@ -191,9 +191,10 @@ def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.layer_stats(sites.segments(spark, sf_dir))
 
 
-@query(f"""WITH {SEG} SELECT CASE WHEN layer = 'Ledningstrace' THEN 'Ledningstrace (' || supply || ')' ELSE layer END AS storage_key, count(DISTINCT fid) AS n_features, count(*) AS n_segments FROM seg GROUP BY 1""")
+@query(f"""WITH {SEG} SELECT CASE WHEN layer = 'Ledningstrace' THEN 'Ledningstrace (' || supply || ')' ELSE layer END AS storage_key, count(DISTINCT fid) AS n_features, count(*) AS n_segments,
+  count(DISTINCT CASE WHEN is_active THEN fid END) AS n_active_features, count(DISTINCT CASE WHEN NOT is_active THEN fid END) AS n_inactive_features FROM seg GROUP BY 1""")
 def trace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.segments(spark, sf_dir).groupBy("storage_key").agg(F.countDistinct("feature_id").alias("n_features"), F.count("*").alias("n_segments"))
+    return G.key_stats(sites.segments(spark, sf_dir))
 
 
 _PARENTS = ", ".join(f"('{k}', '{v}')" for k, v in dims.COMPONENT_TO_LINE.items())
@@ -375,46 +376,96 @@ def instance_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.points(spark, sf_dir).select("pid", "site_id", "instance", F.row_number().over(w.orderBy("pid")).alias("ordinal"), F.count("*").over(w).alias("of"))
 
 
-_TEXTS = [
-    (0, "1_instance_0_type_4.ply", "Area_5_Site_11", "telekommunikation", "Water_Area_5", 0.125), (1, "1_instance_0_type_WaterLine.ply", "Site_3", "Fjernvarme", "x", 0.25),
-    (2, "x.ply", "Area_12_Site_1", "Vand", "Area 7", 0.7), (3, "x_type_Foo.ply", "Area_x", "ukendt", "none", 2.5),
-]
-_TEXT_ROWS = ", ".join(str(t) for t in _TEXTS)
+_SUPPLIES = ("tele og data", "Fjernvarme", "Vand", "ukendt", None)
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES {_TEXT_ROWS}) AS t(id, file, stem, supply, folder, d))
-SELECT id, ([4, 7, 0, 0])[id + 1] AS utility_type, regexp_replace(stem, '^Area_\\d+_', '') AS base, (['Telekommunikationsledning', 'TermiskLedning', 'Vandledning', NULL])[id + 1] AS line,
-  ([0.98, 1.0, 0.0, 0.5])[id + 1]::DOUBLE AS red, ([5, NULL, 7, NULL])[id + 1] AS area, ([0.3, 0.6, 1.0, 0.8])[id + 1]::DOUBLE AS gradient_red FROM t""")
+@query("""WITH t AS (SELECT p_partkey AS k, p_partkey % 20 AS area, p_retailprice / 500 AS d FROM part)
+SELECT k AS id, CASE WHEN k % 3 = 0 THEN 0 ELSE k % 12 END::INTEGER AS utility_type, CASE WHEN k % 2 = 0 THEN 'Site_' || k ELSE 'Cloud_' || k END AS base,
+  CASE k % 5 WHEN 1 THEN 'TermiskLedning' WHEN 2 THEN 'Vandledning' END AS line, ([0.98, 1.0, 0.0, 0.5, 0.5])[k % 5 + 1]::DOUBLE AS red, CASE WHEN k % 4 <> 3 THEN area WHEN k % 2 = 0 THEN area END::INTEGER AS area,
+  CASE WHEN k % 4 = 1 THEN 'Ledningspakke ' || k END AS package, coalesce(([NULL, 'Vand', '', NULL])[k % 4 + 1], '—') AS shown FROM t""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(_TEXTS, "id int, file string, stem string, supply string, folder string, d double")
+    """What file names, folders and supplies tell, of names made of the parts' keys."""
+    k = F.col("p_partkey")
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    chosen = lambda n, *values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (k % n).cast("int"))
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("id"), F.when(k % 3 == 0, text("1_instance_", k, ".ply")).otherwise(text("1_instance_", k, "_type_", k % 12, ".ply")).alias("file"),
+        F.when(k % 2 == 0, text("Area_", k % 20, "_Site_", k)).otherwise(text("Cloud_", k)).alias("stem"), chosen(5, *_SUPPLIES).alias("supply"),
+        F.when(k % 4 == 3, F.lit("elsewhere")).when(k % 4 == 0, text("area ", k % 20)).otherwise(text("Water_Area_", k % 20)).alias("folder"),
+        F.when(k % 4 == 1, text("ledningspakke_", k)).otherwise(F.lit("pakke")).alias("package"), chosen(4, None, "Vand", "", "nan").alias("raw"),
+    )
     grey = F.struct(*[F.lit(0.5).alias(c) for c in "rgb"])
-    out = t.select(
+    return t.select(
         "id", S.type_of_file(F.col("file")).alias("utility_type"), S.base_name(F.col("stem")).alias("base"), S.supply_line(F.col("supply")).alias("line"),
-        S.supply_colour(F.col("supply"), grey)["r"].alias("red"), S.area_number(F.col("folder"), F.col("file")).alias("area"), S.deviation_gradient(F.col("d"))["r"].alias("gradient_red"),
+        S.supply_colour(F.col("supply"), grey)["r"].alias("red"), S.area_number(F.col("folder"), F.col("stem")).alias("area"),
+        S.package_label(F.col("package")).alias("package"), S.shown(F.col("raw")).alias("shown"),
     )
-    return _rounded(out, "gradient_red")
 
 
-@query("""SELECT value, red, green, blue, 255 AS alpha, label FROM (VALUES (1, 0, 218, 124, 'Class 1:  <= 250 mm'), (2, 203, 243, 0, 'Class 2:  <= 500 mm'),
-  (3, 255, 231, 0, 'Class 3:  <= 1000 mm'), (4, 255, 170, 0, 'Class 4:  <= 2000 mm'), (5, 231, 0, 0, 'Class 5:  > 2000 mm')) AS t(value, red, green, blue, label)""")
+@query(f"""WITH {PTS}, n AS (SELECT CASE WHEN abs(z) <= 0.25 THEN 1 WHEN abs(z) <= 0.5 THEN 2 WHEN abs(z) <= 1 THEN 3 WHEN abs(z) <= 2 THEN 4 ELSE 5 END AS value, count(*) AS n FROM pts GROUP BY 1)
+SELECT value, red, green, blue, 255 AS alpha, label, coalesce(n, 0) AS n FROM (VALUES (1, 0, 218, 124, 'Class 1:  <= 250 mm'), (2, 203, 243, 0, 'Class 2:  <= 500 mm'),
+  (3, 255, 231, 0, 'Class 3:  <= 1000 mm'), (4, 255, 170, 0, 'Class 4:  <= 2000 mm'), (5, 231, 0, 0, 'Class 5:  > 2000 mm')) AS t(value, red, green, blue, label) LEFT JOIN n USING (value)""")
 def colour_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colours(spark)
+    """The colours of the classes, and how many points have a height of each class."""
+    n = sites.points(spark, sf_dir).groupBy(S.deviation_class(F.abs("z")).alias("value")).agg(F.count("*").alias("n"))
+    table = colours(spark).join(n, "value", "left")
+    return table.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-@query(f"""WITH {SEG}, {COMP}, c AS (SELECT min(sqrt((x - 5) ** 2 + (y - 4.6) ** 2 + (z + 0.5) ** 2)) AS d FROM comp),
-h AS (SELECT 0 AS pid, 5.0::DOUBLE AS x, 4.6::DOUBLE AS y, -0.5::DOUBLE AS z), {nearest_sql(points_="h")}, s AS (SELECT min(sqrt(xy2 + ez * ez)) AS d FROM pairs)
-SELECT CASE WHEN c.d < s.d AND c.d < 0.2 THEN 'component' WHEN s.d < 0.3 THEN 'segment' END AS kind, floor((CASE WHEN c.d < s.d AND c.d < 0.2 THEN c.d WHEN s.d < 0.3 THEN s.d END) * 1e6 + 0.5) / 1e6 AS distance FROM c, s""")
+@query(f"""WITH {SEG}, {COMP}, c AS (SELECT min(d) AS d, arg_min(comp_id, {{'d': d, 'i': comp_id}}) AS id FROM (SELECT comp_id, sqrt((x - 5.0) * (x - 5.0) + (y - 4.6) * (y - 4.6) + (z - -0.5) * (z - -0.5)) AS d FROM comp)),
+h AS (SELECT 0 AS pid, 5.0::DOUBLE AS x, 4.6::DOUBLE AS y, -0.5::DOUBLE AS z), {nearest_sql(points_="h")}, s AS (SELECT min(sqrt(xy2 + ez * ez)) AS d, arg_min(seg_id, {{'d': sqrt(xy2 + ez * ez), 'i': seg_id}}) AS id FROM pairs)
+SELECT CASE WHEN c.d < s.d AND c.d < 0.2 THEN 'component' WHEN s.d < 0.3 THEN 'segment' END AS kind, CASE WHEN c.d < s.d AND c.d < 0.2 THEN c.id WHEN s.d < 0.3 THEN s.id END AS id, floor((CASE WHEN c.d < s.d AND c.d < 0.2 THEN c.d WHEN s.d < 0.3 THEN s.d END) * 1e6 + 0.5) / 1e6 AS distance FROM c, s""")
 def pick_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nearest.pick((5.0, 4.6, -0.5), sites.components(spark, sf_dir), sites.segments(spark, sf_dir))
-    return _rounded(out.select("kind", "distance"), "distance")
+    return _rounded(out.select("kind", "id", "distance"), "distance")
 
 
-@query(f"""WITH {FEAT}, kv AS (SELECT layer, 'noejagtighedsklasse' AS attribute, accuracy AS value FROM feat UNION ALL SELECT layer, 'forsyningsart', supply FROM feat),
-c AS (SELECT layer, attribute, value, count(*) AS n, row_number() OVER (PARTITION BY layer, attribute ORDER BY value) AS r FROM kv WHERE value IS NOT NULL GROUP BY layer, attribute, value)
-SELECT layer, attribute, sum(n)::BIGINT AS n_given, string_agg(value, '|' ORDER BY value) FILTER (WHERE r <= 3) AS samples FROM c GROUP BY layer, attribute""")
+@query(f"""WITH {FEAT}, kv AS (SELECT layer, 'noejagtighedsklasse' AS attribute, accuracy AS value FROM feat UNION ALL SELECT layer, 'forsyningsart', supply FROM feat
+  UNION ALL SELECT layer, 'driftsstatus', CASE WHEN is_active THEN 'i drift' ELSE ' Ude af Drift' END FROM feat UNION ALL SELECT layer, 'vejledendeDybde', CASE WHEN fid % 7 = 0 THEN '1500' END FROM feat
+  UNION ALL SELECT layer, 'bredde', CASE WHEN fid % 100 = 4 THEN '500' END FROM feat UNION ALL SELECT layer, 'ledningsejer', 'Ejer ' || fid % 9 FROM feat),
+known AS (SELECT DISTINCT attribute FROM kv WHERE value IS NOT NULL), every AS (SELECT DISTINCT layer, attribute FROM feat, known),
+c AS (SELECT layer, attribute, value, count(*) AS n, row_number() OVER (PARTITION BY layer, attribute ORDER BY value) AS r FROM kv WHERE value IS NOT NULL GROUP BY layer, attribute, value),
+t AS (SELECT layer, attribute, sum(n)::BIGINT AS n_given, string_agg(value, '|' ORDER BY value) FILTER (WHERE r <= 3) AS samples, bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS numbers FROM c GROUP BY layer, attribute)
+SELECT layer, attribute, coalesce(n_given, 0) AS n_given, coalesce(samples, '') AS samples, CASE WHEN n_given IS NULL THEN 'unknown' WHEN numbers THEN 'double' ELSE 'string' END AS kind, n_given IS NULL AS all_null
+FROM every LEFT JOIN t USING (layer, attribute)""")
 def attribute_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adhoc.describe(sites.features(spark, sf_dir)).filter(F.col("attribute").isin("noejagtighedsklasse", "forsyningsart"))
-    return rows.select("layer", "attribute", "n_given", F.array_join("samples", "|").alias("samples"))
+    """Every attribute of every layer: how many have it, the first values, whether they are numbers, whether all are null."""
+    rows = adhoc.schema_of(sites.features(spark, sf_dir))
+    return rows.select("layer", "attribute", "n_given", F.array_join("samples", "|").alias("samples"), "kind", "all_null")
+
+
+@query(f"""WITH {FEAT}, a AS (SELECT fid, unnest([['bredde', CASE WHEN fid % 100 = 4 THEN '500' END], ['driftsstatus', CASE WHEN is_active THEN 'i drift' ELSE ' Ude af Drift' END], ['forsyningsart', supply],
+  ['ledningsejer', 'Ejer ' || fid % 9], ['noejagtighedsklasse', accuracy], ['vejledendeDybde', CASE WHEN fid % 7 = 0 THEN '1500' END]]) AS kv FROM feat)
+SELECT fid, kv[1] AS name, coalesce(kv[2], '—') AS text FROM a""")
+def attribute_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's attributes as text, a dash for what it lacks."""
+    return adhoc.texts(sites.features(spark, sf_dir), "fid")
+
+
+@query(f"WITH {PTS} SELECT pid, x, y FROM pts WHERE x BETWEEN {RECT[0]} AND {RECT[2]} AND y BETWEEN {RECT[1]} AND {RECT[3]}")
+def rect_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.crop_rect(sites.points(spark, sf_dir), *RECT).select("pid", "x", "y")
+
+
+@query(f"WITH {PTS} SELECT pid, x, y FROM pts WHERE {IN_TRENCH}")
+def trench_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the polygon, those out of its box dropped before its edges are looked at."""
+    return G.crop_polygon(sites.points(spark, sf_dir), TRENCH).select("pid", "x", "y")
+
+
+@query(f"""WITH {PTS}, known AS (SELECT * FROM (VALUES {', '.join(f'({k}, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)' for k, (r, g, b) in dims.CLASS_COLOURS.items())}) AS t(class, r, g, b))
+SELECT p.class, coalesce(k.r, {dims.UNKNOWN_CLASS_COLOUR[0]})::DOUBLE AS r, coalesce(k.g, {dims.UNKNOWN_CLASS_COLOUR[1]})::DOUBLE AS g, coalesce(k.b, {dims.UNKNOWN_CLASS_COLOUR[2]})::DOUBLE AS b, count(*) AS n FROM pts p LEFT JOIN known k USING (class) GROUP BY ALL""")
+def class_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by class and colour, that of classes without one the default."""
+    return dims.coloured(sites.points(spark, sf_dir)).groupBy("class", "r", "g", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {VX} SELECT fid, vid, floor((x + {TX} - {TX}) * 1e6 + 0.5) / 1e6 AS x, floor((y + {TY} - {TY}) * 1e6 + 0.5) / 1e6 AS y, floor((CASE WHEN vid % 2 = 0 THEN z + {TZ} ELSE 0 END - {TZ}) * 1e6 + 0.5) / 1e6 AS z FROM vx""")
+def local_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices to global coordinates, every other one without its height, and back."""
+    v = sites.vertices(spark, sf_dir)
+    x, y, z = G.to_local(F.col("x") + TX, F.col("y") + TY, F.when(F.col("vid") % 2 == 0, F.col("z") + TZ), TX, TY, TZ)
+    return _rounded(v.select("fid", "vid", x.alias("x"), y.alias("y"), z.alias("z")), "x", "y", "z")
 
 
 @query(f"WITH {FEAT} SELECT layer, count(*) AS n FROM feat WHERE acc_class IS NOT NULL AND is_active GROUP BY layer")

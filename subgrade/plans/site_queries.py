@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from subgrade.functions import dims, scalars as S
 from subgrade.functions.geometry import near_polygon
-from subgrade.operators import accuracy, deviation, ground, nearest, segments as G, shapes, site
+from subgrade.operators import accuracy, cluster, deviation, ground, nearest, segments as G, shapes, site
 from subgrade.plans import sites
 from subgrade.plans.catalogue import CELLS_SQL, IN_TRENCH, MATCH_SQL, RECT, _EDGES, _KEPT, _fit_sql, _inside, _r, _rounded, query
 from subgrade.plans.sites import COMP, FEAT, PTS, SEG, TRENCH, VX, nearest_sql
@@ -108,7 +108,7 @@ m AS (SELECT seg_id, ((x1 + t0 * dx) + (x1 + t1 * dx)) / 2 AS mx, ((y1 + t0 * dy
 SELECT seg_id, {_r('mx', 'my', 'mz')} FROM m""")
 def clipped_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = G.clip_rect(sites.segments(spark, sf_dir), *RECT)
-    return _rounded(cut.select("seg_id", *[((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}") for c in "xyz"]), "mx", "my", "mz")
+    return _rounded(G.midpoints(cut), "mx", "my", "mz")
 
 
 @query(f"WITH {VX}, {_SEEN}, m AS (SELECT fid, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM vx JOIN seen USING (fid) GROUP BY fid) SELECT fid, {_r('cx', 'cy', 'cz')} FROM m")
@@ -116,7 +116,7 @@ def pipe_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vertex of each feature's parts in view."""
     v = sites.vertices(spark, sf_dir)
     hit = G.parts_in_circle(v, 5.0, 5.0, 2.0, "fid", "part_idx").select("fid", "part_idx")
-    return _rounded(v.join(hit, ["fid", "part_idx"]).groupBy("fid").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"]), "cx", "cy", "cz")
+    return _rounded(G.centroids(v.join(hit, ["fid", "part_idx"]), "fid"), "cx", "cy", "cz")
 
 
 @query(f"WITH {PTS} SELECT site_id, coalesce(class = 1, FALSE) AS is_target, count(*) AS n FROM pts GROUP BY ALL")
@@ -147,11 +147,12 @@ def _step_sql(d: str, channel: int) -> str:
     return f"CASE {inner} ELSE {dims.DEVIATION_COLOURS[4][channel]}::DOUBLE END"
 
 
-@query(f"SELECT mm, {', '.join(f'floor(({_gradient_sql('mm / 1000.0::DOUBLE', i)}) * 1e6 + 0.5) / 1e6 AS {c}' for i, c in enumerate('rgb'))} FROM (VALUES (0), (250), (500), (750), (1000), (1500), (2000)) AS t(mm)")
+@query(f"WITH {PTS}, t AS (SELECT (floor(abs(z) * 4) * 250)::INTEGER AS mm, count(*) AS n FROM pts GROUP BY 1) SELECT mm, n, {', '.join(f'floor(({_gradient_sql('mm / 1000.0::DOUBLE', i)}) * 1e6 + 0.5) / 1e6 AS {c}' for i, c in enumerate('rgb'))} FROM t")
 def gradient_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = spark.createDataFrame([(n,) for n in (0, 250, 500, 750, 1000, 1500, 2000)], "mm int")
+    """The gradient at each quarter of a metre that the heights reach, and how many points lie from there on."""
+    ticks = sites.points(spark, sf_dir).groupBy((F.floor(F.abs("z") * 4) * 250).cast("int").alias("mm")).agg(F.count("*").alias("n"))
     c = S.deviation_gradient(F.col("mm") / 1000)
-    return _rounded(ticks.select("mm", *[c[n].alias(n) for n in "rgb"]), *"rgb")
+    return _rounded(ticks.select("mm", "n", *[c[n].alias(n) for n in "rgb"]), *"rgb")
 
 
 #: What each of the fourteen modes shows: of points or registered lines, which distance, and how it is coloured.
@@ -161,33 +162,28 @@ MODES = [
 ]
 
 
-def mode_colour(mode: int, inside: Column, original: Column, utility: Column) -> Column:
-    """The colour by a mode; outside of the trench a point keeps its original one when distances are shown."""
-    shows, metric, style = MODES[mode]
-    if metric is None:
-        return original if style == "original" else utility
-    d = F.col(metric)
-    colour = S.deviation_colour(d) if style == "classes" else S.deviation_gradient(d)
-    return F.when(inside, colour).otherwise(original) if shows == "points" else colour
-
-
 def _mode_sql(mode: int) -> str:
     _, metric, style = MODES[mode]
+    if metric is None:
+        own = ("0.5", "0.25", "0.5") if style == "original" else ("(utility_type % 3) / 2.0", "0.0", "1.0")
+        return f"SELECT {mode} AS mode, instance, " + ", ".join(f"{v}::DOUBLE AS {c}" for v, c in zip(own, "rgb")) + " FROM hue"
     of = _step_sql if style == "classes" else _gradient_sql
     shades = ", ".join(f"CASE WHEN inside THEN {of(metric, i)} ELSE {0.5 if c != 'g' else 0.25}::DOUBLE END AS {c}" for i, c in enumerate("rgb"))
     return f"SELECT {mode} AS mode, instance, {shades} FROM hue"
 
 
-@query(f"""WITH {PTS}, {SEG}, {nearest_sql()}, best AS (SELECT pid, any_value(instance) AS instance, any_value(x) AS x, any_value(y) AS y, arg_min({{'a': sqrt(xy2), 'b': abs(ez)}}, {{'d': xy2 + ez * ez, 's': seg_id}}) AS m,
-  sqrt(min(xy2 + ez * ez)) AS dist FROM pairs GROUP BY pid), hue AS (SELECT instance, dist, m.a AS dist_xy, m.b AS dist_z, {IN_TRENCH} AS inside FROM best),
-every AS ({' UNION ALL '.join(_mode_sql(i) for i in range(6))})
+@query(f"""WITH {PTS}, {SEG}, {nearest_sql()}, best AS (SELECT pid, any_value(instance) AS instance, any_value(utility_type) AS utility_type, any_value(x) AS x, any_value(y) AS y, arg_min({{'a': sqrt(xy2), 'b': abs(ez)}}, {{'d': xy2 + ez * ez, 's': seg_id}}) AS m,
+  sqrt(min(xy2 + ez * ez)) AS dist FROM pairs GROUP BY pid), hue AS (SELECT instance, utility_type, dist, m.a AS dist_xy, m.b AS dist_z, {IN_TRENCH} AS inside FROM best),
+every AS ({' UNION ALL '.join(_mode_sql(i) for i in range(8))})
 SELECT mode, instance, count(*) AS n, floor(avg(r) * 1e6 + 0.5) / 1e6 AS r, floor(avg(g) * 1e6 + 0.5) / 1e6 AS g, floor(avg(b) * 1e6 + 0.5) / 1e6 AS b FROM every GROUP BY mode, instance""")
 def mode_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean colour of each instance's points in the six modes of points, outside of the trench their own."""
+    """The mean colour of each instance's points in the eight modes of points: two styles of three distances, outside of the
+    trench their own colour, and their own and their type's."""
     found = nearest.nearest_segment(sites.points(spark, sf_dir), sites.segments(spark, sf_dir))
     own = F.struct(F.lit(0.5).alias("r"), F.lit(0.25).alias("g"), F.lit(0.5).alias("b"))
+    utility = F.struct(((F.col("utility_type") % 3).cast("double") / 2).alias("r"), F.lit(0.0).alias("g"), F.lit(1.0).alias("b"))
     # one pass over the points for all modes
-    modes = F.explode(F.array(*[F.struct(F.lit(i).alias("mode"), mode_colour(i, _inside(), own, own).alias("c")) for i in range(6)]))
+    modes = F.explode(F.array(*[F.struct(F.lit(i).alias("mode"), deviation.mode_colour(MODES[i], _inside(), own, utility).alias("c")) for i in range(8)]))
     rows = found.select("instance", modes.alias("m"))
     out = rows.groupBy(F.col("m.mode").alias("mode"), "instance").agg(F.count("*").alias("n"), *[F.avg(f"m.c.{c}").alias(c) for c in "rgb"])
     return _rounded(out, *"rgb")
@@ -195,15 +191,16 @@ def mode_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FEAT}, q AS (SELECT 'water pipes' AS question, count(*) AS answer FROM feat WHERE layer = 'Vandledning'
 UNION ALL SELECT 'wider than 100 mm', count(*) FROM feat WHERE hw > 0 AND fid % 100 = 4 UNION ALL SELECT 'supplies of the traces', count(DISTINCT supply) FROM feat WHERE layer = 'Ledningstrace'
-UNION ALL SELECT 'left when all but water is hidden', count(*) FROM feat WHERE layer = 'Vandledning') SELECT * FROM q""")
+UNION ALL SELECT 'owners of gas pipes', count(DISTINCT fid % 9) FROM feat WHERE layer = 'Gasledning' UNION ALL SELECT 'left when all but water is hidden', count(*) FROM feat WHERE layer = 'Vandledning') SELECT * FROM q""")
 def example_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel's questions as SQL over a view; who owns a pipe is no attribute of the given tables, so supplies stand for it."""
+    """The panel's questions as SQL over a view."""
     G.derived(sites.features(spark, sf_dir)).createOrReplaceTempView("asked_features")
     asked = {
         "water pipes": "layer = 'Vandledning'", "wider than 100 mm": "TRY_CAST(attrs['bredde'] AS double) > 100", "left when all but water is hidden": "layer IN ('Vandledning')",
     }
     parts = [f"SELECT '{q}' AS question, count(*) AS answer FROM asked_features WHERE {where}" for q, where in asked.items()]
     parts.append("SELECT 'supplies of the traces' AS question, count(DISTINCT supply) AS answer FROM asked_features WHERE layer = 'Ledningstrace'")
+    parts.append("SELECT 'owners of gas pipes' AS question, count(DISTINCT attrs['ledningsejer']) AS answer FROM asked_features WHERE layer = 'Gasledning'")
     return spark.sql(" UNION ALL ".join(parts))
 
 
@@ -261,8 +258,7 @@ def draped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PTS} SELECT site_id, CASE WHEN class = 5 THEN -1 ELSE class END AS label, count(*) AS n, class = 5 AS is_noise FROM pts GROUP BY ALL")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("class") == 5, F.lit(-1)).otherwise(F.col("class"))
-    rows = sites.points(spark, sf_dir).groupBy("site_id", label.alias("label")).agg(F.count("*").alias("n"))
-    return rows.withColumn("is_noise", F.col("label") < 0)
+    return cluster.label_counts(sites.points(spark, sf_dir).withColumn("label", label))
 
 
 @query(f"WITH {PTS} SELECT site_id, 0 AS instance_id, 7 AS utility_type, count(*) AS n FROM pts WHERE class = 0 GROUP BY site_id")

@@ -44,6 +44,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vejledendeDybde": F.when(f % 7 == 0, "1500"),
         "bredde": F.when(f % 100 == 4, "500"),
         "forsyningsart": F.when(f % 50 == 4, pick(F.floor(f / 50) % 3, "vand", "El", "Fjernvarme")),
+        "ledningsejer": F.concat(F.lit("Ejer "), (f % 9).cast("string")),
         "noejagtighedsklasse": pick(f % 6, "<= 0,50 m", "> 2.00 m", "> 1.00", "<= 3 m", "ukendt", None),
     }
     entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in attrs.items()])
