@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from subgrade.functions.dims import SUPPLY_COLOURS
-from subgrade.operators import depth, ground, runs, segments as G
+from subgrade.operators import depth, discretise, ground, hulls, runs, segments as G
 from subgrade.plans import sites
 from subgrade.plans.catalogue import CELLS_SQL, _rounded, query
 from subgrade.plans.sites import FEAT, PTS, SEG
-from subgrade.tables import new_path
+from subgrade.tables import new_path, written
 
 _LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in runs.LABELS) + "]"
 
@@ -67,3 +67,26 @@ def depth_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.vertices(G.derived(sites.features(spark, sf_dir)))
     found = depth.resolve_overview(rows, samples, ground.fit_plane(samples), level, (span[0], span[1]), ["feature_id", "part_idx"], ["feature_id", "part_idx", "vid"])
     return _rounded(found.select("fid", "vid", "depth_source", "z"), "z", to=5)
+
+
+@query(f"WITH {PTS} SELECT site_id, count(*) AS n_points, 0::BIGINT AS n_outside, 12::BIGINT AS n_edges, TRUE AS is_dotted FROM pts GROUP BY site_id")
+def boxes_of_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site's box along its hull: how many of its points it leaves out, and its twelve edges as dots."""
+    points = sites.points(spark, sf_dir).select("site_id", "x", "y", "z")
+    boxes = written(hulls.hull_boxes(points, "site_id"), "hull-boxes")
+    edges = hulls.box_edges(boxes, "site_id")
+    dots = discretise.dashes(edges.withColumn("seg_id", F.struct("site_id", "seg_id")), 0.05, 0.05)
+    told = dots.groupBy(F.col("seg_id.site_id").alias("site_id")).agg(F.countDistinct("seg_id.seg_id").alias("n_edges"), (F.max("dash_idx") > 0).alias("is_dotted"))
+    counts = points.join(boxes, "site_id").groupBy("site_id").agg(F.count("*").alias("n_points"), F.count_if(hulls.outside_box()).alias("n_outside"))
+    return counts.join(told, "site_id")
+
+
+@query(f"""WITH {PTS}, e AS (SELECT site_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM pts GROUP BY site_id)
+SELECT site_id, floor(lx * 1e6 + 0.5) / 1e6 AS lx, floor(hx * 1e6 + 0.5) / 1e6 AS hx, floor(ly * 1e6 + 0.5) / 1e6 AS ly, floor(hy * 1e6 + 0.5) / 1e6 AS hy, floor(lz * 1e6 + 0.5) / 1e6 AS lz, floor(hz * 1e6 + 0.5) / 1e6 AS hz, 0::BIGINT AS n_new FROM e""")
+def hulls_in_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hulls' corners reach as far as the points do in each direction, and each is one of the points."""
+    points = sites.points(spark, sf_dir).select("site_id", "x", "y", "z")
+    corners = hulls.hull_corners(points, "site_id").withColumn("corner", F.lit(True))
+    known = corners.join(points.distinct().withColumn("known", F.lit(True)), ["site_id", "x", "y", "z"], "left")
+    ends = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    return _rounded(known.groupBy("site_id").agg(*ends, F.count_if(F.col("known").isNull()).alias("n_new")), *[f"{n}{c}" for c in "xyz" for n in "lh"])
