@@ -87,11 +87,12 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "b
     return map_batches(own_columns(docs, "doc_id", "text"), encode, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def two_fit_pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
+def two_fit_pattern(left: np.ndarray, capacity: int, slack: int = 0, even: bool = True) -> dict[int, int]:
     """One sequence as {length: how many}, from the counts that are left (by length).
 
-    Filled greedily with the longest that fits; then its smallest document gives way to the two unpacked documents with
-    the largest sum that fits the expanded gap, if that sum is larger than it.
+    Filled greedily with the longest that fits; then, if a gap of more than `slack` is left, its smallest document gives
+    way to the two unpacked documents with the largest sum that fits the expanded gap, if that sum is larger than it. Of
+    equal sums, that of the two most even lengths is taken, or of the least even.
     """
     have = left.copy()
     lengths = np.flatnonzero(have)
@@ -107,7 +108,7 @@ def two_fit_pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
         chosen.append(x)
         have[x] -= 1
         gap -= x
-    if gap and len(chosen) > 1:
+    if gap > slack and len(chosen) > 1:
         smallest = chosen[-1]
         room = gap + smallest
         a = lengths[(have[lengths] > 0) & (lengths < room)]
@@ -116,7 +117,7 @@ def two_fit_pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
             k = np.searchsorted(a, np.minimum(room - a, a), "right") - 1
             k -= (k >= 0) & (a[np.maximum(k, 0)] == a) & (have[a] < 2)
             both = np.where(k >= 0, a + a[np.maximum(k, 0)], 0)
-            best = int(np.argmax(both))
+            best = int(np.argmax(both)) if even else len(both) - 1 - int(np.argmax(both[::-1]))
             if both[best] > smallest:
                 chosen[-1:] = [int(a[best]), int(a[k[best]])]
     pattern: dict[int, int] = {}
@@ -125,7 +126,7 @@ def two_fit_pattern(left: np.ndarray, capacity: int) -> dict[int, int]:
     return pattern
 
 
-def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
+def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, slack: int = 0, even: bool = True) -> list[tuple]:
     """Rows of PLAN_SCHEMA. A pattern is repeated as long as its lengths last, so the work depends on the number of
     different lengths and not on how many documents there are; so does the size of the plan."""
     left = np.zeros(capacity + 1, dtype=np.int64)
@@ -135,7 +136,7 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     rows: list[tuple] = []
     sequence = 0
     while left.any():
-        pattern = two_fit_pattern(left, capacity)
+        pattern = two_fit_pattern(left, capacity, slack, even)
         times = min(int(left[x]) // k for x, k in pattern.items())
         at = 0
         for x, k in pattern.items():
@@ -147,13 +148,36 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return rows
 
 
+def sequences_of(plan: list[tuple]) -> int:
+    return max((first + (hi - lo) // per for _, lo, hi, per, first, _ in plan), default=0)
+
+
+def fewest_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
+    """The packing_plan with the fewest sequences of those with other slacks and ties, the first of them.
+
+    To close every small gap at once spends short documents that larger gaps need at the end, so where a swap starts to
+    pay depends on the lengths. A plan is a matter of their counts, so some twenty cost no pass over documents; the last of
+    them swaps nothing, which is first-fit-decreasing. Trying ends at as many sequences as all tokens fill.
+    """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best: list[tuple] | None = None
+    for slack in [0, *(1 << k for k in range(capacity.bit_length() + 1))]:
+        for even in (True, False):
+            plan = packing_plan(counts, capacity, slack, even)
+            if best is None or sequences_of(plan) < sequences_of(best):
+                best = plan
+            if sequences_of(best) == least:
+                return best
+    return best
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 100_000) -> DataFrame:
     """pieces (with length up to capacity) and sequence_id, offset. Every row is packed, repeated rows too: rows are numbered
     as they are written, so that repeated ones are dealt to different tasks like any others."""
     spark = pieces.sparkSession
     numbered = written(pieces.withColumn("row__number", F.monotonically_increasing_id()), "packing-pieces")
     counts = {int(r.length): r.n for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(packing_plan(counts, capacity), PLAN_SCHEMA)
+    plan = spark.createDataFrame(fewest_plan(counts, capacity), PLAN_SCHEMA)
     groups = groups_of(max(counts.values(), default=0), rows_per_part)
     ranked = gapless_rank(numbered, ["length"], F.xxhash64("row__number"), ["row__number"], groups, "rank_of_length")
     placed = ranked.alias("p").join(

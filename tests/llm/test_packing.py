@@ -1,3 +1,4 @@
+import bisect
 import zlib
 from collections import Counter
 
@@ -48,6 +49,7 @@ def test_query(spark):
     rows = packing.op8_best_fit_packing(spark, str(DATA)).collect()
     used = check(rows, texts)
     assert used <= 1.01 * sum(r.length for r in rows) / 1024 + 1
+    assert used <= best_fit_decreasing([r.length for r in rows], 1024)
 
 
 def test_odd_texts_and_an_empty_table(spark):
@@ -115,6 +117,45 @@ def test_plans_are_those_of_packing_one_document_after_the_other(counts):
     assert Counter(tuple(sorted(s)) for s in sequences.values()) == plain_best_two_fit([n for n, k in counts.items() for _ in range(k)], 40)
 
 
+def first_fit_decreasing(lengths, capacity):
+    """How many sequences first-fit-decreasing takes."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = next((i for i, gap in enumerate(gaps) if gap >= x), len(gaps))
+        gaps[at:at + 1] = [(gaps[at] if at < len(gaps) else capacity) - x]
+    return len(gaps)
+
+
+def best_fit_decreasing(lengths, capacity):
+    """How many sequences best-fit-decreasing takes."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - x)
+    return len(gaps)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+def test_the_fewest_of_the_plans_is_taken(counts):
+    plan = packing.fewest_plan(counts, 40)
+    assert packing.sequences_of(plan) <= first_fit_decreasing([n for n, k in counts.items() for _ in range(k)], 40)
+    used = Counter()
+    for length, lo, hi, *_ in plan:
+        assert lo == used[length]
+        used[length] = hi
+    assert used == Counter(counts)
+
+
+def test_small_gaps_are_left_where_swaps_cost_sequences():
+    rng = np.random.default_rng(7)
+    counts = Counter(rng.integers(20, 700, 1500).tolist())
+    plans = [packing.packing_plan(counts, 1024), packing.fewest_plan(counts, 1024)]
+    first, fewest = map(packing.sequences_of, plans)
+    assert fewest <= first
+
+
 def test_the_added_token_is_one_id():
     text = "a <|endoftext|> special"
     assert packing.token_ids(text).tolist() == plain_ids("")(text)[:-1] == [64, 220, 50256, 2041]
