@@ -2,8 +2,8 @@
 
 Heuristic labellers vote good, bad or not at all on every document. How often each combination of votes occurs, over
 all documents, is all that expectation-maximisation needs to estimate the labellers' accuracies and the chance that a
-combination is good: at most 4**8 counts, whatever the corpus. The chances of a bounded sample then train a linear
-scorer of hashed words and votes, and that scores every document.
+combination is good: at most 4**8 counts, whatever the corpus. Those chances, on a bounded sample of the labelled rows,
+then train a linear scorer of hashed words and votes, and that scores every document.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from subgrade.llm.common import blocks, documents, map_batches, own_columns, table
 from subgrade.llm.textstats import counts_of, features_of
 
-#: Bounds of the labelled rows from which flagged terms are found, and of the documents that train the scorer.
+#: Bounds of the labelled rows from which flagged terms are found, and of those that train the scorer.
 TERM_ROWS = 20_000
 TRAIN_ROWS = 10_000
 #: A flagged term is in this share of the toxic rows at least, and that share of the rows with it are toxic.
@@ -174,7 +174,8 @@ def vote_counts(docs: DataFrame, flagged: frozenset[bytes]) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROWS, train_rows: int = TRAIN_ROWS) -> Classifier:
-    """Labels serve to find flagged terms only; what is good is estimated from the votes on all documents."""
+    """Labels tell which terms are flagged, and which documents, at most train_rows, the scorer is fitted on. What is good there
+    too is estimated from the votes on all documents. Without labels the scorer is fitted on the combinations of votes."""
     flagged = flagged_terms(docs, labels, term_rows)
     seen = sorted((r.pattern, r.n) for r in vote_counts(docs, flagged).collect())
     patterns, n = (np.array([x[i] for x in seen], dtype=np.int64) for i in (0, 1))
@@ -188,7 +189,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROW
                 yield pa.record_batch([pa.array(pattern_of(votes)), pa.array([hashed(t, v).tobytes() for t, v in zip(terms, votes)], pa.binary())], ["pattern", "features"])
 
     # ids first, so that no more than the sample's texts move; one row of each, so that the bound holds
-    ids = own_columns(docs, "doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    ids = own_columns(labels, "doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text")
     sample = map_batches(texts, features, "pattern long, features binary").collect()
     rows = [np.frombuffer(r.features, np.int32) for r in sample]

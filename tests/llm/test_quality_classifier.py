@@ -59,6 +59,16 @@ def test_a_rare_combination_of_votes_is_judged_by_its_chance(spark):
     assert rows[0]["score"] > rows[1]["score"]
 
 
+def test_the_scorer_is_fitted_on_labelled_rows_alone(spark):
+    """A document without a label counts in the votes, and its words have no weight."""
+    docs = [f"the plain words number {i} are here and calm enough to read in peace over a long day at home" for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(19)] + [(999, 1, 0)], LABELS)
+    model = weaklabels.fit_classifier(table_of(spark, [*docs, docs[0] + " quillwort"]), labels)
+    term = weaklabels.hashed({b"quillwort"}, np.zeros(len(weaklabels.LABELLERS), int))[-1]
+    seen = weaklabels.hashed({b"plain"}, np.zeros(len(weaklabels.LABELLERS), int))[-1]
+    assert model.weights[term] == 0 and model.weights[seen] != 0
+
+
 def test_toxic_texts_go_and_clean_ones_stay(spark):
     docs = [f"the plain words number {i} are here and calm enough to read in peace over a long day at home" for i in range(40)]
     toxic = [d + " vilegrub" for d in docs[:20]]
