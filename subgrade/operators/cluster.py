@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from subgrade.functions.dims import MIN_CLUSTER_SIZE, MIN_INSTANCE_POINTS, MIN_SAMPLES, VOXEL
+from subgrade.operators import sections
 from subgrade.operators.nearest import nearest_points
+from subgrade.tables import written
 
 
 def voxels(points: DataFrame, size: float = VOXEL, by: str = "site_id") -> DataFrame:
     """One point a voxel, the mean of its points; voxels are counted from the site's least coordinates less half a voxel."""
     origin = points.groupBy(by).agg(*[(F.min(c) - size / 2).alias(f"o{c}") for c in "xyz"])
-    cells = points.join(F.broadcast(origin), by).withColumns({f"v{c}": F.floor((F.col(c) - F.col(f"o{c}")) / size) for c in "xyz"})
+    cells = points.join(origin, by).withColumns({f"v{c}": F.floor((F.col(c) - F.col(f"o{c}")) / size) for c in "xyz"})
     return cells.groupBy(by, "vx", "vy", "vz").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count("*").alias("n_points"), F.min("pid").alias("pid"))
 
 
@@ -141,7 +143,7 @@ def drop_small(points: DataFrame, least: int = MIN_INSTANCE_POINTS, by: str = "s
     """Labels with fewer points become noise."""
     sizes = points.groupBy(by, "label").agg(F.count("*").alias("label__n"))
     kept = F.when(F.col("label__n") >= least, F.col("label")).otherwise(F.lit(-1))
-    return points.join(F.broadcast(sizes), [by, "label"]).withColumn("label", kept).drop("label__n")
+    return points.join(sizes, [by, "label"]).withColumn("label", kept).drop("label__n")
 
 
 def renumber(points: DataFrame, by: str = "site_id") -> DataFrame:
@@ -149,69 +151,26 @@ def renumber(points: DataFrame, by: str = "site_id") -> DataFrame:
     sizes = points.filter("label >= 0").groupBy(by, "label").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), F.desc("label"))) - 1
     new = sizes.select(by, "label", place.alias("label__new"))
-    return points.join(F.broadcast(new), [by, "label"], "left").withColumn("label", F.coalesce("label__new", F.lit(-1))).drop("label__new")
-
-
-def reach_labels(x: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Clusters of points that have min_points within eps (themselves included), and what lies within eps of them."""
-    n = len(x)
-    labels = np.full(n, -1)
-    near = [np.flatnonzero(((x - p) ** 2).sum(axis=1) <= eps * eps) for p in x]
-    core = np.array([len(k) >= min_points for k in near], dtype=bool)
-    label = 0
-    for i in range(n):
-        if labels[i] >= 0 or not core[i]:
-            continue
-        labels[i], stack = label, [i]
-        while stack:
-            for j in near[stack.pop()]:
-                if labels[j] < 0:
-                    labels[j] = label
-                    if core[j]:
-                        stack.append(j)
-        label += 1
-    return labels
-
-
-def across_axes(x: np.ndarray) -> np.ndarray:
-    """The second and third principal component of points, which a pipe's axis is not part of."""
-    centred = x - x.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov(centred.T))
-    return centred @ vectors[:, ::-1][:, 1:]
+    return points.join(new, [by, "label"], "left").withColumn("label", F.coalesce("label__new", F.lit(-1))).drop("label__new")
 
 
 def split_parallel(labelled: DataFrame, eps: float = 0.03, min_points: int = 20, min_split: int = 200, by: str = "site_id") -> DataFrame:
-    """Instances that lie side by side, split by their distance across the main axis.
+    """Instances that lie side by side, split by their distance across the main axis (see sections).
 
-    Each instance is one group. Parts with fewer than min_split points become noise; an instance with fewer than two
-    other parts, or fewer than 2 * min_points points, stays as it is. `part` numbers an instance's parts from 0.
+    Parts with fewer than min_split points become noise; an instance with fewer than two other parts, or fewer than
+    2 * min_points points, stays as it is. The first part, by least pid, keeps the label; the others get the next ones.
     """
-    schema = labelled.select(by, "label", "pid", "x", "y", "z").schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid", kind="stable")
-        part = np.zeros(len(pdf), dtype=int)
-        if pdf["label"].iloc[0] >= 0 and len(pdf) >= 2 * min_points:
-            found = reach_labels(across_axes(pdf[["x", "y", "z"]].to_numpy()), eps, min_points)
-            for k in np.unique(found[found >= 0]):
-                if (found == k).sum() < min_split:
-                    found[found == k] = -1
-            kept = np.unique(found[found >= 0])
-            if len(kept) > 1:
-                part = np.where(found >= 0, np.searchsorted(kept, found), -1)
-        return pdf.assign(part=part)
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    out = StructType([*schema, StructField("part", IntegerType())])
-    parts = labelled.select(*schema.names).groupBy(by, "label").applyInPandas(run, out)
-    top = parts.groupBy(by).agg(F.max("label").alias("top"))
-    fresh = parts.filter("part > 0").select(by, "label", "part").distinct()
+    keys = [by, "label"]
+    points = written(labelled.select(*keys, "pid", "x", "y", "z"), "split-points")
+    large = points.filter("label >= 0").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * min_points).select(*keys)
+    split = written(sections.parts(points.join(large, keys), eps, min_points, min_split, keys), "split-parts")
+    top = points.groupBy(by).agg(F.max("label").alias("top"))
     number = F.row_number().over(Window.partitionBy(by).orderBy("label", "part"))
-    fresh = fresh.withColumn("nth", number).join(F.broadcast(top), by).select(by, "label", "part", (F.col("top") + F.col("nth")).alias("fresh"))
-    joined = parts.join(F.broadcast(fresh), [by, "label", "part"], "left")
+    fresh = split.filter("part > 0").select(*keys, "part").distinct().withColumn("nth", number).join(top, by)
+    fresh = fresh.select(*keys, "part", (F.col("top") + F.col("nth")).alias("fresh"))
+    joined = points.join(split, [*keys, "pid"], "left").join(fresh, [*keys, "part"], "left")
     label = F.when(F.col("part") < 0, F.lit(-1)).otherwise(F.coalesce("fresh", "label"))
-    return joined.withColumn("label", label.cast("int")).drop("fresh", "part")
+    return joined.withColumn("label", label.cast("int")).select(*keys, "pid", "x", "y", "z")
 
 
 def label_counts(points: DataFrame) -> DataFrame:

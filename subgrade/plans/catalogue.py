@@ -488,3 +488,11 @@ def density_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cluster.voxels(pts, 0.5)
     labelled = cluster.label_points(pts, cluster.cluster_voxels(cells, 10, 5), 0.5)
     return cluster.renumber(cluster.drop_small(labelled, 25)).select("pid", "site_id", F.col("label").cast("int").alias("label"))
+
+
+@query()
+def split_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by site, each site's classes taken as instances, split where they lie side by side, numbered by size."""
+    pts = sites.points(spark, sf_dir).withColumn("label", F.col("utility_type").cast("int"))
+    split = cluster.split_parallel(pts.filter("label >= 0"), 0.5, 5, 10)
+    return cluster.renumber(split).select("pid", "site_id", F.col("label").cast("int").alias("label"))

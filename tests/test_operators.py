@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subgrade.plans import sites
 from tests.conftest import DATA
-from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, packed, segments as G, shapes, site
+from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, packed, sections, segments as G, shapes, site
 from subgrade.functions.geometry import near_polygon
 from subgrade.streaming.instances import running_stats
 
@@ -179,6 +179,81 @@ def test_parallel_pipes_are_split(spark):
     assert sorted(got) == [250, 250] and set(got.index) == {4, 5}
 
 
+def plain_reach(x: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """Clusters of points that have min_points within eps (themselves included), and what lies within eps of them."""
+    n = len(x)
+    labels = np.full(n, -1)
+    near = [np.flatnonzero(((x - p) ** 2).sum(axis=1) <= eps * eps) for p in x]
+    core = np.array([len(k) >= min_points for k in near], dtype=bool)
+    label = 0
+    for i in range(n):
+        if labels[i] >= 0 or not core[i]:
+            continue
+        labels[i], stack = label, [i]
+        while stack:
+            for j in near[stack.pop()]:
+                if labels[j] < 0:
+                    labels[j] = label
+                    if core[j]:
+                        stack.append(j)
+        label += 1
+    return labels
+
+
+def plain_across(x: np.ndarray) -> np.ndarray:
+    """The second and third principal component of points, which a pipe's axis is not part of."""
+    centred = x - x.mean(axis=0)
+    _, vectors = np.linalg.eigh(np.cov(centred.T))
+    return centred @ vectors[:, ::-1][:, 1:]
+
+
+@pytest.mark.parametrize("seed, gap", [(1, 0.25), (2, 0.1), (3, 0.06)])
+def test_reach_clusters_are_those_of_all_pairs(spark, seed, gap):
+    """Dense cells, sparse ones, and dense cells at about the distance that links them; two instances of one site and a
+    point of its own, noise around them."""
+    r = np.random.default_rng(seed)
+    sets = [np.vstack([r.normal(0, 0.02, (300, 2)), r.normal([gap, 0], 0.02, (300, 2)), r.uniform(-0.3, 0.4, (150, 2)), [[-2, -2]]]) for _ in range(2)]
+    rows = [(1, k, 1000 * k + i, *map(float, p)) for k, x in enumerate(sets) for i, p in enumerate(r.permutation(x))]
+    df = frame(spark, rows, "site_id int, label int, pid long, u double, v double")
+    got = sections.reach_clusters(df, 0.03, 10, ["site_id", "label"]).toPandas()
+    assert got["pid"].is_unique
+    for k in range(2):
+        own = sorted((p[2], p[3], p[4]) for p in rows if p[1] == k)
+        found = plain_reach(np.array([p[1:] for p in own]), 0.03, 10)
+        of = got[got["label"] == k].set_index("pid")["cluster"]
+        assert [of.get(p[0], -1) for p in own] == found.tolist()
+
+
+def test_touching_dense_cells_are_told_exactly(spark):
+    """Two rows of points, each dense, whose nearest points are just within or just beyond reach."""
+    for apart, clusters in ((0.03 * (1 - 1e-6), 1), (0.03 * (1 + 1e-6), 2)):
+        x = [(1, 0, i, i * 0.0001, 0.0) for i in range(100)] + [(1, 0, 100 + i, 0.0099 + apart + i * 0.0001, 0.0) for i in range(100)]
+        got = sections.reach_clusters(frame(spark, x, "site_id int, label int, pid long, u double, v double"), 0.03, 20, ["site_id", "label"])
+        assert got.select("cluster").distinct().count() == clusters
+        assert got.count() == 200
+
+
+def test_planes_across_are_those_of_the_axes(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, [5.0, 1.0, 0.2], (200, 3)) @ np.linalg.qr(r.normal(size=(3, 3)))[0] + 1000
+    df = frame(spark, [(1, 0, i, *map(float, p)) for i, p in enumerate(x)], "site_id int, label int, pid long, x double, y double, z double")
+    got = sections.across(df, ["site_id", "label"]).orderBy("pid").toPandas()[["u", "v"]].to_numpy()
+    assert np.abs(np.abs(got) - np.abs(plain_across(x))).max() < 1e-6
+
+
+def test_splits_leave_noise_small_instances_and_single_ones(spark):
+    r = np.random.default_rng(9)
+    def pipe(label, first, y, n):
+        return [(1, label, first + i, float(r.random() * 5), float(y + r.normal(0, 0.003)), float(r.normal(0, 0.003))) for i in range(n)]
+    rows = [*pipe(-1, 0, 0.0, 300), *pipe(-1, 300, 0.4, 300), *pipe(0, 1000, 0.0, 20), *pipe(1, 2000, 0.0, 300), *pipe(2, 3000, 0.0, 250), *pipe(2, 3250, 0.4, 240), *pipe(2, 3490, 0.8, 30)]
+    df = frame(spark, rows, "site_id int, label int, pid long, x double, y double, z double")
+    got = cluster.split_parallel(df).toPandas().set_index("pid")["label"]
+    assert len(got) == len(rows)
+    assert (got[got.index < 1000] == -1).all() and (got[(got.index >= 1000) & (got.index < 2000)] == 0).all() and (got[(got.index >= 2000) & (got.index < 3000)] == 1).all()
+    assert [set(got[(got.index >= a) & (got.index < b)]) for a, b in ((3000, 3250), (3250, 3490), (3490, 3520))] == [{2}, {3}, {-1}]
+    assert cluster.split_parallel(df.filter("false")).count() == 0
+
+
 def test_matching_and_reference_points(spark):
     segs = frame(spark, [(1, "Vandledning", None, "Vandledning"), (2, "Ledningstrace", "El", "Ledningstrace (El)"), (3, "AndenLedning", None, "AndenLedning")], "seg_id long, layer string, supply string, storage_key string")
     types = frame(spark, [(7,), (1,), (99,)], "utility_type int")
