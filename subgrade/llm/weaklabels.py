@@ -194,10 +194,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, term_rows: int = TERM_ROW
     sample = map_batches(texts, features, "pattern long, features binary").collect()
     rows = [np.frombuffer(r.features, np.int32) for r in sample]
     chance = [chances.get(r.pattern, prior) for r in sample]
-    # a combination of votes too rare for the sample trains the votes' weights all the same, by a row without terms
-    rare = np.setdiff1d(patterns, [r.pattern for r in sample])
-    rows += [hashed(set(), v) for v in votes_in(rare)]
-    weights, bias = fit_scorer(rows, np.array(chance + [chances[p] for p in rare.tolist()]))
+    # each combination of votes trains the votes' weights by a row without terms too, however rare it is in the sample
+    rows += [hashed(set(), v) for v in votes_in(patterns)]
+    weights, bias = fit_scorer(rows, np.array(chance + [chances[p] for p in patterns.tolist()]))
     return Classifier(flagged, chances, accuracies, prior, weights.astype(np.float32), bias)
 
 
