@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection in each tile, tree merging.
 
-Candidates and queries are packed into blocks, each one row with a matrix. Every query block meets every candidate block
-in one tile, a matrix product, of which each query keeps its k best; the lists of a query are then merged eight at a
-time. Components are scaled and floored to integers, and products are exact: in single or double precision where the
+Candidates and queries are packed into blocks, each one row with a matrix. Candidate blocks are dealt to stripes; a stripe's
+task holds them and streams every query block past them, tile by tile, and a query keeps its k best of the stripe; the lists
+of a query are then merged eight at a time. Components are scaled and floored to integers, and products are exact: in single or double precision where the
 largest possible sum is exact there, else in whole numbers.
 """
 
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from subgrade.llm.common import table, written
+from subgrade.tables import small_batches
 
 CANDIDATE_ROWS, QUERY_ROWS = 8192, 1024
 FAN_IN = 8
+#: What a stripe holds of candidates: blocks, and bytes of their matrices.
+STRIPE_BLOCKS, STRIPE_BYTES = 32, 64 << 20
 #: What a scaled component beyond the doubles is held at.
 LARGEST = np.finfo(np.float64).max
 BLOCK_SCHEMA = "block long, dim int, ids binary, matrix binary, wide boolean"
@@ -104,29 +107,47 @@ def select_top(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray,
     return r[rank < k], c[rank < k]
 
 
-def _tiles(pairs: DataFrame, k: int) -> DataFrame:
-    """block, query_id, vec_id, score: each query's k best candidates of each tile."""
-
-    def matrix(raw: pa.Scalar, dim: int, wide: bool) -> np.ndarray:
-        return np.frombuffer(raw.as_buffer(), np.float64 if wide else np.float32).reshape(-1, dim)
+def _tiles(blocks: DataFrame, q_blocks: DataFrame, stripes: int, k: int) -> DataFrame:
+    """stripe, query_id, vec_id, score: each query's k best candidates of each stripe. A stripe's task holds its candidate
+    blocks and streams all query blocks past them, so no row has two matrices and nothing is broadcast."""
+    content = ["dim", "ids", "matrix", "wide"]
+    dealt = blocks.select(F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(0).alias("turn"), *content)
+    copies = q_blocks.select(F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(1).alias("turn"), *content)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
         for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                dim, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids, q_ids = (np.frombuffer(batch.column(j)[i].as_buffer(), np.int64) for j in (2, 5))
-                c = matrix(batch.column(3)[i], dim, batch.column(4)[i].as_py())
-                q = matrix(batch.column(6)[i], dim, batch.column(7)[i].as_py())
-                for at in range(0, len(q), 256):
-                    scores = _products(q[at : at + 256], c)
-                    r, col = select_top(scores, q_ids[at : at + 256, None] == ids[None], k)
-                    best = [max(-(2**63), min(2**63 - 1, int(x))) for x in scores[r, col]]
+                stripe, dim = column["stripe"][i].as_py(), column["dim"][i].as_py()
+                ids = np.frombuffer(column["ids"][i].as_buffer(), np.int64)
+                matrix = np.frombuffer(column["matrix"][i].as_buffer(), np.float64 if column["wide"][i].as_py() else np.float32).reshape(-1, dim)
+                if now != (stripe, dim):
+                    held, now = [], (stripe, dim)
+                if not column["turn"][i].as_py():
+                    held.append((ids.copy(), matrix.copy()))
+                    continue
+                for at in range(0, len(matrix) if held else 0, 256):
+                    found: list[list[np.ndarray]] = [[], [], []]
+                    for c_ids, c in held:
+                        scores = _products(matrix[at : at + 256], c)
+                        r, col = select_top(scores, ids[at : at + 256, None] == c_ids[None], k)
+                        best = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores[r, col]], dtype=np.int64)
+                        for into, v in zip(found, (r, c_ids[col], best)):
+                            into.append(v)
+                    r, vec, best = (np.concatenate(v) for v in found)
+                    # ~x turns the order of longs around without overflow
+                    order = np.lexsort((vec, ~best, r))
+                    r, vec, best = r[order], vec[order], best[order]
+                    kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
                     yield pa.record_batch(
-                        [pa.array(np.full(len(r), block)), pa.array(q_ids[at + r]), pa.array(ids[col]), pa.array(best, pa.int64())],
-                        ["block", "query_id", "vec_id", "score"],
+                        [pa.array(np.full(int(kept.sum()), stripe), pa.int32()), pa.array(ids[at + r[kept]]), pa.array(vec[kept]), pa.array(best[kept])],
+                        ["stripe", "query_id", "vec_id", "score"],
                     )
 
-    return pairs.mapInArrow(multiply, "block long, query_id long, vec_id long, score long")
+    rows = dealt.unionByName(copies).repartition(stripes, "stripe").sortWithinPartitions("stripe", "dim", "turn")
+    return rows.mapInArrow(multiply, "stripe int, query_id long, vec_id long, score long")
 
 
 def _best(lists: DataFrame, k: int, *by: str) -> DataFrame:
@@ -145,18 +166,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """
     rows = usable(vectors, id_col, vector_col)
     blocks = written(pack_blocks(rows, CANDIDATE_ROWS, scale), "topk-candidates")
-    n_blocks = blocks.count()
+    n_blocks, largest = blocks.agg(F.count("*"), F.coalesce(F.max(F.length("matrix")), F.lit(1))).first()
     queries = rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     q_blocks = written(pack_blocks(queries, QUERY_ROWS, scale), "topk-queries")
-    # candidate blocks are dealt to stripes, and each stripe gets all query blocks
-    stripes = max(8, n_blocks // 2)
-    dealt = blocks.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int"))
-    copies = q_blocks.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("wide").alias("q_wide"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    pairs = dealt.join(copies, ["dim", "stripe"]).select("dim", "block", "ids", "matrix", "wide", "q_ids", "q_matrix", "q_wide")
+    # a stripe holds so many blocks, so copies of the queries grow with the stripes only
+    stripes = max(8, -(-n_blocks // max(1, min(STRIPE_BLOCKS, STRIPE_BYTES // largest))))
+    # few rows at a time, as each is a matrix
+    with small_batches(vectors.sparkSession, 16):
+        lists = written(_tiles(blocks, q_blocks, stripes, k), "topk-lists")
     levels = 0
-    while FAN_IN**levels < n_blocks:
+    while FAN_IN**levels < stripes:
         levels += 1
-    lists = _tiles(pairs, k).withColumn("node", F.pmod(F.xxhash64("block"), F.lit(FAN_IN**levels)))
+    lists = lists.withColumnRenamed("stripe", "node")
     for _ in range(levels - 1):
         lists = _best(lists.withColumn("node", F.floor(F.col("node") / FAN_IN)), k, "node").drop("rank")
     return _best(lists, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

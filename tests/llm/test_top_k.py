@@ -48,3 +48,22 @@ def test_components_beyond_a_double_are_held(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = topk.top_k(df, F.col("id") == 0, k=5).collect()
     assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+def test_no_matrix_is_broadcast_and_lists_grow_with_stripes_only(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 5)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    seen = {}
+    keep = topk.written
+
+    def noted(df, name):
+        seen[name] = (df._jdf.queryExecution().executedPlan().toString(), keep(df, name))
+        return seen[name][1]
+
+    monkeypatch.setattr(topk, "written", noted)
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("id") % 10 == 0, 5)
+    assert got.count() == 200
+    plans = [p for p, _ in seen.values()] + [got._jdf.queryExecution().executedPlan().toString()]
+    assert not [p for p in plans if "Broadcast" in p]
+    assert seen["topk-lists"][1].count() <= 40 * 5 * 8
