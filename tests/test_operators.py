@@ -369,3 +369,21 @@ def test_near_polygon(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     rows = frame(spark, [(2.0, 2.0), (5.9, 2.0), (6.1, 2.0), (5.5, 5.5), (5.4, 5.3)], "x double, y double")
     assert [r.near for r in rows.select(near_polygon(F.col("x"), F.col("y"), ring, 2.0).alias("near")).collect()] == [True, True, False, False, True]
+
+
+def test_points_travel_once_whatever_the_segments(spark, monkeypatch):
+    """Every step of the search holds each point once, where lines cross all over the points and others lie far below."""
+    r = np.random.default_rng(8)
+    pts = frame(spark, [(i, *map(float, p)) for i, p in enumerate(r.random((900, 3)) * (10, 10, -20))], "pid long, x double, y double, z double")
+    segs = frame(spark, [(i, *map(float, e), 0.0) for i, e in enumerate(r.random((3000, 6)) * (10, 10, -5, 10, 10, -5))], SEGMENTS)
+    held = {}
+    keep = packed.written
+
+    def noted(df, name):
+        held[name] = keep(df, name)
+        return held[name]
+
+    monkeypatch.setattr(packed, "written", noted)
+    found = nearest.nearest_segment(pts, segs).agg(F.count("seg_id")).first()[0]
+    copies = {n: df.agg(F.sum(F.size("pids"))).first()[0] for n, df in held.items() if "pids" in df.columns}
+    assert found == 900 and copies and set(copies.values()) == {900}, copies
