@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from subgrade import tables
 from subgrade.operators import accuracy, depth, opened, runs
 from subgrade.sources import discovery
 from tests.test_polygons import REGISTRY
@@ -149,3 +150,28 @@ def test_buffer_counts_against_all_pairs(spark, monkeypatch, block):
     assert got == {f: (len(v), round(min(min(d) for d in v.values()), 9)) for f, v in wanted.items()}
     none = segs.filter("half_width < 0")
     assert accuracy.buffer_counts(spark.createDataFrame(points, "pid long, x double, y double"), none).count() == 0
+
+
+@pytest.mark.parametrize("nearest", [True, False])
+def test_buffers_of_many_parts_over_few_places(spark, monkeypatch, nearest):
+    for name, value in {"BLOCK_POINTS": 64, "TASK_PARTS": 20, "MANY_PARTS": 30, "MEETING": 7}.items():
+        monkeypatch.setattr(accuracy, name, value)
+    kept = {}
+    monkeypatch.setattr(accuracy, "written", lambda df, name: kept.setdefault(name, tables.written(df, name)))
+    r = np.random.default_rng(6)
+    places = r.random((120, 2)) * 20
+    points = [(i, *map(float, places[i % 120])) for i in range(6000)] + [(6000, None, 1.0)]
+    parts = [(["all", None, "few"][min(i % 20, 2) if i % 20 < 3 else 0], *map(float, r.random(2) * 20), *map(float, r.random(2) * 20), [0.1, 0.3][i % 2]) for i in range(120)]
+    segs = spark.createDataFrame(parts, "feature_id string, x1 double, y1 double, x2 double, y2 double, half_width double")
+    wanted = {}
+    for f, *e, w in parts:
+        a, d = np.array(e[:2]), np.array(e[2:]) - np.array(e[:2])
+        t = np.clip((places - a) @ d / (d @ d), 0, 1)
+        dist = np.hypot(*(places - a - t[:, None] * d).T)
+        wanted.setdefault(f, []).append(np.where(dist <= w, dist, np.inf))
+    least = {f: np.min(v, axis=0) for f, v in wanted.items()}
+    got = {x.feature_id: (x.n_points, x.nearest and round(x.nearest, 9)) for x in accuracy.buffer_counts(spark.createDataFrame(points, "pid long, x double, y double"), segs, nearest=nearest).collect()}
+    assert got == {f: (50 * int(np.isfinite(v).sum()), round(float(v.min()), 9) if nearest else None) for f, v in least.items() if np.isfinite(v).any()}
+    # 6000 points at 120 places are two blocks of 64, and only these travel
+    assert kept["buffer-blocks"].count() == 2
+    assert kept["buffer-counts"].filter("name = 'all' AND bits IS NOT NULL").count() > 2
