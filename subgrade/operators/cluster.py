@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from subgrade.functions.dims import MIN_CLUSTER_SIZE, MIN_INSTANCE_POINTS, MIN_SAMPLES, VOXEL
 from subgrade.operators import sections
-from subgrade.operators.nearest import nearest_points
+from subgrade.operators.nearest import nearest_segment
 from subgrade.tables import written
 
 
@@ -23,12 +23,18 @@ def voxels(points: DataFrame, size: float = VOXEL, by: str = "site_id") -> DataF
     return cells.groupBy(by, "vx", "vy", "vz").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count("*").alias("n_points"), F.min("pid").alias("pid"))
 
 
-def _pairwise(x: np.ndarray, rows: slice) -> np.ndarray:
-    return np.sqrt(((x[rows, None] - x[None]) ** 2).sum(axis=2))
-
-
-def _core_distances(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    return np.concatenate([np.partition(_pairwise(x, slice(a, a + block)), min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] for a in range(0, len(x), block)])
+def _core_distances(x: np.ndarray, k: int, most: int = 2**20) -> np.ndarray:
+    """Distances to the k-th of all points, itself included; `most` of them are held at a time."""
+    n, k = len(x), min(k, len(x)) - 1
+    block = max(1, most // n)
+    out = np.empty(n)
+    for a in range(0, n, block):
+        d2 = np.zeros((len(x[a : a + block]), n))
+        for c in x.T:
+            apart = c[a : a + block, None] - c
+            d2 += np.multiply(apart, apart, out=apart)
+        out[a : a + block] = np.sqrt(np.partition(d2, k, axis=1)[:, k])
+    return out
 
 
 def _spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
@@ -133,10 +139,12 @@ def cluster_voxels(cells: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, m
     return cells.select(by, "pid", "x", "y", "z").groupBy(by).applyInPandas(run, f"{by} {kind}, pid long, x double, y double, z double, label int")
 
 
-def label_points(points: DataFrame, labelled: DataFrame, size: float = VOXEL, by: str = "site_id") -> DataFrame:
-    """points with the label of the nearest labelled voxel point."""
-    near = nearest_points(points.withColumnRenamed("pid", "qid"), labelled, 1, 2 * size, match=[by])
-    return points.join(near.join(labelled.select("pid", "label"), "pid").select(F.col("qid").alias("pid"), "label"), "pid")
+def label_points(points: DataFrame, labelled: DataFrame, by: str = "site_id") -> DataFrame:
+    """points with the label of the nearest labelled voxel point, the smaller pid on ties. A voxel point is a segment without
+    length, so points and voxel points travel as in the search of segments."""
+    ends = labelled.select(by, F.col("pid").alias("seg_id"), *[F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in "xyz"], F.lit(0.0).alias("hw"))
+    near = nearest_segment(points.select("pid", by, "x", "y", "z"), ends, [by]).select("pid", F.col("seg_id").alias("near"))
+    return points.join(near.join(labelled.select(F.col("pid").alias("near"), "label"), "near").select("pid", "label"), "pid")
 
 
 def drop_small(points: DataFrame, least: int = MIN_INSTANCE_POINTS, by: str = "site_id") -> DataFrame:

@@ -12,6 +12,7 @@ from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discr
 from subgrade.plans import sites
 from subgrade.plans.sites import COMP, FEAT, PTS, SAMPLE_STEP, SEG, TRENCH, TX, TY, TZ, VX, nearest_sql
 from subgrade.sinks.clouds import colour_table as colours
+from subgrade.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -486,7 +487,7 @@ def density_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels, density clusters by site, points' labels, small ones to noise, numbering."""
     pts = sites.points(spark, sf_dir)
     cells = cluster.voxels(pts, 0.5)
-    labelled = cluster.label_points(pts, cluster.cluster_voxels(cells, 10, 5), 0.5)
+    labelled = cluster.label_points(pts, written(cluster.cluster_voxels(cells, 10, 5), "density-voxels"))
     return cluster.renumber(cluster.drop_small(labelled, 25)).select("pid", "site_id", F.col("label").cast("int").alias("label"))
 
 

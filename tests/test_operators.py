@@ -1,5 +1,6 @@
 """Operators on planted sites: known geometry and known offsets give known results."""
 
+import tracemalloc
 from math import inf
 
 import numpy as np
@@ -171,6 +172,27 @@ def test_density_finds_two_clouds_and_noise():
     assert (cluster.density_labels(x[:3], 50, 5) == -1).all()
 
 
+def test_density_holds_few_distances_at_a_time():
+    x = np.random.default_rng(8).random((4000, 3))
+    tracemalloc.start()
+    core = cluster._core_distances(x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for i in (0, 1777, 3999):
+        assert core[i] == np.sort(np.sqrt(((x - x[i]) ** 2).sum(axis=1)))[4]
+
+
+def test_labels_are_those_of_the_nearest_voxel_point(spark):
+    r = np.random.default_rng(9)
+    cells = [(i, i % 2, *map(float, r.random(3) * 3), i % 7 - 1) for i in range(60)] + [(60, 0, 1.0, 1.0, 90.0, 5), (61, 0, 1.0, 1.0, 90.0, 6)]
+    pts = [(i, i % 3, *map(float, r.random(3) * 3)) for i in range(300)] + [(300, 0, 1.0, 1.0, 95.0)]
+    labelled = frame(spark, cells, "pid long, site_id int, x double, y double, z double, label int")
+    got = {row.pid: row.label for row in cluster.label_points(frame(spark, pts, "pid long, site_id int, x double, y double, z double"), labelled).collect()}
+    near = {pid: min((sum((a - b) ** 2 for a, b in zip(at, c[2:5])), c[0], c[5]) for c in cells if c[1] == site)[2] for pid, site, *at in pts if site < 2}
+    assert got == near and got[300] == 5
+
+
 def test_parallel_pipes_are_split(spark):
     r = np.random.default_rng(6)
     rows = [(1, 4, i, float(r.random() * 5), float(y + r.normal(0, 0.003)), float(r.normal(0, 0.003))) for i, y in enumerate([0.0] * 250 + [0.4] * 250)]
