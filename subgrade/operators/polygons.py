@@ -133,6 +133,8 @@ def triangles_of(rings: list[np.ndarray]) -> np.ndarray:
     if not rings:
         return np.empty((0, 3, 2))
     ring = rings[0]
+    # the rounding of coordinates leaves so much of a cross product that is 0; what is less lies on a line
+    give = 4 * np.finfo(float).eps * np.abs(ring).max() * np.ptp(ring, axis=0).max()
     for hole in sorted(rings[1:], key=lambda h: -h[:, 0].max()):
         ring = _bridged(ring, hole)
     left, out = list(range(len(ring))), []
@@ -141,21 +143,21 @@ def triangles_of(rings: list[np.ndarray]) -> np.ndarray:
         before, after = np.roll(at, 1, axis=0), np.roll(at, -1, axis=0)
         turn = _cross(before, at, after)
         cut = None
-        for i in np.flatnonzero(turn > 0):
+        for i in np.flatnonzero(turn > give):
             a, b, c = before[i], at[i], after[i]
             others = ~((at == a).all(axis=1) | (at == b).all(axis=1) | (at == c).all(axis=1))
-            within = (_cross(a, b, at) >= 0) & (_cross(b, c, at) >= 0) & (_cross(c, a, at) >= 0) & others
+            within = (_cross(a, b, at) >= -give) & (_cross(b, c, at) >= -give) & (_cross(c, a, at) >= -give) & others
             if not within.any():
                 cut = int(i)
                 break
         if cut is None:
             # corners on a line, or rings that touch: what has no area goes first
             cut = int(np.abs(turn).argmin())
-        if turn[cut] > 0:
+        if turn[cut] > give:
             out.append((before[cut], at[cut], after[cut]))
         left.pop(cut)
     last = ring[left]
-    if _cross(*last) > 0:
+    if _cross(*last) > give:
         out.append(tuple(last))
     return np.array(out).reshape(-1, 3, 2)
 

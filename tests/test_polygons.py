@@ -100,6 +100,16 @@ def test_triangles_fill_random_polygons_with_holes():
         assert len(found) <= len(outer) + sum(map(len, holes)) + 2 * len(holes) - 2
 
 
+@pytest.mark.parametrize(("x", "y", "a", "holed"), [(1.8, 1.2, 1.1, False), (0.2, 0.6, 0.5, False), (1.2, 1.7, 1.0, True), (0.6, 0.2, 0.6, True)])
+def test_corners_on_a_line_up_to_rounding(x, y, a, holed):
+    at = lambda *xy: np.array([(x + a * i, y + a * j) for i, j in xy])
+    outer = at((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0))
+    hole = at((0.25, 0.25), (0.25, 0.5), (0.5, 0.5), (0.5, 0.25), (0.25, 0.25))
+    t = polygons.triangles_of([outer, hole] if holed else [outer])
+    assert np.abs(polygons._cross(t[:, 0], t[:, 1], t[:, 2])).sum() / 2 == pytest.approx(3 * a * a - (a * a / 16 if holed else 0))
+    assert len({tuple(p) for p in t.reshape(-1, 2)}) == (10 if holed else 6)
+
+
 def test_degenerate_rings_have_no_triangles():
     assert len(polygons.triangles_of([np.array([(0, 0), (1, 1)], float)])) == 0
     assert len(polygons.triangles_of([np.array([(0, 0), (1, 1), (2, 2), (0, 0)], float)])) == 0
