@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from subgrade.functions import dims, scalars as S
 from subgrade.functions.geometry import in_polygon
-from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, segments as G
+from subgrade.operators import accuracy, adhoc, cluster, depth, deviation, discretise, ground, match, nearest, samples, segments as G
 from subgrade.plans import sites
 from subgrade.plans.sites import COMP, FEAT, PTS, SAMPLE_STEP, SEG, TRENCH, TX, TY, TZ, VX, nearest_sql
 from subgrade.sinks.clouds import colour_table as colours
@@ -308,20 +308,15 @@ samples AS (SELECT seg_id, station, ring,
   CASE WHEN hw > 1e-9 THEN cz ELSE cz + 0.01 * (cos(ang) * pz + sin(ang) * (ux * py - uy * px)) END AS z FROM az)"""
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = sites.segments(spark, sf_dir).select("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "radius", "half_width")
-    return discretise.discretise(segs, SAMPLE_STEP, SAMPLE_STEP)
-
-
 _EXTENTS = ", ".join(f"floor(({f}({c})) * 1e6 + 0.5) / 1e6 AS {n}_{c}" for c in "xyz" for n, f in (("low", "min"), ("mean", "avg"), ("high", "max")))
 
 
 @query(f"WITH {SEG}, {SAMPLES_SQL} SELECT seg_id, count(*) AS n, {_EXTENTS} FROM samples GROUP BY seg_id")
 def registry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples 0.02 m apart, told by segment: their number, and the extent and mean of their coordinates."""
-    aggregates = {f"{n}_{c}": f(c) for c in "xyz" for n, f in (("low", F.min), ("mean", F.avg), ("high", F.max))}
-    out = _samples(spark, sf_dir).groupBy("seg_id").agg(F.count("*").alias("n"), *[v.alias(n) for n, v in aggregates.items()])
-    return _rounded(out, *aggregates)
+    segs = sites.segments(spark, sf_dir).select("seg_id", "x1", "y1", "z1", "x2", "y2", "z2", "radius", "half_width")
+    out = samples.extents(segs, SAMPLE_STEP, SAMPLE_STEP)
+    return _rounded(out, *[c for c in out.columns if c not in ("seg_id", "n")])
 
 
 @query()
