@@ -234,14 +234,17 @@ def drape(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """queries (pid, x, y, ...) with draped_z, the height of the nearest point in the plane of any segment (seg_id), the smaller
     seg_id on ties; 0 where there are none."""
     flat = segments.withColumns({"z1": F.lit(0.0), "z2": F.lit(0.0), "hw": F.lit(0.0)})
-    found = nearest_segment(queries.select("pid", "x", "y", F.lit(0.0).alias("z")), flat).select("pid", "seg_id")
+    # a place is searched for once, however many queries lie there
+    places = written(queries.select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()), "draped-places")
+    found = nearest_segment(places.select(F.col("place").alias("pid"), "x", "y", F.lit(0.0).alias("z")), flat).select(F.col("pid").alias("place"), "seg_id")
     lines = segments.select("seg_id", *[F.col(f"{c}{i}").alias(f"s{c}{i}") for i in (1, 2) for c in "xyz"])
     dx, dy = F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
     length2 = dx * dx + dy * dy
     t = clamp(((F.col("x") - F.col("sx1")) * dx + (F.col("y") - F.col("sy1")) * dy) / F.when(length2 > 1e-12, length2), F.lit(0.0), F.lit(1.0))
     height = F.col("sz1") + F.when(length2 > 1e-12, t).otherwise(F.lit(0.0)) * (F.col("sz2") - F.col("sz1"))
-    joined = queries.join(found.join(lines, "seg_id"), "pid", "left")
-    return joined.select(*queries.columns, F.coalesce(height, F.lit(0.0)).alias("draped_z"))
+    heights = places.join(found, "place").join(lines, "seg_id").select("x", "y", height.alias("draped_z"))
+    joined = queries.join(heights, ["x", "y"], "left")
+    return joined.select(*queries.columns, F.coalesce("draped_z", F.lit(0.0)).alias("draped_z"))
 
 
 def hits_by_name(points: DataFrame, segments: DataFrame, clip: Column) -> DataFrame:
